@@ -14,7 +14,10 @@ from .common import crc_of_id, read_table
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .mixing import SCHEDULES, WEIGHTS, mix
+from .packing import pack
+from .quality import classify
 from .simhash import near_duplicates
+from .tokenfile import round_trip
 from .urls import PATTERNS, host_rule, judge_urls
 
 #: Host rules of the URL contract.
@@ -32,6 +35,10 @@ def op1_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op2_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -49,11 +56,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def op8_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = identify(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -62,11 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ball_tree_topk,
+        op2_rule_ensemble_quality,
         op3_simhash_near_dedup,
         op4_url_rules,
         op5_curriculum_mix,
         op6_exact_dedup,
+        op7_nnls_packing,
         op8_cross_parsing_langid,
+        op9_token_files,
         op10_license_scan,
     )
 }
