@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, fresh_name
 
 #: Letters of training text a language, at most; the sample takes whole documents.
 TRAIN_CHARS = 40_000
@@ -32,6 +32,8 @@ TRAIN_DOCS = 64
 #: Letters of the alphabet, the most frequent of the training text; others share one code.
 ALPHABET = 96
 SEGMENT = 1024
+#: Given where no language can be told.
+UNKNOWN = "und"
 _ENDS = 1 << 30
 
 
@@ -199,7 +201,7 @@ def _parser(samples: dict[str, str]) -> CrossParser:
 def predict(samples: dict[str, str], texts: Sequence[str | None], budget: int = 4_000_000) -> tuple[list[str], list[float]]:
     """Language and score of each text; ``budget`` letters are parsed at once."""
     parser = _parser(samples)
-    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     held, at, size = [], [], 0
 
     def flush():
@@ -233,7 +235,7 @@ def identify(
     lang_col: str = "lang",
     samples: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added.
+    """``docs`` with ``lang_pred`` and ``score`` added (columns of these names are replaced).
 
     ``score`` (0 to 1) is one minus the ratio of the best language's bits to the next
     best's; 0 where only one language is known. ``und`` with score 0 is given to null
@@ -250,5 +252,7 @@ def identify(
             langs, scores = predict(shared.value, [t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    judged = docs.select(*[docs[f"`{c}`"] for c in docs.columns], judge(F.col(text_col)).alias("__judged"))
-    return judged.select(*[docs[f"`{c}`"] for c in docs.columns], F.col("__judged.lang_pred").alias("lang_pred"), F.col("__judged.score").alias("score"))
+    name = fresh_name(docs, "judged")
+    judged = docs.withColumn(name, judge(F.col(f"`{text_col}`")))
+    taken = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return judged.select(*[f"`{c}`" for c in taken], f"{name}.lang_pred", f"{name}.score")

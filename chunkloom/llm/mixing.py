@@ -53,7 +53,8 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, max_ep
     All targets sum to all sizes. A target stops at ``max_epochs`` times its
     source's size and its excess goes to the others by weight, until none is above:
     in order of cap by weight, the first level at which the remaining words fit the
-    remaining weights. The windows run over one row a source.
+    remaining weights (levels only fall after it, so it is the largest that fits). The
+    windows run over one row a source.
     """
     order = W.orderBy("no_source", "source")
     n = len(weights)
@@ -68,7 +69,7 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, max_ep
         .withColumn("capped_before", F.sum("cap").over(by_cap) - F.col("cap"))
         .withColumn("weight_left", F.sum("weight").over(by_cap.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("level", (F.col("all_size") - F.col("capped_before")) / F.col("weight_left"))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy()))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy()))
     )
     target = F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
     return ranked.select("no_source", "source", "source_size", "nth", target.alias("target"))

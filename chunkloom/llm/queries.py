@@ -141,7 +141,7 @@ levels AS (
   FROM capped WINDOW w AS (ORDER BY cap / weight, nth)),
 targets AS (
   SELECT source, source_size, nth,
-    least(cap, coalesce((SELECT min(level) FROM levels WHERE level <= ratio), 0.0) * weight) AS target FROM levels),
+    least(cap, coalesce((SELECT max(level) FROM levels WHERE level <= ratio), 0.0) * weight) AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.nth, CAST(floor(t.target + 0.5) AS BIGINT) AS wanted,
     CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS UNBOUNDED PRECEDING) - s.size AS BIGINT) AS before
