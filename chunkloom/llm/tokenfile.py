@@ -6,7 +6,7 @@ whole documents, its bytes in the format below. Ids must be below 65536.
 Chunk, little-endian: magic ``TIC1``, uint32 counts of documents and of ids, then three
 zlib streams (uint32 size before each): int64 document lengths, the order-0 table as
 (uint16 id, uint32 weight) pairs, and the block index as (uint32 words, uint32 crc32 of the
-block's ids as 32-bit numbers); last the blocks' 16-bit code words, one block after another.
+block's ids as 32-bit numbers); last the blocks' 32-bit code words, one block after another.
 Document ids stand in a column of their own.
 
 A block holds BLOCK ids (the last one fewer) and resets all adaptive state, so that it can
@@ -14,7 +14,7 @@ be decoded alone. Order 2 predicts the id that last followed the two ids before,
 one that last followed the id before; order 0 is the chunk's table. The orders are mixed into
 one distribution over {order-2 guess, order-1 guess, order 0}, with weights that adapt to
 how often each was right while the guesses agreed, differed or were missing. The range
-coder is carryless, with 64-bit state and 16-bit words.
+coder is carryless, with 64-bit state and 32-bit words.
 
 All blocks of a chunk are coded in lock-step, one numpy lane a block.
 """
@@ -41,11 +41,11 @@ BLOCK = 1024
 CHUNK_IDS = 2_000_000
 END_ID = 2
 _TABLE = 1024  # slots of each guess table of a lane
-_MIX_BITS, _ZERO_BITS = 12, 20
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+_MIX_BITS, _ZERO_BITS = np.uint64(12), np.uint64(20)
 _NONE = 0xFFFF
 _RATE = 5
 U64 = np.uint64
+_WORD, _LEAST = U64(32), U64(1 << 32)
 
 
 class Corrupt(ValueError):
@@ -60,54 +60,50 @@ class _Model:
         self.one = np.full(lanes * _TABLE, _NONE, np.uint16)
         self.base = np.arange(lanes, dtype=np.int64) * _TABLE
         # chance of the order-2 and of the order-1 guess, by state of the guesses and lane
-        self.p2 = np.full(lanes * 4, 1400, np.int32)
-        self.p1 = np.full(lanes * 4, 500, np.int32)
+        self.p2 = np.full(lanes * 4, 1400, np.int64)
+        self.p1 = np.full(lanes * 4, 500, np.int64)
         self.own = np.arange(lanes, dtype=np.int64) * 4
-
-    def slots(self, n: int, last: np.ndarray, before: np.ndarray):
-        at1 = self.base[:n] + ((last * 40503) >> 4 & (_TABLE - 1))
-        at2 = self.base[:n] + ((last * 40503 + before * 10007) >> 3 & (_TABLE - 1))
-        return at2, at1
-
-    def weights(self, n: int, g2: np.ndarray, g1: np.ndarray):
-        state = self.own[:n] + (g2 == _NONE) + 2 * ((g1 == _NONE) | (g1 == g2))
-        f2 = self.p2[state] + 1
-        f1 = ((4094 - f2) * self.p1[state] >> 12) + 1
-        return state, f2, f1
-
-    def learn(self, state, at2, at1, sym, hit2, hit1) -> None:
-        p = self.p2[state]
-        self.p2[state] = p + (((hit2 * 4000) - p) >> _RATE)
-        p = self.p1[state]
-        self.p1[state] = np.where(hit2, p, p + (((hit1 * 4000) - p) >> _RATE))
-        self.two[at2] = sym
-        self.one[at1] = sym
+        self.last = np.zeros(lanes, np.int64)  # hash of the id before
+        self.before = np.zeros(lanes, np.int64)
+
+    def guess(self, n: int):
+        """Guesses of order 2 and 1, and the shares of 4096 that they get."""
+        last, base = self.last[:n], self.base[:n]
+        self.at1 = base + (last >> 4 & (_TABLE - 1))
+        self.at2 = base + (last + (self.before[:n] >> 2) >> 3 & (_TABLE - 1))
+        g2, g1 = self.two[self.at2], self.one[self.at1]
+        self.state = self.own[:n] + (g2 == _NONE) + 2 * ((g1 == _NONE) | (g1 == g2))
+        self.q2, self.q1 = self.p2[self.state], self.p1[self.state]
+        f2 = self.q2 + 1
+        return g2, g1, f2, ((4094 - f2) * self.q1 >> 12) + 1
+
+    def learn(self, n: int, sym, hit2, hit1) -> None:
+        self.p2[self.state] = self.q2 + ((hit2 * 4000 - self.q2) >> _RATE)
+        self.p1[self.state] = self.q1 + ((hit1 * 4000 - self.q1 >> _RATE) * ~hit2)
+        self.two[self.at2] = sym
+        self.one[self.at1] = sym
+        self.before[:n] = self.last[:n]
+        np.multiply(sym, 40503, out=self.last[:n], dtype=np.int64, casting="unsafe")
 
 
 def _zero_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur and their weights, which sum to 2 ** _ZERO_BITS."""
     seen = np.bincount(ids)
     known = np.flatnonzero(seen)
-    total = 1 << _ZERO_BITS
+    total = 1 << int(_ZERO_BITS)
     weight = np.maximum(1, np.floor(seen[known] * ((total - len(known)) / len(ids))).astype(np.int64))
     weight[weight.argmax()] += total - weight.sum()
     return known.astype(np.uint16), weight.astype(np.uint32)
 
 
-def _shift(low, span, n, emit) -> None:
-    """Move settled words out of the state of the first n lanes."""
-    lo, sp = low[:n], span[:n]
-    settled = (lo ^ (lo + sp)) < _TOP
-    todo = np.flatnonzero(settled | (sp < _BOTTOM))
-    while len(todo):
-        a, b = lo[todo], sp[todo]
-        forced = (a ^ (a + b)) >= _TOP
-        b = np.where(forced, (~a + U64(1)) & (_BOTTOM - U64(1)), b)
-        emit(todo, (a >> U64(48)).astype(np.uint16))
-        a, b = a << U64(16), b << U64(16)
-        lo[todo], sp[todo] = a, b
-        again = ((a ^ (a + b)) < _TOP) | (b < _BOTTOM)
-        todo = todo[again]
+def _narrow(low, span) -> np.ndarray:
+    """Lanes that must put out a word. Where their range spans a word's edge it ends there,
+    so that the word is settled; a range is never empty."""
+    todo = np.flatnonzero(span < _LEAST)
+    if len(todo):
+        a, b = low[todo], span[todo]
+        span[todo] = np.where((a ^ (a + b)) >> _WORD, (~a + U64(1)) & (_LEAST - U64(1)), b) << _WORD
+    return todo
 
 
 def encode_blocks(grid: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight: np.ndarray) -> list[bytes]:
@@ -119,41 +115,34 @@ def encode_blocks(grid: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight
     freq[known] = weight
     model = _Model(lanes)
     low, span = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
-    room = 2 * steps + 8
-    out, used = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-
-    def emit(todo, words):
-        out[todo, used[todo]] = words
-        used[todo] += 1
-
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    out, used = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
     for step in range(steps):
         n = alive[step]
-        sym = grid[step, :n]
-        at2, at1 = model.slots(n, last[:n], before[:n])
-        g2, g1 = model.two[at2], model.one[at1]
-        state, f2, f1 = model.weights(n, g2, g1)
+        sym, lo, sp = grid[step, :n], low[:n], span[:n]
+        g2, g1, f2, f1 = model.guess(n)
         hit2 = sym == g2
         hit1 = (sym == g1) & ~hit2
-        cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(U64)
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1)).astype(U64)
-        unit = span[:n] >> U64(_MIX_BITS)
-        low[:n] += unit * cum
-        span[:n] = unit * size
+        cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).view(U64)
+        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1)).view(U64)
+        unit = sp >> _MIX_BITS
+        lo += unit * cum
+        np.multiply(unit, size, out=sp)
         miss = np.flatnonzero(~(hit2 | hit1))
-        if len(miss):
-            s = sym[miss]
-            unit = span[miss] >> U64(_ZERO_BITS)
-            low[miss] += unit * begin[s]
-            span[miss] = unit * freq[s]
-        _shift(low, span, n, emit)
-        model.learn(state, at2, at1, sym, hit2, hit1)
-        before[:n] = last[:n]
-        last[:n] = sym
-    for shift in (48, 32, 16, 0):
-        emit(np.arange(lanes), (low >> U64(shift)).astype(np.uint16))
-    return [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
+        s = sym[miss]
+        unit = sp[miss] >> _ZERO_BITS
+        lo[miss] += unit * begin[s]
+        sp[miss] = unit * freq[s]
+        todo = _narrow(lo, sp)
+        out[todo, used[todo]] = lo[todo] >> _WORD
+        lo[todo] <<= _WORD
+        used[todo] += 1
+        model.learn(n, sym, hit2, hit1)
+    every = np.arange(lanes)
+    for half in (low >> _WORD, low & (_LEAST - U64(1))):
+        out[every, used] = half
+        used += 1
+    return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
 
 
 def decode_blocks(words: np.ndarray, start: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -166,44 +155,37 @@ def decode_blocks(words: np.ndarray, start: np.ndarray, sizes: np.ndarray, known
     slot = np.repeat(known, weight)
     model = _Model(lanes)
     low, span = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
-    code, at = np.zeros(lanes, U64), start.astype(np.int64).copy()
-    for _ in range(4):
-        code = code << U64(16) | words[at].astype(U64)
-        at += 1
-
-    def emit(todo, _):
-        code[todo] = code[todo] << U64(16) | words[at[todo]].astype(U64)
-        at[todo] += 1
-
+    at = start.astype(np.int64)
+    code = words[at].astype(U64) << _WORD | words[at + 1]
+    at += 2
     grid = np.zeros((steps, lanes), np.uint16)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
     for step in range(steps):
         n = alive[step]
-        at2, at1 = model.slots(n, last[:n], before[:n])
-        g2, g1 = model.two[at2], model.one[at1]
-        state, f2, f1 = model.weights(n, g2, g1)
-        unit = span[:n] >> U64(_MIX_BITS)
-        value = np.minimum((code[:n] - low[:n]) // unit, U64(4095)).astype(np.int32)
+        lo, sp, co = low[:n], span[:n], code[:n]
+        g2, g1, f2, f1 = model.guess(n)
+        unit = sp >> _MIX_BITS
+        value = np.minimum((co - lo) // unit, U64(4095)).view(np.int64)
+        f21 = f2 + f1
         hit2 = value < f2
-        hit1 = (value < f2 + f1) & ~hit2
-        cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).astype(U64)
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1)).astype(U64)
-        low[:n] += unit * cum
-        span[:n] = unit * size
+        hit1 = (value < f21) & ~hit2
+        cum = np.where(hit2, 0, np.where(hit1, f2, f21)).view(U64)
+        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f21)).view(U64)
+        lo += unit * cum
+        np.multiply(unit, size, out=sp)
         sym = np.where(hit2, g2, g1)
         miss = np.flatnonzero(~(hit2 | hit1))
-        if len(miss):
-            unit = span[miss] >> U64(_ZERO_BITS)
-            s = slot[np.minimum((code[miss] - low[miss]) // unit, U64((1 << _ZERO_BITS) - 1)).astype(np.int64)]
-            low[miss] += unit * begin[s]
-            span[miss] = unit * freq[s]
-            sym[miss] = s
-        _shift(low, span, n, emit)
-        model.learn(state, at2, at1, sym, hit2, hit1)
+        unit = sp[miss] >> _ZERO_BITS
+        s = slot[np.minimum((co[miss] - lo[miss]) // unit, U64((1 << int(_ZERO_BITS)) - 1)).view(np.int64)]
+        lo[miss] += unit * begin[s]
+        sp[miss] = unit * freq[s]
+        sym[miss] = s
+        todo = _narrow(lo, sp)
+        lo[todo] <<= _WORD
+        co[todo] = co[todo] << _WORD | words[at[todo]]
+        at[todo] += 1
+        model.learn(n, sym, hit2, hit1)
         grid[step, :n] = sym
-        before[:n] = last[:n]
-        last[:n] = sym
     return grid
 
 
@@ -228,7 +210,7 @@ def write_chunk(docs: list[bytes]) -> bytes:
         data = memoryview(ids.tobytes())
         crc = [zlib.crc32(data[i * BLOCK * 4 : (i + 1) * BLOCK * 4]) for i in range(lanes)]
         streams[1] = known.astype("<u2").tobytes() + weight.astype("<u4").tobytes()
-        streams[2] = np.array([len(x) // 2 for x in coded], "<u4").tobytes() + np.array(crc, "<u4").tobytes()
+        streams[2] = np.array([len(x) // 4 for x in coded], "<u4").tobytes() + np.array(crc, "<u4").tobytes()
         body = b"".join(coded)
     head = MAGIC + struct.pack("<II", len(docs), n)
     for x in streams:
@@ -260,12 +242,14 @@ def read_chunk(data: bytes) -> list[bytes]:
     lanes = -(-n // BLOCK)
     index = np.frombuffer(streams[2], "<u4")
     size, crc = index[:lanes].astype(np.int64), index[lanes:]
-    words = np.frombuffer(data[at:], "<u2")
+    if (len(data) - at) % 4:
+        raise Corrupt("code words are cut off")
+    words = np.frombuffer(data[at:], "<u4")
     if size.sum() != len(words) or len(crc) != lanes:
         raise Corrupt("code words are missing")
     sizes = np.full(lanes, BLOCK, np.int64)
     sizes[-1] = n - BLOCK * (lanes - 1)
-    pad = np.zeros(2 * BLOCK + 16, np.uint16)  # a damaged block may read on
+    pad = np.zeros(2 * BLOCK + 16, np.uint32)  # a damaged block may read on
     grid = decode_blocks(np.concatenate((words, pad)), np.cumsum(size) - size, sizes, known, weight)
     ids = np.zeros((lanes, BLOCK), "<u4")
     ids[:, : len(grid)] = grid.T

@@ -4,19 +4,19 @@
 encodes each run of letters, digit or run of marks on its own and drops white space.
 No run crosses a space, so the ids of a text are those of its space-separated words in
 turn, and a word met before need not be encoded again. Of a word of Latin-1 letters
-with stops or commas after it, the two parts are encoded apart, the letters in lower
-case: the tokenizer cuts there itself.
+with stops or commas after it, the two parts are encoded apart, as the tokenizer cuts there
+itself; the letters go, in lower case, to its model at once.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Sequence
-
-import numpy as np
+from itertools import chain
 
 #: Words held by a worker (about 200 bytes each); the memory starts anew beyond.
-WORDS_HELD = 700_000
+WORDS_HELD = 900_000
 #: Characters of texts whose words are looked up at once.
 CHARS_AT_ONCE = 4_000_000
 
@@ -27,6 +27,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers spell the two UTF-8 bytes of Latin-1 characters: visible
+    bytes stand for themselves, the others follow one another from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    spelt = {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids, without special tokens added."""
 
@@ -35,17 +44,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words_held = Tokenizer.from_file(path), words_held
+        self.model = self.tokenizer.model
+        self.spelt = byte_letters()
         self.held: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: Sequence[str]) -> None:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        owner = np.array([w for w in got.word_ids], np.int64)
-        ends = np.cumsum(np.bincount(owner, minlength=len(words))) * 4
-        data = np.array(got.ids, "<u4").tobytes()
-        begin = 0
-        for w, end in zip(words, ends.tolist()):
-            self.held[w] = data[begin:end]
-            begin = end
+    def _word(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        held, tokenize = self.held, self.model.tokenize
+        for w in words:
+            base = w.rstrip(".,")
+            if not base.isalpha() or max(base) > "ÿ":
+                held[w] = self._word(w)
+                continue
+            tail, base = w[len(base) :], base.lower()
+            ids = held.get(base)
+            if ids is None:
+                # letters are one run, which goes to the model as its bytes are spelt
+                spelt = base if base.isascii() else base.translate(self.spelt)
+                ids = held[base] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+            if tail:
+                end = held.get(tail)
+                if end is None:
+                    end = held[tail] = self._word(tail)
+                ids += end
+            held[w] = ids
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -61,30 +85,9 @@ class WordEncoder:
     def _encode(self, texts: list[list[str]]) -> list[bytes]:
         if len(self.held) > self.words_held:
             self.held = {"": b""}
-        held = self.held
-        met: dict[str, bytes | None] = dict.fromkeys(w for words in texts for w in words)
-        parts: list[tuple[str, str, str]] = []
-        new: dict[str, None] = {}
-        for w in met:
-            got = held.get(w)
-            if got is not None:
-                met[w] = got
-                continue
-            base = w.rstrip(".,")
-            if base.isalpha() and max(base) <= "ÿ":
-                tail, base = w[len(base) :], base.lower()
-            else:
-                base, tail = w, ""
-            parts.append((w, base, tail))
-            if base not in held:
-                new[base] = None
-            if tail not in held:
-                new[tail] = None
-        if new:
-            self._learn(list(new))
-        for w, base, tail in parts:
-            met[w] = held[base] + held[tail]
-        return [b"".join(map(met.__getitem__, words)) for words in texts]
+        self._learn(set(chain.from_iterable(texts)).difference(self.held))
+        get = self.held.__getitem__
+        return [b"".join(map(get, words)) for words in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
