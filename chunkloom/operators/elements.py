@@ -18,7 +18,8 @@ from ..functions import columns as C
 from ..functions import values as V
 from ..functions.text import bled_heading
 
-DOC = W.partitionBy("doc_id").orderBy("ord")
+def by_document():
+    return W.partitionBy("doc_id").orderBy("ord")
 
 
 def without_repeats(elements: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def with_trail(elements: DataFrame, depths: int = 6) -> DataFrame:
     A heading of level L is live while no shallower one came after it, and is replaced by
     the next of its own level: two running aggregates a level, no fold.
     """
-    sofar = DOC.rowsBetween(W.unboundedPreceding, 0)
+    sofar = by_document().rowsBetween(W.unboundedPreceding, 0)
     live = []
     for k in range(1, depths + 1):
         last = F.last(F.when(F.col("depth") == k, F.struct("ord", C.strip("content").alias("text"))), ignorenulls=True).over(sofar)
@@ -104,7 +105,7 @@ def without_backmatter(elements: DataFrame) -> DataFrame:
 
     states = rows.select("doc_id", F.explode(F.aggregate("rows", start, step)["seen"]).alias("s"))
     states = states.select("doc_id", F.col("s.ord").alias("ord"), F.struct("s.out", "s.back").alias("_state"))
-    sofar = DOC.rowsBetween(W.unboundedPreceding, 0)
+    sofar = by_document().rowsBetween(W.unboundedPreceding, 0)
     out = elements.join(states, ["doc_id", "ord"], "left").withColumn("_at", F.last("_state", ignorenulls=True).over(sofar))
     return out.where(F.col("_at").isNull() | F.col("_at.out").isNull()).drop("_state", "_at")
 
@@ -114,15 +115,15 @@ def with_runs(elements: DataFrame) -> DataFrame:
     every heading and block has its own."""
     role = F.when(C.is_atomic("kind"), "block").when(F.col("depth").isNotNull(), "heading").otherwise("prose")
     out = elements.withColumn("role", role)
-    begins = (F.col("role") != "prose") | (F.coalesce(F.lag("role").over(DOC), F.lit("")) != "prose")
-    return out.withColumn("run", F.sum(begins.cast("int")).over(DOC))
+    begins = (F.col("role") != "prose") | (F.coalesce(F.lag("role").over(by_document()), F.lit("")) != "prose")
+    return out.withColumn("run", F.sum(begins.cast("int")).over(by_document()))
 
 
 def with_context(elements: DataFrame) -> DataFrame:
     """Add ``context`` to blocks (the caption or introduction right before) and drop the
     rows it was taken from. Needs ``role``."""
-    before = F.lag(F.when((F.col("role") == "prose") & C.introduces_block("kind", "content"), C.strip("content"))).over(DOC)
-    taken = (F.lead("role").over(DOC) == "block") & (F.col("role") == "prose") & C.introduces_block("kind", "content")
+    before = F.lag(F.when((F.col("role") == "prose") & C.introduces_block("kind", "content"), C.strip("content"))).over(by_document())
+    taken = (F.lead("role").over(by_document()) == "block") & (F.col("role") == "prose") & C.introduces_block("kind", "content")
     out = elements.withColumn("context", F.when(F.col("role") == "block", F.nullif(before, F.lit(""))))
     return out.withColumn("_taken", F.coalesce(taken, F.lit(False))).where(~F.col("_taken")).drop("_taken")
 
@@ -134,7 +135,7 @@ def with_pending(elements: DataFrame) -> DataFrame:
     Blocks consume them without showing them; headings after the last content are ``pending``
     of no row and come from ``trailing_headings``.
     """
-    content = F.sum((F.col("role") != "heading").cast("int")).over(DOC.rowsBetween(W.unboundedPreceding, -1))
+    content = F.sum((F.col("role") != "heading").cast("int")).over(by_document().rowsBetween(W.unboundedPreceding, -1))
     out = elements.withColumn("_gap", F.coalesce(content, F.lit(0)))
     text = F.when(F.col("role") == "heading", F.struct("ord", C.strip("content").alias("t")))
     heads = F.array_sort(F.collect_list(text).over(W.partitionBy("doc_id", "_gap")))

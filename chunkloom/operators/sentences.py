@@ -17,7 +17,8 @@ from ..functions import columns as C
 from ..functions import values as V
 from ..plans.kernel import HARD, SOFT, spans
 
-RUN = W.partitionBy("doc_id", "run").orderBy("pos")
+def by_run():
+    return W.partitionBy("doc_id", "run").orderBy("pos")
 _MARK = r"[.!?]+\s+$"
 
 
@@ -68,7 +69,7 @@ def with_positions(said: DataFrame) -> DataFrame:
 
 def without_prefixes(said: DataFrame) -> DataFrame:
     """Mark (``cut_off``) sentences that the next one repeats and goes on from."""
-    norm, after = C.squeezed("sentence"), F.lead(C.squeezed("sentence")).over(RUN)
+    norm, after = C.squeezed("sentence"), F.lead(C.squeezed("sentence")).over(by_run())
     cut = (F.length(norm) >= V.PREFIX_CHARS) & after.startswith(norm) & (F.length(after) >= F.length(norm) + V.PREFIX_ADDED)
     return said.withColumn("cut_off", F.coalesce(cut, F.lit(False)))
 
@@ -98,11 +99,11 @@ def surviving(said: DataFrame) -> DataFrame:
 def with_boundaries(said: DataFrame, threshold: float = V.BOUNDARY_THRESHOLD) -> DataFrame:
     """Add ``boundary`` before each sentence: hard, soft or null. Needs ``kind`` and
     ``opens``; an ``embedding`` column is used where present, else nothing drops."""
-    kind, before = F.col("kind"), F.lag("kind").over(RUN)
+    kind, before = F.col("kind"), F.lag("kind").over(by_run())
     alike = C.is_prose_type(kind) & C.is_prose_type(before)
     drops = F.lit(False)
     if "embedding" in said.columns:
-        drops = C.cosine(F.lag("embedding").over(RUN), F.col("embedding")) < threshold
+        drops = C.cosine(F.lag("embedding").over(by_run()), F.col("embedding")) < threshold
     return said.withColumn(
         "boundary",
         F.when(before.isNull() | kind.startswith("section_header"), "hard")

@@ -185,7 +185,7 @@ def repeats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bleed_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings that also hold the beginning of the next line."""
-    bled = F.concat_ws("\n", F.substring("content", 1, 20), F.substring(F.lead("content").over(E.DOC), 1, 40))
+    bled = F.concat_ws("\n", F.substring("content", 1, 20), F.substring(F.lead("content").over(E.by_document()), 1, 40))
     rows = elements(spark, sf_dir).withColumn("content", F.when(F.col("kind") == "section_header", bled).otherwise(F.col("content")))
     return E.without_bleed(rows).select("doc_id", "ord", "kind", "content")
 
