@@ -34,7 +34,8 @@ ALPHABET = 96
 SEGMENT = 1024
 #: Given where no language can be told.
 UNKNOWN = "und"
-_ENDS = 1 << 30
+#: Phrases that end at a step stand above this bit of a table's entry, the state below.
+_ENDS = 29
 
 
 def _letters() -> np.ndarray:
@@ -118,10 +119,13 @@ class CrossParser:
         self.tables, self.price = [], []
         for k in self.langs:
             table = suffix_automaton(self.codes(texts[k]).tolist(), self.width)
+            # where a match ends it counts, and the root goes on with this letter; one that the
+            # language lacks is a phrase by itself
             root = table[0]
-            # a match ends: count a phrase and go on from the root with this letter
-            restart = np.where(root >= 0, root, 0) | _ENDS
-            self.tables.append((np.where(table >= 0, table * self.width, ((restart & (_ENDS - 1)) * self.width) | _ENDS)).astype(np.int32).ravel())
+            restart = np.where(root >= 0, (root * self.width) | 1 << _ENDS, 2 << _ENDS)
+            full = np.where(table >= 0, table * self.width, restart)
+            full[0] = np.where(root >= 0, root * self.width, 1 << _ENDS)
+            self.tables.append(full.astype(np.int32).ravel())
             self.price.append(math.log2(max(2, len(texts[k]))))
 
     def codes(self, points: np.ndarray) -> np.ndarray:
@@ -151,12 +155,13 @@ class CrossParser:
             n = alive[step]
             grid[step, :n] = flat[start[:n] + step]
         for j, table in enumerate(self.tables):
-            state, phrases = np.zeros(lanes, np.int32), np.ones(lanes, np.int32)
+            state, phrases = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
             for step in range(int(length[0])):
                 n = alive[step]
                 got = table[state[:n] + grid[step, :n]]
-                phrases[:n] += got >> 30
-                np.bitwise_and(got, _ENDS - 1, out=state[:n])
+                phrases[:n] += got >> _ENDS
+                np.bitwise_and(got, (1 << _ENDS) - 1, out=state[:n])
+            phrases += state > 0
             out[:, j] = np.bincount(owner, phrases, len(texts)) * self.price[j]
         return out / np.maximum(sizes, 1)[:, None]
 
