@@ -20,7 +20,7 @@ from .common import crc_of_id
 #: Labelled rows that come to the driver for training, at most (about; a hash picks them).
 TRAIN_ROWS = 8_000
 THRESHOLD = 0.3
-TREES, DEPTH, LEAF = 24, 3, 12
+TREES, DEPTH, LEAF = 24, 3, 5
 LASSO, STEPS = 2e-3, 400
 
 STATISTICS = ("log_words", "word_length", "distinct", "repeats", "symbols", "upper", "digits", "bangs", "bars", "stops", "lines", "same_lines")
