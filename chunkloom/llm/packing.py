@@ -29,6 +29,8 @@ BLOCK_IDS = 4_000_000
 #: Most frequent lengths from which combinations of three are built.
 TRIPLE_LENGTHS = 160
 STEPS = 60
+#: What rounding leaves is solved anew so often before the greedy rest.
+ROUNDS = 3
 SHAPE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,19 +96,21 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     counts = np.bincount(rest[left], minlength=window)
     at = (np.cumsum(counts) - counts).tolist()  # the next unused document of each length
     ends = np.cumsum(counts).tolist()
-    combos = combinations(counts)
-    if len(combos):
+    for _ in range(ROUNDS):
+        combos = combinations(counts)
+        if not len(combos):
+            break
         times = rounded(combos, repeat_counts(combos, counts), counts)
-        placed = []
+        counts = counts - np.bincount(combos.ravel(), np.repeat(times, 3), window).astype(np.int64)
+        counts[0] = 0
         for row, n in zip(combos[times > 0].tolist(), times[times > 0].tolist()):
             offset, ids = 0, np.arange(sequences, sequences + n)
             for k in filter(None, row):
                 docs = order[at[k] : at[k] + n]
                 at[k] += n
-                placed.append((docs, full[docs] * window, np.full(n, k), ids, np.full(n, offset)))
+                out.append((docs, full[docs] * window, np.full(n, k), ids, np.full(n, offset)))
                 offset += k
             sequences += n
-        out += placed
     rest_docs = np.concatenate([np.zeros(0, np.int64), *(order[a:e] for a, e in zip(at, ends) if a < e)])
     if len(rest_docs):
         size = rest[rest_docs]
