@@ -24,7 +24,8 @@ RULES_AT_ONCE = 100_000
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is searched in host + path; ``tokens`` are those it implies.
+    """``pattern`` is searched in host + path; ``tokens``, in lower case, are those that a
+    fitting URL holds whole, in any case.
 
     ``rank`` decides between fitting rules: the highest wins, then the smaller name.
     ``name`` is what the result shows (None: not shown).
@@ -45,22 +46,24 @@ def host_rule(verdict: str, rule: str) -> Rule:
     segments = path.split("/")[1:-1]  # the last may go on in the URL
     for x in segments:
         whole += re.findall(TOKEN_RE, x)
-    return Rule(verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(dict.fromkeys(whole)), 1000 + len(rule), rule)
+    return Rule(verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(dict.fromkeys(map(str.lower, whole))), 1000 + len(rule), rule)
 
 
 def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
-    """A pattern of the method itself; ranks below every host rule."""
+    """A pattern of the method itself; ranks below every host rule, allowing ones above."""
     return Rule(verdict, pattern, tokens, 1 if verdict == "block" else 2)
 
 
 #: What no host rule decides: pages that hold no prose are blocked, all else is let through.
+FORMS = ("login", "signin", "signup", "register", "logout", "cart", "checkout", "basket", "cgi-bin", "wp-admin", "wp-login")
+TOPICS = ("casino", "porn", "xxx", "viagra", "torrent")
+HOSTS = ("ad", "ads", "adserver", "tracking", "click", "pixel")
+FILES = ("jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "css", "js", "zip", "gz", "exe", "mp3", "mp4", "avi", "mov", "woff", "woff2")
 PATTERNS: tuple[Rule, ...] = (
-    pattern_rule("block", r"/(?:wp-)?(?:login|signin|signup|register)(?:[/._-]|$)"),
-    pattern_rule("block", r"/(?:cart|checkout|basket)(?:[/._-]|$)"),
-    pattern_rule("block", r"/wp-admin/", "wp", "admin"),
-    pattern_rule("block", r"(?:^|[./-])(?:casino|porn|xxx|viagra)(?:[./-]|$)"),
-    pattern_rule("block", r"^(?:ads?|adserver|tracking|click)\."),
-    pattern_rule("block", r"(?i)\.(?:jpe?g|png|gif|svg|webp|ico|css|js|zip|gz|exe|mp[34]|avi|mov|woff2?)$"),
+    *(pattern_rule("block", rf"/{w}(?:[/._-]|$)", *w.split("-")) for w in FORMS),
+    *(pattern_rule("block", rf"(?:^|[./-]){w}(?:[./-]|$)", w) for w in TOPICS),
+    *(pattern_rule("block", rf"^{w}\.", w) for w in HOSTS),
+    *(pattern_rule("block", rf"(?i)\.{w}$", w) for w in FILES),
 )
 
 
@@ -89,7 +92,7 @@ def token_counts(parts: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
     literals = sorted({t for r in rules for t in r.tokens})
     if not literals:
         return {}
-    tokens = F.regexp_extract_all(F.concat("host", "path"), F.lit(TOKEN_RE), F.lit(0))
+    tokens = F.transform(F.regexp_extract_all(F.concat("host", "path"), F.lit(TOKEN_RE), F.lit(0)), lambda t: F.lower(t))
     held = F.explode(F.array_intersect(tokens, F.array(*map(F.lit, literals))))
     return {r["t"]: r["n"] for r in parts.select(held.alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
 
@@ -129,7 +132,7 @@ def _judge(index: dict[str | None, list[Rule]]):
             for host, path, *best in zip(pdf["host"], pdf["path"], pdf["rule"], pdf["verdict"], pdf["rank"]):
                 text = host + path
                 best = [None if pd.isna(x) else x for x in best]
-                for r, fits in [*always, *(x for t in set(tokens_of(text)) if t in compiled for x in compiled[t])]:
+                for r, fits in [*always, *(x for t in {t.lower() for t in tokens_of(text)} if t in compiled for x in compiled[t])]:
                     if (best[2] is None or (r.rank, best[0] or "") > (best[2], r.name or "")) and fits(text):
                         best = [r.name, r.verdict, r.rank]
                 found.append(best)
