@@ -85,7 +85,7 @@ class BallTree:
 
     def dump(self) -> bytes:
         rows = self.rows
-        small = rows.astype(np.int32) if not len(rows) or np.abs(rows).max() < 2**31 else rows
+        small = rows.astype(np.int32) if not rows.size or np.abs(rows).max() < 2**31 else rows
         return pickle.dumps((self.nodes, self.centres, self.radii, self.ids, small), 5)
 
     @classmethod
@@ -108,7 +108,7 @@ class TopK:
         self.held = 0
 
     def search(self, tree: BallTree) -> None:
-        if not len(self.rows) or not len(tree.ids):
+        if not len(self.rows) or not len(tree.ids) or tree.rows.shape[1] != self.rows.shape[1]:
             return
         bounds = self.rows.astype(np.float64) @ tree.centres.T + self.norms[:, None] * tree.radii
         bounds += 1e-6 * (1 + np.abs(bounds))  # rounding never hides a tie
@@ -165,26 +165,22 @@ class TopK:
 
 
 def _shards(batches: Iterable[pd.DataFrame], size: int, make) -> Iterator[pd.DataFrame]:
-    ids, rows, count = [], [], 0
+    """Rows with up to ``size`` vectors each, of one length."""
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
-    def cut(n):
-        nonlocal ids, rows, count
-        i, r = np.concatenate(ids), np.concatenate(rows)
-        ids, rows, count = [i[n:]], [r[n:]], len(i) - min(n, len(i))
-        return pd.DataFrame({"n": [min(n, len(i))], "tree": [make(i[:n], r[:n])]})
+    def cut(part):
+        ids, rows = np.array([i for i, _ in part], np.int64), np.stack([v for _, v in part])
+        return pd.DataFrame({"n": [len(ids)], "tree": [make(ids, rows)]})
 
     for pdf in batches:
         pdf = pdf[pdf["vec_id"].notna()]
         keep, vectors = quantised(pdf["embedding"])
-        if not len(keep):
-            continue
-        ids.append(pdf["vec_id"].to_numpy(np.int64)[keep])
-        rows.append(np.stack(vectors))
-        count += len(keep)
-        while count >= size:
-            yield cut(size)
-    if count:
-        yield cut(size)
+        for i, v in zip(pdf["vec_id"].to_numpy(np.int64)[keep].tolist(), vectors):
+            part = held.setdefault(len(v), [])
+            part.append((i, v))
+            if len(part) >= size:
+                yield cut(held.pop(len(v)))
+    yield from map(cut, held.values())
 
 
 def _build(batches):
@@ -207,9 +203,9 @@ def top_k(
 
     Components become floor(64 x); scores are exact longs (they wrap beyond 63 bits),
     ties go to the smaller vec_id. A query never meets rows of its own id. Rows with a
-    null id or vector, or with a null, NaN or infinite component, take no part; all
-    vectors that do must have one length (ValueError else). Repeated rows count each,
-    as candidates and as queries do only once an id. No queries or no candidates give
+    null id or vector, or with a null, NaN or infinite component, take no part; vectors of
+    different lengths don't meet. Repeated rows count each as candidates, as queries once an
+    id. No queries or no candidates give
     no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -220,9 +216,9 @@ def top_k(
     shape = "query_id long, vec_id long, score long"
     spark.createDataFrame([], shape).write.parquet(path)
     seed = trees.limit(1).collect()
-    held_ids, held_rows, count = [], [], 0
 
-    def search(ids: np.ndarray, rows: np.ndarray) -> None:
+    def search(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        ids, rows = (np.concatenate(x) for x in zip(*parts))
         first = TopK(ids, rows, k)
         first.search(BallTree.load(seed[0]["tree"]))
         block = spark.sparkContext.broadcast((ids, rows, first.kth))
@@ -240,16 +236,15 @@ def top_k(
         block.unpersist()
 
     if seed:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for row in asked.select("tree").toLocalIterator():
             ids, rows = pickle.loads(row["tree"])
-            held_ids.append(ids)
-            held_rows.append(rows)
-            count += len(ids)
-            if count >= query_block:
-                search(np.concatenate(held_ids), np.concatenate(held_rows))
-                held_ids, held_rows, count = [], [], 0
-        if count:
-            search(np.concatenate(held_ids), np.concatenate(held_rows))
+            part = held.setdefault(rows.shape[1], [])
+            part.append((ids, rows))
+            if sum(len(i) for i, _ in part) >= query_block:
+                search(held.pop(rows.shape[1]))
+        for part in held.values():
+            search(part)
     hits = spark.read.schema(shape).parquet(path)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -41,6 +41,8 @@ def test_against_brute_force(spark, monkeypatch):
 def test_few_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, -2.0])]
     assert run(spark, rows, rows, 20) == {0: [(1, -12288)], 1: [(0, -12288)]}
+    mixed = [*rows, (2, [1.0]), (3, [2.0]), (4, []), (5, [])]
+    assert run(spark, mixed, mixed, 20) == {0: [(1, -12288)], 1: [(0, -12288)], 2: [(3, 8192)], 3: [(2, 8192)], 4: [(5, 0)], 5: [(4, 0)]}
     assert run(spark, [], [], 5) == {}
     assert run(spark, rows, [], 5) == {}
 
