@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -65,5 +66,13 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def run_id() -> str:
-    return uuid.uuid4().hex
+def numbered(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a number for each row that is the same whenever it is read.
+
+    Rows of plain file scans are numbered as they are read, since a scan's partitions stay
+    the same; anything else is written first.
+    """
+    out = docs.withColumn(column, F.monotonically_increasing_id())
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = set(re.findall(r"^[\s:+-]*(\w+)", plan.toString(), re.MULTILINE))
+    return out if plan.deterministic() and nodes <= {"Relation", "Project", "Filter"} else written(out, "numbered")

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, fresh_name, scratch_path, written
+from .common import SPACE_RE, fresh_name, numbered, scratch_path, written
 
 
 def normalised(text):
@@ -115,10 +115,9 @@ def exact_dedup(
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and no others.
 
-    The marked copy of the batch is written first, so that both passes number the
-    rows alike whatever the input's plan is.
+    Both passes number the rows alike, see ``numbered``.
     """
     row = fresh_name(docs, "row")
-    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
+    marked = numbered(docs, row)
     stay = exact_dedup(marked, id_col, text_col, row).where("kept").select(F.col("row_id").alias(row))
     return marked.join(stay, row, "left_semi").select(*[marked[f"`{c}`"] for c in docs.columns])

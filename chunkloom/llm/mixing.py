@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_name, word_count, written
+from .common import fresh_name, numbered, word_count, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -174,7 +174,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one of which nothing is taken doesn't come.
     """
     row, at = fresh_name(docs, "row"), fresh_name(docs, "position")
-    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
+    marked = numbered(docs, row)
     plan = mix(marked, id_col, text_col, source_col, row_col=row).where("taken > 0")
     plan = plan.select(F.col("row_id").alias(row), F.explode("positions").alias(at))
     return marked.join(plan, row).orderBy(at, row).select(*[marked[f"`{c}`"] for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, written
+from .common import fresh_name, numbered, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -148,6 +148,6 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of each component, with the columns of ``docs`` and no others."""
     row = fresh_name(docs, "row")
-    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
+    marked = numbered(docs, row)
     stay = near_duplicates(marked, id_col, text_col, row).where("first").select(F.col("row_id").alias(row))
     return marked.join(stay, row, "left_semi").select(*[marked[f"`{c}`"] for c in docs.columns])
