@@ -17,6 +17,7 @@ from ..functions import columns as C
 from ..functions import values as V
 from ..functions.text import collapse_spans
 from ..operators import blocks as B
+from ..operators import chunks as H
 from ..operators import elements as E
 from ..operators import markdown_lines as M
 from ..operators import sentences as S
@@ -601,6 +602,60 @@ def parsed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed_chunks(spark, sf_dir).drop("parent_chunk_id")
 
 
+_SHORT = f"""{LINES}, short AS (SELECT doc_id, ord, substr(line, 1, 12) AS head, CASE ord % 4 WHEN 0 THEN substr(line, 1, 12) || chr(10) || line
+    WHEN 1 THEN substr(line, 1, 12) || ' ' || line WHEN 2 THEN substr(line, 1, 12) ELSE '  ' || line END AS content FROM lines)"""
+
+
+@query(f"""WITH {_SHORT}, cut AS (SELECT *, regexp_replace(content, '^\\s+', '') AS body FROM short),
+off AS (SELECT *, CASE WHEN head <> '' AND (body = head OR starts_with(body, head || chr(10))) THEN regexp_replace(substr(body, length(head) + 1), '^\\n* *\\n*', '') ELSE body END AS rest FROM cut)
+SELECT doc_id, ord, content, CAST(greatest(1, length(content) // 4) AS BIGINT) AS token_count
+FROM (SELECT doc_id, ord, head || chr(10) || chr(10) || rest AS content FROM off)""")
+def headings_prepended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings before content that begins with them, or does not."""
+    head = F.substring("line", 1, 12)
+    n = F.col("ord") % 4
+    content = F.when(n == 0, F.concat_ws("\n", head, "line")).when(n == 1, F.concat_ws(" ", head, "line")).when(n == 2, head).otherwise(F.concat(F.lit("  "), "line"))
+    rows = lines(spark, sf_dir).select("doc_id", "ord", content.alias("content"), F.array(head).alias("pending"))
+    return H.with_headings(rows).select("doc_id", "ord", "content", "token_count")
+
+
+@query(f"""WITH {_ROLES}, ends AS (SELECT doc_id, max(CASE WHEN role <> 'heading' THEN ord END) AS last FROM runs GROUP BY doc_id),
+tails AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY ord) AS headings FROM runs JOIN ends USING (doc_id) WHERE role = 'heading' AND (last IS NULL OR ord > last) GROUP BY doc_id),
+chunks AS (SELECT doc_id, ord, content, row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) = 1 AS final FROM runs WHERE role <> 'heading')
+SELECT doc_id, ord, CASE WHEN final AND headings IS NOT NULL THEN content || chr(10) || chr(10) || headings ELSE content END AS content FROM chunks LEFT JOIN tails USING (doc_id)""")
+def trailing_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _runs(spark, sf_dir)
+    chunks = rows.where("role <> 'heading'").withColumn("token_count", C.token_count("content"))
+    return H.with_trailing(chunks, E.trailing_headings(rows)).select("doc_id", "ord", "content")
+
+
+@query()
+def small_chunks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each prose line and table of a document as a chunk; the small ones merge."""
+    rows = _runs(spark, sf_dir).where("role <> 'heading'")
+    chunks = rows.select(
+        "doc_id", "ord", "content", C.token_count("content").alias("token_count"), F.array("page").alias("page_numbers"), F.lit(0).alias("span_start"),
+        F.length("content").alias("span_end"), F.when(F.col("role") == "block", C.block_kind("kind")).otherwise("prose").alias("dominant_type"), F.lit(False).alias("divided"),
+    )
+    out = H.without_repeated_spans(H.without_small(chunks, V.MAX_TOKENS))
+    return B.number(out).select("doc_id", "sequence", "content", "token_count", F.array_join("page_numbers", ",").alias("pages"), "span_start", "span_end", "dominant_type")
+
+
+@query(f"WITH {_DOC_SENTENCES} SELECT doc_id, nth, CAST(greatest(1, length(sentence) // 4) AS BIGINT) AS tokens, 384 AS dimensions, CAST(1.0 AS DOUBLE) AS similarity FROM sentences")
+def sentences_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in's vectors: all alike, of length one."""
+    out = H.embedded(_said(spark, sf_dir))
+    like = F.round(C.cosine("embedding", "embedding"), 6)
+    return out.select("doc_id", "nth", "tokens", F.size("embedding").alias("dimensions"), like.alias("similarity"))
+
+
+@query(f"""WITH RECURSIVE {_DOC_CHUNKS} SELECT doc_id, sequence, '[' || lpad(CAST(sequence AS VARCHAR), 3, ' ') || '] prose         ' || lpad(CAST(token_count AS VARCHAR), 5, ' ')
+  || ' tok  ' || repeat(' ', 30) || ' ' || substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 70) AS line FROM counted_chunks""")
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _document_chunks(spark, sf_dir).select("doc_id", F.col("nth").alias("sequence"), "token_count", "content", F.lit("prose").alias("dominant_type"), F.lit("{}").alias("metadata"))
+    return K.summary(chunks)
+
+
 @query()
 def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.records(_parsed_chunks(spark, sf_dir))
