@@ -38,12 +38,12 @@ from .tokens import default_path, encoder
 MAGIC = b"TIC1"
 BLOCK = 1024
 #: Ids of a chunk, whole documents (a longer document is a chunk alone).
-CHUNK_IDS = 2_000_000
+CHUNK_IDS = 3_000_000
 END_ID = 2
-_TABLE = 1024  # slots of each guess table of a lane
+_TABLE = 256  # slots of each guess table of a lane
 _MIX_BITS, _ZERO_BITS = np.uint64(12), np.uint64(20)
 _NONE = 0xFFFF
-_RATE = 5
+_RATE = 4  # weights learn at every second id
 U64 = np.uint64
 _WORD, _LEAST = U64(32), U64(1 << 32)
 
@@ -77,9 +77,10 @@ class _Model:
         f2 = self.q2 + 1
         return g2, g1, f2, ((4094 - f2) * self.q1 >> 12) + 1
 
-    def learn(self, n: int, sym, hit2, hit1) -> None:
-        self.p2[self.state] = self.q2 + ((hit2 * 4000 - self.q2) >> _RATE)
-        self.p1[self.state] = self.q1 + ((hit1 * 4000 - self.q1 >> _RATE) * ~hit2)
+    def learn(self, n: int, sym, hit2, hit1, weigh: bool) -> None:
+        if weigh:
+            self.p2[self.state] = self.q2 + ((hit2 * 4000 - self.q2) >> _RATE)
+            self.p1[self.state] = self.q1 + ((hit1 * 4000 - self.q1 >> _RATE) * ~hit2)
         self.two[self.at2] = sym
         self.one[self.at1] = sym
         self.before[:n] = self.last[:n]
@@ -137,7 +138,7 @@ def encode_blocks(grid: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight
         out[todo, used[todo]] = lo[todo] >> _WORD
         lo[todo] <<= _WORD
         used[todo] += 1
-        model.learn(n, sym, hit2, hit1)
+        model.learn(n, sym, hit2, hit1, step % 2 == 0)
     every = np.arange(lanes)
     for half in (low >> _WORD, low & (_LEAST - U64(1))):
         out[every, used] = half
@@ -184,7 +185,7 @@ def decode_blocks(words: np.ndarray, start: np.ndarray, sizes: np.ndarray, known
         lo[todo] <<= _WORD
         co[todo] = co[todo] << _WORD | words[at[todo]]
         at[todo] += 1
-        model.learn(n, sym, hit2, hit1)
+        model.learn(n, sym, hit2, hit1, step % 2 == 0)
         grid[step, :n] = sym
     return grid
 

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from itertools import chain
 
 #: Words held by a worker (about 200 bytes each); the memory starts anew beyond.
-WORDS_HELD = 900_000
+WORDS_HELD = 700_000
 #: Characters of texts whose words are looked up at once.
 CHARS_AT_ONCE = 4_000_000
 
@@ -55,15 +55,16 @@ class WordEncoder:
         held, tokenize = self.held, self.model.tokenize
         for w in words:
             base = w.rstrip(".,")
-            if not base.isalpha() or max(base) > "ÿ":
+            plain = base.isascii()
+            if not base.isalpha() or not plain and max(base) > "ÿ":
                 held[w] = self._word(w)
                 continue
-            tail, base = w[len(base) :], base.lower()
-            ids = held.get(base)
+            low = base.lower()
+            ids = held.get(low)
             if ids is None:
                 # letters are one run, which goes to the model as its bytes are spelt
-                spelt = base if base.isascii() else base.translate(self.spelt)
-                ids = held[base] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+                ids = held[low] = array("I", [t.id for t in tokenize(low if plain else low.translate(self.spelt))]).tobytes()
+            tail = w[len(base) :]
             if tail:
                 end = held.get(tail)
                 if end is None:
