@@ -6,7 +6,7 @@ a heading or block inside.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
+from ..functions.text import surviving as stays
 from ..plans.kernel import HARD, SOFT, spans
 
 def by_run():
@@ -35,14 +36,18 @@ def _no_end(text):
     return ten.rlike(f"(?:{names})$") | first.rlike(r"(?U)\b(?:[A-Za-z]\.){2,}$")
 
 
-def sentence_spans(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+def sentence_spans(texts: DataFrame, keys: list[str], text_col: str = "text", carried: Sequence[str] = ()) -> DataFrame:
     """A row for each sentence: the keys, ``nth`` (0-based), ``begin``, ``end``, ``sentence``.
 
     Texts are cut after every run of stops with white space behind it; pieces whose stop
     is no end go on into the next. Spans cover the stripped text. Blank and null texts
-    have no sentence. One shuffle by ``keys``; a text's pieces are one group.
+    have no sentence. Further ``carried`` columns come along with each sentence.
+
+    Whole texts are shuffled once, by the first key; pieces, sentences and all that later
+    groups by this key stay where they are.
     """
-    stripped = texts.select(*keys, C.strip(text_col).alias("_t")).where("_t <> ''")
+    stripped = texts.select(*keys, *carried, C.strip(text_col).alias("_t")).where("_t <> ''").repartition(keys[0])
+    keys = [*keys, *carried]
     piece = F.regexp_extract_all("_t", F.lit(r"(?sU).*?[.!?]+\s+|.+$"), F.lit(0))
     cut = stripped.select("*", F.posexplode(piece).alias("_i", "_p"))
     by = W.partitionBy(*keys).orderBy("_i")
@@ -59,12 +64,14 @@ def with_positions(said: DataFrame) -> DataFrame:
     """From ``doc_id, run, ord, nth, begin, end, size`` (size: the element's length) add
     ``pos`` within the run and offsets ``start_idx, end_idx`` relative to it; elements are
     one character apart."""
-    by_element = W.partitionBy("doc_id", "run").orderBy("ord")
-    sizes = said.groupBy("doc_id", "run", "ord").agg(F.max("size").alias("_size"))
-    offsets = sizes.withColumn("_offset", F.sum(F.col("_size") + 1).over(by_element) - F.col("_size") - 1).drop("_size")
-    out = said.join(offsets, ["doc_id", "run", "ord"])
-    pos = F.row_number().over(W.partitionBy("doc_id", "run").orderBy("ord", "nth")) - 1
-    return out.withColumn("pos", pos).withColumn("start_idx", F.col("begin") + F.col("_offset")).withColumn("end_idx", F.col("end") + F.col("_offset")).drop("_offset")
+    order = W.partitionBy("doc_id", "run").orderBy("ord", "nth")
+    size = F.col("size") + 1
+    offset = F.sum(F.when(F.col("nth") == 0, size)).over(order) - size
+    return (
+        said.withColumn("pos", F.row_number().over(order) - 1)
+        .withColumn("start_idx", F.col("begin") + offset)
+        .withColumn("end_idx", F.col("end") + offset)
+    )
 
 
 def without_prefixes(said: DataFrame) -> DataFrame:
@@ -77,23 +84,22 @@ def without_prefixes(said: DataFrame) -> DataFrame:
 def surviving(said: DataFrame) -> DataFrame:
     """Drop cut-off sentences and those equal to one of the last eight that stayed.
 
-    A fold over each run keeps the last eight texts; ``pos`` is not renumbered.
+    Each run is one array, which an Arrow function walks in linear time; ``pos`` is not
+    renumbered.
     """
-    marked = without_prefixes(said).withColumn("_norm", C.squeezed("sentence"))
-    rows = F.array_sort(F.collect_list(F.struct("pos", "cut_off", "_norm")))
-    groups = marked.groupBy("doc_id", "run").agg(rows.alias("rows"))
-    start = F.struct(F.array().cast("array<string>").alias("last"), F.array().cast("array<int>").alias("stays"))
+    fields = [c for c in said.columns if c not in ("doc_id", "run", "pos")]
+    rows = F.array_sort(F.collect_list(F.struct("pos", C.squeezed("sentence").alias("_norm"), *fields)))
 
-    def step(acc, r):
-        ok = ~r["cut_off"] & ~F.array_contains(acc["last"], r["_norm"])
-        last = F.when(ok, F.concat(acc["last"], F.array(r["_norm"]))).otherwise(acc["last"])
-        over = F.size(last) - V.REPEAT_WINDOW
-        last = F.slice(last, F.greatest(F.lit(1), over + 1), F.lit(V.REPEAT_WINDOW))
-        stays = F.when(ok, F.concat(acc["stays"], F.array(r["pos"].cast("int")))).otherwise(acc["stays"])
-        return F.struct(last.alias("last"), stays.alias("stays"))
+    @F.pandas_udf("array<boolean>")
+    def walk(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for runs in parts:
+            yield pd.Series([stays(list(norms)) for norms in runs], dtype=object)
 
-    kept = groups.select("doc_id", "run", F.explode(F.aggregate("rows", start, step)["stays"]).alias("pos"))
-    return said.join(kept, ["doc_id", "run", "pos"], "left_semi")
+    runs = said.groupBy("doc_id", "run").agg(rows.alias("rows"))
+    runs = runs.select("doc_id", "run", "rows", walk(F.transform("rows", lambda r: r["_norm"])).alias("ok"))
+    kept = F.filter("rows", lambda r, i: F.get(F.col("ok"), i))
+    out = runs.select("doc_id", "run", F.explode(kept).alias("r"))
+    return out.select("doc_id", "run", *[F.col(f"r.{c}").alias(c) for c in said.columns if c not in ("doc_id", "run")])
 
 
 def with_boundaries(said: DataFrame, threshold: float = V.BOUNDARY_THRESHOLD) -> DataFrame:
@@ -113,32 +119,36 @@ def with_boundaries(said: DataFrame, threshold: float = V.BOUNDARY_THRESHOLD) ->
     )
 
 
-def packed(said: DataFrame, max_tokens: int = V.MAX_TOKENS, overlap_tokens: int = V.OVERLAP_TOKENS) -> DataFrame:
-    """``(doc_id, run, nth, first, last)``: which sentences, by place in the run, make each
-    chunk. Each run is one array; an Arrow function walks it in linear time."""
+def _packed(said: DataFrame, max_tokens: int, overlap_tokens: int, fields: Sequence[str]) -> DataFrame:
+    """``doc_id, run, nth, s`` (first and last place in the run) and ``rows``, the run's
+    sentences in order. Each run is one array, which an Arrow function walks in linear time."""
     code = F.when(F.col("boundary") == "hard", HARD).when(F.col("boundary") == "soft", SOFT).otherwise(0)
-    rows = F.array_sort(F.collect_list(F.struct("pos", C.token_count("sentence").alias("n"), code.alias("b"))))
-    runs = said.groupBy("doc_id", "run").agg(rows.alias("rows"))
-    runs = runs.select("doc_id", "run", F.transform("rows", lambda r: r["pos"]).alias("at"), F.transform("rows", lambda r: r["n"]).alias("n"), F.transform("rows", lambda r: r["b"]).alias("b"))
+    rows = F.array_sort(F.collect_list(F.struct("pos", C.token_count("sentence").alias("n"), code.alias("b"), *fields)))
 
     @F.pandas_udf("array<struct<first:int,last:int>>")
     def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for tokens, before in parts:
             yield pd.Series([[{"first": a, "last": e - 1} for a, e in spans(list(n), list(b), max_tokens, overlap_tokens)] for n, b in zip(tokens, before)])
 
-    out = runs.select("doc_id", "run", "at", F.posexplode(walk("n", "b")).alias("nth", "s"))
-    return out.select("doc_id", "run", "nth", F.get("at", F.col("s.first")).alias("first"), F.get("at", F.col("s.last")).alias("last"))
+    runs = said.groupBy("doc_id", "run").agg(rows.alias("rows"))
+    found = walk(F.transform("rows", lambda r: r["n"]), F.transform("rows", lambda r: r["b"]))
+    return runs.select("doc_id", "run", "rows", found.alias("found")).select("doc_id", "run", "rows", F.posexplode("found").alias("nth", "s"))
+
+
+def packed(said: DataFrame, max_tokens: int = V.MAX_TOKENS, overlap_tokens: int = V.OVERLAP_TOKENS) -> DataFrame:
+    """``(doc_id, run, nth, first, last)``: which sentences, by ``pos``, make each chunk."""
+    out = _packed(said, max_tokens, overlap_tokens, [])
+    return out.select("doc_id", "run", "nth", F.get("rows", F.col("s.first"))["pos"].alias("first"), F.get("rows", F.col("s.last"))["pos"].alias("last"))
 
 
-def chunk_rows(said: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Join packed ranges with their sentences and put each chunk's text together: content,
-    count, pages, spans. A paragraph begins after a blank line."""
-    said = said.select("doc_id", "run", "pos", "opens", "sentence", "start_idx", "end_idx", "page")
-    met = chunks.join(said, ["doc_id", "run"]).where(F.col("pos").between(F.col("first"), F.col("last")))
-    rows = F.array_sort(F.collect_list(F.struct("pos", "opens", "sentence", "start_idx", "end_idx")))
-    out = met.groupBy("doc_id", "run", "nth").agg(rows.alias("r"), F.array_sort(F.collect_set("page")).alias("page_numbers"))
+def chunk_rows(said: DataFrame, max_tokens: int = V.MAX_TOKENS, overlap_tokens: int = V.OVERLAP_TOKENS) -> DataFrame:
+    """Packed chunks with their text: ``doc_id, run, nth``, content, count, pages, spans. A
+    paragraph begins after a blank line."""
+    out = _packed(said, max_tokens, overlap_tokens, ["opens", "sentence", "start_idx", "end_idx", "page"])
+    out = out.select("doc_id", "run", "nth", F.slice("rows", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1).alias("r"))
     part = F.transform("r", lambda s, i: F.concat(F.when(i == 0, "").when(s["opens"], "\n\n").otherwise(" "), s["sentence"]))
-    out = out.select("doc_id", "run", "nth", F.array_join(part, "").alias("content"), "page_numbers", F.element_at("r", 1)["start_idx"].alias("span_start"), F.element_at("r", -1)["end_idx"].alias("span_end"))
+    pages = F.array_sort(F.array_distinct(F.transform("r", lambda s: s["page"])))
+    out = out.select("doc_id", "run", "nth", F.array_join(part, "").alias("content"), pages.alias("page_numbers"), F.element_at("r", 1)["start_idx"].alias("span_start"), F.element_at("r", -1)["end_idx"].alias("span_end"))
     return out.withColumn("token_count", C.token_count("content"))
 
 

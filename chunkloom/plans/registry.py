@@ -317,10 +317,9 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each line, the lines of a document being one run."""
-    rows = elements(spark, sf_dir).where("kind <> 'page_footer'")
-    said = S.sentence_spans(rows.withColumnRenamed("content", "text"), ["doc_id", "ord"])
-    info = rows.select("doc_id", "ord", "kind", "page", F.length(C.strip("content")).alias("size"))
-    said = said.join(info, ["doc_id", "ord"]).withColumn("run", F.lit(0)).withColumn("opens", F.col("nth") == 0)
+    rows = elements(spark, sf_dir).where("kind <> 'page_footer'").withColumn("size", F.length(C.strip("content")))
+    said = S.sentence_spans(rows, ["doc_id", "ord"], "content", ["kind", "page", "size"])
+    said = said.withColumn("run", F.lit(0)).withColumn("opens", F.col("nth") == 0)
     return S.with_positions(said)
 
 
@@ -403,8 +402,7 @@ texted AS (SELECT p.doc_id, p.nth, string_agg(CASE WHEN b.pos = p.a THEN '' WHEN
   FROM packed p JOIN bounded b ON b.doc_id = p.doc_id AND b.pos >= p.a AND b.pos < p.e GROUP BY p.doc_id, p.nth)
 SELECT doc_id, CAST(nth AS INTEGER) AS nth, content, CAST(greatest(1, length(content) // 4) AS BIGINT) AS token_count, pages, span_start, span_end FROM texted""")
 def prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = S.with_boundaries(_placed(spark, sf_dir))
-    out = S.chunk_rows(said, S.packed(said))
+    out = S.chunk_rows(S.with_boundaries(_placed(spark, sf_dir)))
     return out.select("doc_id", "nth", "content", "token_count", F.array_join("page_numbers", ",").alias("pages"), "span_start", "span_end")
 
 
@@ -564,8 +562,7 @@ def _document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as one element each, without overlap."""
     said = _said(spark, sf_dir)
     said = said.select("doc_id", F.lit(0).alias("run"), F.col("nth").alias("pos"), "sentence", F.col("begin").alias("start_idx"), F.col("end").alias("end_idx"), (F.col("nth") == 0).alias("opens"), F.lit("text").alias("kind"), F.lit(1).alias("page"))
-    said = S.with_boundaries(said)
-    return S.chunk_rows(said, S.packed(said, overlap_tokens=0))
+    return S.chunk_rows(S.with_boundaries(said), overlap_tokens=0)
 
 
 _DOC_CHUNKS = f"""{_DOC_SENTENCES}, said AS (SELECT doc_id, nth AS pos, sentence, CASE WHEN nth = 0 THEN 'hard' END AS boundary FROM sentences),

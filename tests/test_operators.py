@@ -84,7 +84,7 @@ def test_chunks_agree_with_the_kernel(spark):
     text = " ".join(f"Sentence {i} has words a{i} b{i} c{i} d{i} and e{i}." for i in range(150))
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
     said = S.sentence_spans(rows, ["doc_id"]).select("doc_id", F.lit(0).alias("run"), F.col("nth").alias("pos"), "sentence", F.col("begin").alias("start_idx"), F.col("end").alias("end_idx"), (F.col("nth") == 0).alias("opens"), F.lit("text").alias("kind"), F.lit(0).alias("page"))
-    got = S.chunk_rows(S.surviving(said), S.packed(S.with_boundaries(S.surviving(said)))).orderBy("nth").collect()
+    got = S.chunk_rows(S.with_boundaries(S.surviving(said))).orderBy("nth").collect()
     want = raw_chunks(events([Element("text", text)]), Embedder(), Options())
     assert [(r["content"], r["token_count"], r["span_start"], r["span_end"]) for r in got] == [(c.content, c.token_count, c.span_start, c.span_end) for c in want]
 
