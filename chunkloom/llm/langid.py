@@ -203,7 +203,7 @@ def _parser(samples: dict[str, str]) -> CrossParser:
     return _parsers[key]
 
 
-def predict(samples: dict[str, str], texts: Sequence[str | None], budget: int = 4_000_000) -> tuple[list[str], list[float]]:
+def predict(samples: dict[str, str], texts: Sequence[str | None], budget: int = 2_000_000) -> tuple[list[str], list[float]]:
     """Language and score of each text; ``budget`` letters are parsed at once."""
     parser = _parser(samples)
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)

@@ -135,7 +135,9 @@ def near_duplicates(
     owner = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "least")
     best = owner.groupBy("root").agg(F.min("least").alias("best"))
     linked = roots.join(best, "root").select(F.col("node").alias("fp"), "best")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("best", "least").alias("best"))
+    # written, so that both sides of the last join are shuffled and AQE can split the rows
+    # of a fingerprint that very many documents share
+    named = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("best", "least").alias("best")), "named")
     return marks.join(named, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
