@@ -233,6 +233,27 @@ def predict(samples: dict[str, str], texts: Sequence[str | None], budget: int =
     return langs, scores
 
 
+def judged(
+    docs: DataFrame,
+    name: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    samples: dict[str, str] | None = None,
+) -> DataFrame:
+    """``docs`` with a struct ``name`` of ``lang_pred`` and ``score``; see ``identify``."""
+    samples = training_sample(docs, id_col, text_col, lang_col) if samples is None else samples
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # TRAIN_CHARS letters a language
+
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            langs, scores = predict(shared.value, [t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return docs.withColumn(name, judge(F.col(f"`{text_col}`")))
+
+
 def identify(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -248,16 +269,7 @@ def identify(
     learned. Rows, repeated ones too, stay as they are. ``samples`` (language: text)
     replaces the sample drawn from the table. Ties go to the smaller language name.
     """
-    samples = training_sample(docs, id_col, text_col, lang_col) if samples is None else samples
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            langs, scores = predict(shared.value, [t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
-
     name = fresh_name(docs, "judged")
-    judged = docs.withColumn(name, judge(F.col(f"`{text_col}`")))
+    out = judged(docs, name, id_col, text_col, lang_col, samples)
     taken = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return judged.select(*[f"`{c}`" for c in taken], f"{name}.lang_pred", f"{name}.score")
+    return out.select(*[f"`{c}`" for c in taken], f"{name}.lang_pred", f"{name}.score")

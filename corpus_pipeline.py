@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import read_table, written
+from chunkloom.llm.common import fresh_name, read_table, written
 from chunkloom.llm.exact_dedup import distinct_documents
-from chunkloom.llm.langid import UNKNOWN, identify
+from chunkloom.llm.langid import UNKNOWN, judged
 from chunkloom.llm.mixing import mixed_documents
 from chunkloom.llm.packing import pack
 from chunkloom.llm.simhash import without_near_duplicates
@@ -23,8 +23,9 @@ from chunkloom.llm.simhash import without_near_duplicates
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter go."""
-    judged = identify(docs)
-    return judged.where(F.col("lang_pred") != UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
+    name = fresh_name(docs, "judged")
+    known = judged(docs, name).where(F.col(f"{name}.lang_pred") != UNKNOWN)
+    return known.select(*[f"`{c}`" for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

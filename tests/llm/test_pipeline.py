@@ -11,13 +11,14 @@ def test_stages(spark, tmp_path):
     """Each stage's decision on rows whose fate is known."""
     rng = random.Random(6)
     near = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)) + " "
-    rows = [(*r[:4], 1) for r in ROWS] + [(50, near + "end", "en", "a", 1), (51, near + "end.", "en", "a", 1), (52, near.upper() + "END", "en", "a", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(*r[:4], 1, "own", "kept") for r in ROWS] + [(i, t, "en", "a", 1, "own", None) for i, t in ((50, near + "end"), (51, near + "end."), (52, near.upper() + "END"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, position string")
     kept = [docs]
     for _, stage in corpus_pipeline.STAGES:
         kept.append(written(stage(spark, kept[-1], ""), "stage"))
     texts = [[r["text"] for r in d.collect()] for d in kept[:-1]]
     assert all(d.columns == docs.columns for d in kept[:-1])
+    assert all({r["score"] for r in d.collect()} == {"own"} for d in kept[:-1])
     assert sorted(texts[1]) == sorted(t for _, t, *_ in rows if t and re.search(r"[^\W\d_]", t))
     assert len(texts[2]) == len({re.sub(r"\s+", " ", t) for t in texts[1]})
     assert sum(t.lower().startswith(near[:40]) for t in texts[3]) == 1
