@@ -1,7 +1,7 @@
 """Token-id files: an adaptive context-mixing range coder in independent blocks.
 
 A file is a folder of Parquet parts in ascending document order; each row is a chunk of
-whole documents, its bytes in the format below. Ids must be below 65536.
+whole documents, its bytes in the format below. Ids must be below 65535.
 
 Chunk, little-endian: magic ``TIC1``, uint32 counts of documents and of ids, then three
 zlib streams (uint32 size before each): int64 document lengths, the order-0 table as
@@ -13,7 +13,7 @@ A block holds BLOCK ids (the last one fewer) and resets all adaptive state, so t
 be decoded alone. Order 2 predicts the id that last followed the two ids before, order 1 the
 one that last followed the id before; order 0 is the chunk's table. The orders are mixed into
 one distribution over {order-2 guess, order-1 guess, order 0}, with weights that adapt to
-how often each was right while the guesses agreed, differed or were missing. The range
+how often each was right while the guesses agreed or differed. The range
 coder is carryless, with 64-bit state and 32-bit words.
 
 All blocks of a chunk are coded in lock-step, one numpy lane a block.
@@ -43,7 +43,8 @@ END_ID = 2
 _TABLE = 256  # slots of each guess table of a lane
 _MIX_BITS, _ZERO_BITS = np.uint64(12), np.uint64(20)
 _NONE = 0xFFFF
-_RATE = 4  # weights learn at every second id
+_MOST = 0xFFFE  # so that ranks stay below _NONE
+_RATE, _EVERY = 3, 4  # weights learn at every fourth id
 U64 = np.uint64
 _WORD, _LEAST = U64(32), U64(1 << 32)
 
@@ -53,50 +54,80 @@ class Corrupt(ValueError):
 
 
 class _Model:
-    """Guess tables and mixing weights of all lanes; slot 0xFFFF is no guess."""
+    """Guess tables and mixing weights of all lanes. Symbols are ranks below _NONE; a slot
+    that holds _NONE is no guess."""
 
     def __init__(self, lanes: int):
         self.two = np.full(lanes * _TABLE, _NONE, np.uint16)
         self.one = np.full(lanes * _TABLE, _NONE, np.uint16)
         self.base = np.arange(lanes, dtype=np.int64) * _TABLE
-        # chance of the order-2 and of the order-1 guess, by state of the guesses and lane
-        self.p2 = np.full(lanes * 4, 1400, np.int64)
-        self.p1 = np.full(lanes * 4, 500, np.int64)
-        self.own = np.arange(lanes, dtype=np.int64) * 4
+        # chance of the order-2 and of the order-1 guess where they differ (first half) and agree
+        self.p2 = np.full(lanes * 2, 1400, np.int64)
+        self.p1 = np.full(lanes * 2, 500, np.int64)
+        # what of 4096 these give the first guess, and both
+        self.f2, self.f21 = np.empty_like(self.p2), np.empty_like(self.p2)
+        self.share(slice(None), self.p2, self.p1)
+        self.own = np.arange(lanes, dtype=np.int64)
+        self.lanes = lanes
         self.last = np.zeros(lanes, np.int64)  # hash of the id before
         self.before = np.zeros(lanes, np.int64)
 
+    def share(self, state, p2, p1) -> None:
+        self.f2[state] = p2 + 1
+        self.f21[state] = p2 + 2 + ((4093 - p2) * p1 >> 12)
+
     def guess(self, n: int):
-        """Guesses of order 2 and 1, and the shares of 4096 that they get."""
+        """Guesses of order 2 and 1, the share of 4096 of the first, and of both."""
         last, base = self.last[:n], self.base[:n]
-        self.at1 = base + (last >> 4 & (_TABLE - 1))
-        self.at2 = base + (last + (self.before[:n] >> 2) >> 3 & (_TABLE - 1))
-        g2, g1 = self.two[self.at2], self.one[self.at1]
-        self.state = self.own[:n] + (g2 == _NONE) + 2 * ((g1 == _NONE) | (g1 == g2))
-        self.q2, self.q1 = self.p2[self.state], self.p1[self.state]
-        f2 = self.q2 + 1
-        return g2, g1, f2, ((4094 - f2) * self.q1 >> 12) + 1
+        self.at1 = (last >> 4 & (_TABLE - 1)) + base
+        self.at2 = (last + (self.before[:n] >> 2) >> 3 & (_TABLE - 1)) + base
+        g2, g1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.state = (g1 == g2) * self.lanes + self.own[:n]
+        return g2, g1, self.f2.take(self.state), self.f21.take(self.state)
 
     def learn(self, n: int, sym, hit2, hit1, weigh: bool) -> None:
         if weigh:
-            self.p2[self.state] = self.q2 + ((hit2 * 4000 - self.q2) >> _RATE)
-            self.p1[self.state] = self.q1 + ((hit1 * 4000 - self.q1 >> _RATE) * ~hit2)
+            p2, p1 = self.p2.take(self.state), self.p1.take(self.state)
+            p2 += hit2 * 4000 - p2 >> _RATE
+            p1 += (hit1 * 4000 - p1 >> _RATE) * ~hit2
+            self.p2[self.state], self.p1[self.state] = p2, p1
+            self.share(self.state, p2, p1)
         self.two[self.at2] = sym
         self.one[self.at1] = sym
         self.before[:n] = self.last[:n]
         np.multiply(sym, 40503, out=self.last[:n], dtype=np.int64, casting="unsafe")
 
 
+def _shares(hit2, hit1, f2, f21):
+    """Where the chosen third of the 4096 begins and how much it is."""
+    cum, size = f21.copy(), 4096 - f21
+    at = np.flatnonzero(hit1)
+    cum[at] = f2[at]
+    size[at] = f21[at] - f2[at]
+    at = np.flatnonzero(hit2)
+    cum[at] = 0
+    size[at] = f2[at]
+    return cum.view(U64), size.view(U64)
+
+
 def _zero_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids that occur and their weights, which sum to 2 ** _ZERO_BITS."""
+    """Ids that occur, the most frequent first, and their weights, which sum to
+    2 ** _ZERO_BITS."""
     seen = np.bincount(ids)
     known = np.flatnonzero(seen)
+    known = known[np.argsort(-seen[known], kind="stable")]
     total = 1 << int(_ZERO_BITS)
     weight = np.maximum(1, np.floor(seen[known] * ((total - len(known)) / len(ids))).astype(np.int64))
-    weight[weight.argmax()] += total - weight.sum()
+    weight[0] += total - weight.sum()
     return known.astype(np.uint16), weight.astype(np.uint32)
 
 
+def _zero_spans(weight: np.ndarray) -> np.ndarray:
+    """Begin (upper half) and size of each rank's share."""
+    weight = weight.astype(np.uint64)
+    return np.append((np.cumsum(weight) - weight) << _WORD | weight, U64(0))
+
+
 def _narrow(low, span) -> np.ndarray:
     """Lanes that must put out a word. Where their range spans a word's edge it ends there,
     so that the word is settled; a range is never empty."""
@@ -107,13 +138,10 @@ def _narrow(low, span) -> np.ndarray:
     return todo
 
 
-def encode_blocks(grid: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight: np.ndarray) -> list[bytes]:
-    """Code words of each block; ``grid`` is (step, lane), ``sizes`` don't grow."""
+def encode_blocks(grid: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> list[bytes]:
+    """Code words of each block; ``grid`` is ranks by (step, lane), ``sizes`` don't grow."""
     steps, lanes = grid.shape
-    begin = np.zeros(65536, np.uint64)
-    freq = np.zeros(65536, np.uint64)
-    begin[known] = np.cumsum(weight) - weight
-    freq[known] = weight
+    spans = _zero_spans(weight)
     model = _Model(lanes)
     low, span = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
     out, used = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)
@@ -121,24 +149,23 @@ def encode_blocks(grid: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight
     for step in range(steps):
         n = alive[step]
         sym, lo, sp = grid[step, :n], low[:n], span[:n]
-        g2, g1, f2, f1 = model.guess(n)
+        g2, g1, f2, f21 = model.guess(n)
         hit2 = sym == g2
         hit1 = (sym == g1) & ~hit2
-        cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1)).view(U64)
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f2 - f1)).view(U64)
+        cum, size = _shares(hit2, hit1, f2, f21)
         unit = sp >> _MIX_BITS
         lo += unit * cum
         np.multiply(unit, size, out=sp)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        s = sym[miss]
-        unit = sp[miss] >> _ZERO_BITS
-        lo[miss] += unit * begin[s]
-        sp[miss] = unit * freq[s]
+        miss = ~(hit2 | hit1)
+        zero = spans.take(sym)
+        unit = sp >> _ZERO_BITS
+        lo += unit * (zero >> _WORD) * miss
+        np.copyto(sp, unit * (zero & (_LEAST - U64(1))), where=miss)
         todo = _narrow(lo, sp)
         out[todo, used[todo]] = lo[todo] >> _WORD
         lo[todo] <<= _WORD
         used[todo] += 1
-        model.learn(n, sym, hit2, hit1, step % 2 == 0)
+        model.learn(n, sym, hit2, hit1, step % _EVERY == 0)
     every = np.arange(lanes)
     for half in (low >> _WORD, low & (_LEAST - U64(1))):
         out[every, used] = half
@@ -146,14 +173,11 @@ def encode_blocks(grid: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight
     return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
 
 
-def decode_blocks(words: np.ndarray, start: np.ndarray, sizes: np.ndarray, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def decode_blocks(words: np.ndarray, start: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The grid (step, lane) again; ``words`` is padded, lanes start at ``start``."""
     lanes, steps = len(sizes), int(sizes[0])
-    begin = np.zeros(65536, np.uint64)
-    freq = np.zeros(65536, np.uint64)
-    begin[known] = np.cumsum(weight) - weight
-    freq[known] = weight
-    slot = np.repeat(known, weight)
+    spans = _zero_spans(weight)
+    slot = np.repeat(np.arange(len(weight), dtype=np.uint16), weight)
     model = _Model(lanes)
     low, span = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
     at = start.astype(np.int64)
@@ -164,28 +188,27 @@ def decode_blocks(words: np.ndarray, start: np.ndarray, sizes: np.ndarray, known
     for step in range(steps):
         n = alive[step]
         lo, sp, co = low[:n], span[:n], code[:n]
-        g2, g1, f2, f1 = model.guess(n)
+        g2, g1, f2, f21 = model.guess(n)
         unit = sp >> _MIX_BITS
-        value = np.minimum((co - lo) // unit, U64(4095)).view(np.int64)
-        f21 = f2 + f1
-        hit2 = value < f2
-        hit1 = (value < f21) & ~hit2
-        cum = np.where(hit2, 0, np.where(hit1, f2, f21)).view(U64)
-        size = np.where(hit2, f2, np.where(hit1, f1, 4096 - f21)).view(U64)
+        above = co - lo
+        hit2 = above < unit * f2.view(U64)
+        hit1 = (above < unit * f21.view(U64)) & ~hit2
+        cum, size = _shares(hit2, hit1, f2, f21)
         lo += unit * cum
         np.multiply(unit, size, out=sp)
-        sym = np.where(hit2, g2, g1)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        unit = sp[miss] >> _ZERO_BITS
-        s = slot[np.minimum((co[miss] - lo[miss]) // unit, U64((1 << int(_ZERO_BITS)) - 1)).view(np.int64)]
-        lo[miss] += unit * begin[s]
-        sp[miss] = unit * freq[s]
-        sym[miss] = s
+        unit = sp >> _ZERO_BITS
+        sym = slot.take(np.minimum((co - lo) // unit, U64((1 << int(_ZERO_BITS)) - 1)).view(np.int64))
+        np.copyto(sym, g1, where=hit1)
+        np.copyto(sym, g2, where=hit2)
+        miss = ~(hit2 | hit1)
+        zero = spans.take(sym, mode="clip")  # a damaged block may hold any guess
+        lo += unit * (zero >> _WORD) * miss
+        np.copyto(sp, unit * (zero & (_LEAST - U64(1))), where=miss)
         todo = _narrow(lo, sp)
         lo[todo] <<= _WORD
         co[todo] = co[todo] << _WORD | words[at[todo]]
         at[todo] += 1
-        model.learn(n, sym, hit2, hit1, step % 2 == 0)
+        model.learn(n, sym, hit2, hit1, step % _EVERY == 0)
         grid[step, :n] = sym
     return grid
 
@@ -194,20 +217,22 @@ def write_chunk(docs: list[bytes]) -> bytes:
     """Bytes of a chunk of documents, each its ids as little-endian 32-bit numbers."""
     lengths = np.array([len(x) // 4 for x in docs], "<i8")
     ids = np.frombuffer(b"".join(docs), "<u4")
-    if len(ids) and ids.max() > 0xFFFF:
-        raise ValueError("ids of 65536 and more don't fit this format")
+    if len(ids) and ids.max() > _MOST:
+        raise ValueError(f"ids over {_MOST} don't fit this format")
     n = len(ids)
     streams = [lengths.tobytes(), b"", b""]
     body = b""
     if n:
         known, weight = _zero_table(ids)
         lanes = -(-n // BLOCK)
+        rank = np.zeros(65536, np.uint16)
+        rank[known] = np.arange(len(known))
         grid = np.zeros(lanes * BLOCK, np.uint16)
-        grid[:n] = ids
+        grid[:n] = rank.take(ids)
         sizes = np.full(lanes, BLOCK, np.int64)
         sizes[-1] = n - BLOCK * (lanes - 1)
         steps = int(sizes[0])
-        coded = encode_blocks(np.ascontiguousarray(grid.reshape(lanes, BLOCK).T[:steps]), sizes, known, weight)
+        coded = encode_blocks(np.ascontiguousarray(grid.reshape(lanes, BLOCK).T[:steps]), sizes, weight)
         data = memoryview(ids.tobytes())
         crc = [zlib.crc32(data[i * BLOCK * 4 : (i + 1) * BLOCK * 4]) for i in range(lanes)]
         streams[1] = known.astype("<u2").tobytes() + weight.astype("<u4").tobytes()
@@ -251,9 +276,9 @@ def read_chunk(data: bytes) -> list[bytes]:
     sizes = np.full(lanes, BLOCK, np.int64)
     sizes[-1] = n - BLOCK * (lanes - 1)
     pad = np.zeros(2 * BLOCK + 16, np.uint32)  # a damaged block may read on
-    grid = decode_blocks(np.concatenate((words, pad)), np.cumsum(size) - size, sizes, known, weight)
+    grid = decode_blocks(np.concatenate((words, pad)), np.cumsum(size) - size, sizes, weight)
     ids = np.zeros((lanes, BLOCK), "<u4")
-    ids[:, : len(grid)] = grid.T
+    ids[:, : len(grid)] = known.take(grid.T, mode="clip")
     flat = memoryview(ids.reshape(-1)[:n].tobytes())
     for i in range(lanes):
         if zlib.crc32(flat[i * BLOCK * 4 : (i + 1) * BLOCK * 4]) != crc[i]:

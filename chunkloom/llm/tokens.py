@@ -13,12 +13,9 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Sequence
-from itertools import chain
 
 #: Words held by a worker (about 200 bytes each); the memory starts anew beyond.
 WORDS_HELD = 700_000
-#: Characters of texts whose words are looked up at once.
-CHARS_AT_ONCE = 4_000_000
 
 
 def default_path() -> str:
@@ -36,6 +33,27 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
 
+class _Words(dict):
+    """Ids of words as little-endian 32-bit numbers; a word not met before is encoded."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.whole, self.model, self.spelt = tokenizer.encode, tokenizer.model.tokenize, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        base = word.rstrip(".,")
+        plain = base.isascii()
+        if not base.isalpha() or not plain and max(base) > "ÿ":
+            ids = array("I", self.whole(word, add_special_tokens=False).ids).tobytes()
+        elif word == (low := base.lower()):
+            # letters are one run, which goes to the model as its bytes are spelt
+            ids = array("I", [t.id for t in self.model(low if plain else low.translate(self.spelt))]).tobytes()
+        else:
+            ids = self[low] + self[word[len(base) :]]
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids, without special tokens added."""
 
@@ -44,51 +62,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words_held = Tokenizer.from_file(path), words_held
-        self.model = self.tokenizer.model
-        self.spelt = byte_letters()
-        self.held: dict[str, bytes] = {"": b""}
-
-    def _word(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        held, tokenize = self.held, self.model.tokenize
-        for w in words:
-            base = w.rstrip(".,")
-            plain = base.isascii()
-            if not base.isalpha() or not plain and max(base) > "ÿ":
-                held[w] = self._word(w)
-                continue
-            low = base.lower()
-            ids = held.get(low)
-            if ids is None:
-                # letters are one run, which goes to the model as its bytes are spelt
-                ids = held[low] = array("I", [t.id for t in tokenize(low if plain else low.translate(self.spelt))]).tobytes()
-            tail = w[len(base) :]
-            if tail:
-                end = held.get(tail)
-                if end is None:
-                    end = held[tail] = self._word(tail)
-                ids += end
-            held[w] = ids
+        self.held = _Words(self.tokenizer)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        out: list[bytes] = []
-        some, size = [], 0
+        out = []
         for t in texts:
-            some.append(t.replace("\n", " ").split(" "))
-            size += len(t)
-            if size >= CHARS_AT_ONCE:
-                out += self._encode(some)
-                some, size = [], 0
-        return out + self._encode(some)
-
-    def _encode(self, texts: list[list[str]]) -> list[bytes]:
-        if len(self.held) > self.words_held:
-            self.held = {"": b""}
-        self._learn(set(chain.from_iterable(texts)).difference(self.held))
-        get = self.held.__getitem__
-        return [b"".join(map(get, words)) for words in texts]
+            if len(self.held) > self.words_held:
+                self.held = _Words(self.tokenizer)
+            out.append(b"".join(map(self.held.__getitem__, t.replace("\n", " ").split(" "))))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
