@@ -10,6 +10,7 @@ itself; the letters go, in lower case, to its model at once.
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
 from collections.abc import Sequence
@@ -66,10 +67,16 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out = []
-        for t in texts:
-            if len(self.held) > self.words_held:
-                self.held = _Words(self.tokenizer)
-            out.append(b"".join(map(self.held.__getitem__, t.replace("\n", " ").split(" "))))
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and a collection walks all words held
+        try:
+            for t in texts:
+                if len(self.held) > self.words_held:
+                    self.held = _Words(self.tokenizer)
+                out.append(b"".join(map(self.held.__getitem__, t.replace("\n", " ").split(" "))))
+        finally:
+            if collects:
+                gc.enable()
         return out
 
 
