@@ -44,7 +44,7 @@ _TABLE = 256  # slots of each guess table of a lane
 _MIX_BITS, _ZERO_BITS = np.uint64(12), np.uint64(20)
 _NONE = 0xFFFF
 _MOST = 0xFFFE  # so that ranks stay below _NONE
-_RATE, _EVERY = 3, 4  # weights learn at every fourth id
+_RATE, _EVERY = 2, 8  # weights learn at every eighth id
 U64 = np.uint64
 _WORD, _LEAST = U64(32), U64(1 << 32)
 

@@ -15,7 +15,8 @@ import os
 from array import array
 from collections.abc import Sequence
 
-#: Words held by a worker (about 200 bytes each); the memory starts anew beyond.
+#: Words held by a worker (about 200 bytes each). Beyond, words not held are encoded each
+#: time; after as many of them the memory starts anew, as the texts have changed.
 WORDS_HELD = 700_000
 
 
@@ -35,10 +36,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of words as little-endian 32-bit numbers; a word not met before is encoded."""
+    """Ids of words as little-endian 32-bit numbers; a word not held is encoded."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, limit: int):
         super().__init__({"": b""})
+        self.limit, self.passed = limit, 0
         self.whole, self.model, self.spelt = tokenizer.encode, tokenizer.model.tokenize, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
@@ -51,7 +53,10 @@ class _Words(dict):
             ids = array("I", [t.id for t in self.model(low if plain else low.translate(self.spelt))]).tobytes()
         else:
             ids = self[low] + self[word[len(base) :]]
-        self[word] = ids
+        if len(self) < self.limit:
+            self[word] = ids
+        else:
+            self.passed += 1
         return ids
 
 
@@ -63,7 +68,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words_held = Tokenizer.from_file(path), words_held
-        self.held = _Words(self.tokenizer)
+        self.held = _Words(self.tokenizer, words_held)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out = []
@@ -71,8 +76,8 @@ class WordEncoder:
         gc.disable()  # nothing here is cyclic, and a collection walks all words held
         try:
             for t in texts:
-                if len(self.held) > self.words_held:
-                    self.held = _Words(self.tokenizer)
+                if self.held.passed > self.words_held:
+                    self.held = _Words(self.tokenizer, self.words_held)
                 out.append(b"".join(map(self.held.__getitem__, t.replace("\n", " ").split(" "))))
         finally:
             if collects:
