@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,6 +60,18 @@ def _options(max_tokens: int | None, overlap_tokens: int | None, threshold: floa
     return Options(**{k: v for k, v in given.items() if v is not None})
 
 
+def spread(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` over all cores, where a plain file scan has fewer partitions than there are
+    (small files, few row groups). Anything larger, derived or streamed stays as it is."""
+    if docs.isStreaming:
+        return docs
+    nodes = set(re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE))
+    if not nodes <= {"Relation", "Project", "Filter"}:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, id_col) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def chunk_documents(docs: DataFrame, *, max_tokens: int | None = None, overlap_tokens: int | None = None, boundary_threshold: float | None = None, model_dir: str | None = None) -> DataFrame:
     """Chunks of document rows ``doc_id, pages``: ``doc_id`` and the fields of a chunk.
 
@@ -73,7 +86,8 @@ def chunk_markdown(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """Chunks of Markdown texts; null and blank ones have none."""
     decode = lambda text: [Element(k, c, page, m or {}) for k, c, m in parse_markdown(text)]
     run = _chunker(decode, _options(max_tokens, overlap_tokens, boundary_threshold), model_dir)
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(run(F.col(text_col))).alias("c")).select("doc_id", "c.*")
+    docs = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    return docs.select("doc_id", F.explode(run(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
 def markdown_elements(text: Column) -> Column:
