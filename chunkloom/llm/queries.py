@@ -62,7 +62,8 @@ def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = identify(read_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", (crc_of_id(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+    held = F.coalesce(crc_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))
+    return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
