@@ -11,11 +11,19 @@ give all pairs within the group. There the fingerprints are linked through keys
 instead: each emits its whole ball of radius one (65 keys), and two meet in a key
 exactly if they differ in at most two bits. A key has at most 65 members, so this is
 linear in the group and loses nothing.
+
+Removal of near copies is by similarity (``without_near_duplicates``): texts with a
+Jaccard similarity of their word shingles of at least 0.8. Such pairs differ in some ten
+bits of 64 and in up to about twenty, a radius at which segments of 64 bits select
+nothing. So candidates are the links above and the texts that share a band of MinHash
+values, and all candidates are held against each other by their whole shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -29,6 +37,12 @@ from .components import connected_components
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
+#: Of the removal of near copies: words of a shingle and least Jaccard similarity.
+NEAR_WORDS = 5
+NEAR_SIMILARITY = 0.8
+#: Bands and MinHash values of a band; a pair of similarity 0.8 shares none with a
+#: probability of (1 - 0.8^5)^24 = 0.00007.
+BANDS, BAND_ROWS = 24, 5
 #: A segment value with more fingerprints is linked through balls.
 HOT_BUCKET = 64
 #: Shingles whose bits are counted at once.
@@ -36,28 +50,60 @@ _BLOCK = 1 << 15
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a text, unsigned; 0 where there are no words."""
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in text order, in blocks; none where there are no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
-        return 0
-    k = min(SHINGLE_WORDS, n)
+        return
+    k = min(shingle_words, n)
     digest = xxhash.xxh64_intdigest
-    if n <= k:
-        return digest(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if n <= k:
+        yield np.array([digest(joined, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    counts, total = np.zeros(64, np.int64), n - k + 1
+    total = n - k + 1
     begin, end = starts[:total].tolist(), ends[k - 1 :].tolist()
     for i in range(0, total, _BLOCK):
-        h = np.fromiter((digest(joined[p:q], SEED) for p, q in zip(begin[i : i + _BLOCK], end[i : i + _BLOCK])), np.uint64, min(_BLOCK, total - i))
+        yield np.fromiter((digest(joined[p:q], SEED) for p, q in zip(begin[i : i + _BLOCK], end[i : i + _BLOCK])), np.uint64, min(_BLOCK, total - i))
+
+
+def _simhash(blocks: Iterable[np.ndarray]) -> int:
+    counts, total = np.zeros(64, np.int64), 0
+    for h in blocks:
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        total += len(h)
     return int(((counts * 2 > total).astype(np.uint64) << _SHIFTS).sum(dtype=np.uint64))
 
 
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text, unsigned; 0 where there are no words."""
+    return _simhash(shingle_hashes(text, shingle_words))
+
+
+def shingle_set(text: str | None, shingle_words: int = NEAR_WORDS) -> np.ndarray:
+    """Distinct shingle hashes, ascending; texts without words share one of their own."""
+    blocks = list(shingle_hashes(text, shingle_words))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(1, np.uint64)
+
+
+_rng = np.random.default_rng(SEED)
+_FLIPS, _FACTORS = (_rng.integers(0, 2**64, (BANDS * BAND_ROWS, 1), np.uint64) for _ in range(2))
+_FACTORS |= np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A signed key for each band of the set's MinHash values."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), 4096):
+        np.minimum(least, ((shingles[None, i : i + 4096] ^ _FLIPS) * _FACTORS).min(axis=1), out=least)
+    raw = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), j) for j, r in enumerate(raw)], np.uint64).view(np.int64).tolist()
+
+
 def _fingerprints(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
@@ -147,9 +193,110 @@ def near_duplicates(
     )
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row of each component, with the columns of ``docs`` and no others."""
+def similar_groups(sets: Iterable[np.ndarray], similarity: float) -> list[int]:
+    """For each of the sets (ascending, not empty), the place of the first one of its
+    component; sets with at least this Jaccard similarity are linked.
+
+    Sets are compared that share a hash among their least, as any two so similar must;
+    those already in one component aren't compared again.
+    """
+    held: list[np.ndarray] = []
+    root: list[int] = []
+    index: dict[int, dict[int, list[int]]] = {}  # shingle: component: members
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for x, s in enumerate(sets):
+        held.append(s)
+        root.append(x)
+        n = len(s)
+        prefix = s[: n - math.ceil(similarity * n - 1e-9) + 1].tolist()
+        tried: set[int] = set()
+        for key in prefix:
+            there = index.setdefault(key, {})
+            for r in list(there):
+                if (now := find(r)) != r:
+                    there.setdefault(now, []).extend(there.pop(r))
+            for r, members in list(there.items()):
+                if find(r) == find(x):
+                    continue
+                for at, y in enumerate(members):
+                    if y in tried:
+                        continue
+                    tried.add(y)
+                    t = held[y]
+                    m = len(t)
+                    if min(n, m) < similarity * max(n, m) - 1e-9:
+                        continue
+                    common = int((t[np.minimum(np.searchsorted(t, s), m - 1)] == s).sum())
+                    if common >= similarity * (n + m - common) - 1e-9:
+                        members[0], members[at] = y, members[0]  # likely the next one's match
+                        p, q = find(x), find(y)
+                        root[max(p, q)] = min(p, q)
+                        break
+        for key in prefix:
+            index[key].setdefault(find(x), []).append(x)
+    return [find(i) for i in range(len(held))]
+
+
+def without_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = NEAR_WORDS,
+    max_bits: int = MAX_BITS,
+    similarity: float = NEAR_SIMILARITY,
+) -> DataFrame:
+    """One row of each component of near copies, with the columns of ``docs`` and no others.
+
+    Rows are linked whose sets of ``shingle_words`` words have a Jaccard similarity of
+    ``similarity`` or more; texts without words are equal. Candidates share a band of
+    MinHash values or have fingerprints of at most ``max_bits`` (0 to 2) differing bits;
+    groups of candidates are held against each other exactly, each group in one task. The
+    row with the smallest id stays (null ids last, of repeated ids the first row).
+    """
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"max_bits is 0 to {MAX_BITS}: two segments find no more")
     row = fresh_name(docs, "row")
     marked = numbered(docs, row)
-    stay = near_duplicates(marked, id_col, text_col, row).where("first").select(F.col("row_id").alias(row))
-    return marked.join(stay, row, "left_semi").select(*[marked[f"`{c}`"] for c in docs.columns])
+
+    def marks_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fps, keys = [], []
+            for t in pdf["text"]:
+                blocks = list(shingle_hashes(t, shingle_words))
+                fps.append(_simhash(blocks))
+                keys.append(band_keys(np.unique(np.concatenate(blocks))) if blocks else [])
+            yield pd.DataFrame({"row_id": pdf["row_id"], "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
+
+    plain = marked.select(F.col(row).alias("row_id"), F.col(text_col).alias("text"))
+    marks = written(plain.mapInPandas(marks_of, "row_id long, fp long, keys array<long>"), "marks")
+    nodes = written(marks.groupBy("fp").agg(F.min("row_id").alias("owner"), F.count("*").alias("n")), "nodes")
+    ends = near_links(nodes.select("fp")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    owners = nodes.select("fp", "owner")
+    ends = ends.join(owners.toDF("a", "x"), "a").join(owners.toDF("b", "y"), "b").select("x", "y")
+    same = marks.select("row_id", "fp").join(nodes.where("n > 1"), "fp").select("row_id", "owner")
+    keyed = marks.select("row_id", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.min("row_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    links = ends.union(same).union(keyed.join(shared, "key").select("row_id", "owner"))
+    groups = written(connected_components(links, "x", "y"), "groups")
+
+    def copies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in zip(pdf["root"], pdf["row_id"], pdf["text"]))
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            ids: list[int] = []
+            firsts = similar_groups((ids.append(r[1]) or shingle_set(r[2], shingle_words) for r in group), similarity)
+            gone = [i for at, (i, first) in enumerate(zip(ids, firsts)) if at != first]
+            if gone:
+                yield pd.DataFrame({"row_id": gone})
+
+    told = marked.select(F.col(row).alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    told = told.join(groups.select(F.col("node").alias("row_id"), "root"), "row_id").repartition("root")
+    told = told.sortWithinPartitions("root", F.col("doc_id").isNull(), "doc_id", "row_id")
+    gone = written(told.select("root", "row_id", "text").mapInPandas(copies, "row_id long"), "gone")
+    left = marked.join(gone.select(F.col("row_id").alias(row)), row, "left_anti")
+    return left.select(*[marked[f"`{c}`"] for c in docs.columns])

@@ -34,7 +34,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near-equal fingerprints."""
+    """One document of every component of near copies (five-word shingles, Jaccard 0.8 or more)."""
     return without_near_duplicates(docs)
 
 

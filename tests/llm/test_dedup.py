@@ -115,3 +115,29 @@ def test_near_odd_rows(spark):
     kept = without_near_duplicates(docs(spark))
     assert kept.columns == docs(spark).columns and kept.count() == sum(r["first"] for r in got)
     assert near_duplicates(docs(spark, [])).count() == 0
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_similarity(spark):
+    """Every pair of at least 0.8 is linked, no pair below; checked against all pairs."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 2 + len(base) // 35)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(pairs) > 20
+    want = plain_components(pairs, range(len(texts)))
+    rows = [(i, t, "en", "a", 1, "x") for i, t in enumerate(texts)]
+    got = {r["doc_id"] for r in without_near_duplicates(docs(spark, rows)).collect()}
+    assert got == set(want.values())
