@@ -66,13 +66,32 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Bits of a row's number that tell its place in the file; those above tell the file.
+_ROW_BITS = 40
+
+
 def numbered(docs: DataFrame, column: str) -> DataFrame:
     """``docs`` with a number for each row that is the same whenever it is read.
 
-    Rows of plain file scans are numbered as they are read, since a scan's partitions stay
-    the same; anything else is written first.
+    Rows of plain Parquet scans get a number of their file and their place in it, which
+    don't depend on how a scan is split; anything else is numbered and written first.
     """
-    out = docs.withColumn(column, F.monotonically_increasing_id())
     plan = docs._jdf.queryExecution().optimizedPlan()
-    nodes = set(re.findall(r"^[\s:+-]*(\w+)", plan.toString(), re.MULTILINE))
-    return out if plan.deterministic() and nodes <= {"Relation", "Project", "Filter"} else written(out, "numbered")
+    text = plan.toString()
+    nodes = set(re.findall(r"^[\s:+-]*(\w+)", text, re.MULTILINE))
+    scan = plan.deterministic() and nodes <= {"Relation", "Project", "Filter"} and re.search(r"Relation \[.*\] parquet$", text, re.MULTILINE)
+    if scan:
+        files = list(plan.collectLeaves().head().relation().location().inputFiles())
+        scan = len(set(files)) == len(files)  # a file that is named twice is read twice
+    if scan and not any(c.lower().startswith("_metadata") for c in docs.columns):
+        path = F.col("_metadata.file_path")
+        paths = sorted(r[0] for r in docs.select(path.alias("path")).distinct().collect())
+        for salt in range(64):
+            # a hash instead of a table of all files in the plan; one that tells them apart
+            tag = F.xxhash64(path, F.lit(salt)).bitwiseAND(F.lit((1 << 63 - _ROW_BITS) - 1))
+            if len(paths) < 2:
+                tag = F.lit(0).cast("long")
+            elif docs.select(path.alias("path"), tag.alias("tag")).distinct().agg(F.count_distinct("tag")).first()[0] < len(paths):
+                continue
+            return docs.withColumn(column, F.shiftleft(tag, _ROW_BITS) + F.col("_metadata.row_index"))
+    return written(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
