@@ -25,7 +25,7 @@ from .common import crc_of_id, fresh_name
 
 #: Letters of training text a language, at most; the sample takes whole documents.
 TRAIN_CHARS = 40_000
-#: Longer documents are not used for training (all are judged whole).
+#: Longer documents train only a language that has no shorter ones (all are judged whole).
 TRAIN_DOC_CHARS = 8_000
 #: Expected documents of the sample a language, before it is cut to TRAIN_CHARS.
 TRAIN_DOCS = 64
@@ -171,24 +171,31 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
 
     Bounds: documents of at most TRAIN_DOC_CHARS characters, picked by a hash of their
     id so that about TRAIN_DOCS of a language come to the driver. Languages are counted
-    over all allowed rows.
+    over all allowed rows; one of which this gives no letter is learned from the first
+    TRAIN_CHARS characters, from a letter on, of one of its documents, whatever its length.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_of_id(F.col(id_col)) % 4 != 2))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where(F.length("text") <= TRAIN_DOC_CHARS)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    short = F.length("text") <= TRAIN_DOC_CHARS
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, TRAIN_DOCS / n))])
-    luck = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    got = rows.where(luck < F.element_at(share, F.col("lang"))).collect()
     out: dict[str, str] = {}
-    for r in sorted(got, key=lambda r: (hashlib.md5(str(r["id"]).encode()).hexdigest(), r["text"])):
-        sofar = out.get(r["lang"], "")
-        if len(sofar) + len(r["text"]) <= TRAIN_CHARS:
-            out[r["lang"]] = f"{sofar} {r['text']}"
-    for r in rows.where(~F.col("lang").isin(*out)).groupBy("lang").agg(F.min_by("text", "id").alias("text")).collect() if len(out) < len(counts) else ():
-        out[r["lang"]] = r["text"]  # a language of which chance took no document
+    if any(counts.values()):
+        share = F.create_map(*[F.lit(x) for k, n in counts.items() if n for x in (k, min(1.0, TRAIN_DOCS / n))])
+        luck = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+        got = rows.where(short & (luck < F.try_element_at(share, F.col("lang")))).collect()
+        for r in sorted(got, key=lambda r: (hashlib.md5(str(r["id"]).encode()).hexdigest(), r["text"])):
+            sofar = out.get(r["lang"], "")
+            if len(sofar) + len(r["text"]) <= TRAIN_CHARS:
+                out[r["lang"]] = f"{sofar} {r['text']}"
+    out = {k: v for k, v in out.items() if len(folded(v))}
+    if lacking := sorted(counts.keys() - out.keys()):
+        # all its documents are long, or chance took none of it
+        begun = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{TRAIN_CHARS - 1}}}", 0)
+        rest = rows.where(F.col("lang").isin(lacking) & F.col("text").rlike(r"\p{L}"))
+        for r in rest.groupBy("lang").agg(F.min_by(begun, F.struct(~short, "id")).alias("text")).collect():
+            out[r["lang"]] = r["text"]
     return {k: v for k, v in out.items() if len(folded(v))}
 
 

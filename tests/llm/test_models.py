@@ -55,6 +55,20 @@ def test_language_odd_rows(spark):
     assert langid.identify(docs(spark, unlabelled)).collect()[0]["lang_pred"] == "und"
 
 
+def test_language_of_long_documents_only(spark):
+    """A language whose labelled documents are all long, or short ones have no letter, is learned."""
+    english = "the quick brown fox jumps over the lazy dog and then sleeps "
+    dutch = "de snelle bruine vos springt over de luie hond en gaat daarna slapen "
+    rows = [(i, english, "en", "a", 1, "x") for i in range(1, 9)]
+    rows += [(i, "12 345 - " + dutch * 900, "nl", "book", 1, "x") for i in range(11, 19)] + [(i, "12 34", "nl", "a", 1, "x") for i in range(21, 29)]
+    sample = langid.training_sample(docs(spark, rows), "doc_id", "text", "lang")
+    assert sorted(sample) == ["en", "nl"] and sample["nl"].startswith("de snelle") and len(sample["nl"]) == langid.TRAIN_CHARS
+    got = langid.identify(docs(spark, rows)).where("doc_id between 11 and 18").collect()
+    assert {r["lang_pred"] for r in got} == {"nl"}
+    books = [r for r in rows if r[3] == "book"]
+    assert list(langid.training_sample(docs(spark, books), "doc_id", "text", "lang")) == ["nl"]
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [r for r in langid.identify(d).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
