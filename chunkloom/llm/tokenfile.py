@@ -1,22 +1,28 @@
 """Token-id files: an adaptive context-mixing range coder in independent blocks.
 
 A file is a folder of Parquet parts in ascending document order; each row is a chunk of
-whole documents, its bytes in the format below. Ids must be below 65535.
-
-Chunk, little-endian: magic ``TIC1``, uint32 counts of documents and of ids, then three
-zlib streams (uint32 size before each): int64 document lengths, the order-0 table as
-(uint16 id, uint32 weight) pairs, and the block index as (uint32 words, uint32 crc32 of the
-block's ids as 32-bit numbers); last the blocks' 32-bit code words, one block after another.
-Document ids stand in a column of their own.
-
-A block holds BLOCK ids (the last one fewer) and resets all adaptive state, so that it can
-be decoded alone. Order 2 predicts the id that last followed the two ids before, order 1 the
-one that last followed the id before; order 0 is the chunk's table. The orders are mixed into
-one distribution over {order-2 guess, order-1 guess, order 0}, with weights that adapt to
-how often each was right while the guesses agreed or differed. The range
-coder is carryless, with 64-bit state and 32-bit words.
-
-All blocks of a chunk are coded in lock-step, one numpy lane a block.
+whole documents, its bytes in the format below. Ids are any 32-bit numbers.
+
+Chunk, little-endian: magic ``TIC2``, uint32 counts of documents, ids and blocks, uint32
+size and zlib stream of int64 document lengths, then the blocks one after another. Document
+ids stand in a column of their own.
+
+Block: uint32 ids, uint32 crc32 of these ids as 32-bit numbers, uint32 distinct ids, uint32
+bytes of its dictionary, uint32 code words; then the dictionary (its distinct ids ascending,
+as differences, byte planes in zlib) and the 32-bit code words. A block holds BLOCK ids (the
+last one of a chunk fewer) and can be decoded by itself, as ``read_block`` does: nothing is
+carried from one to another.
+
+An id is coded as its place in the block's dictionary, in two symbols: its upper and its
+lower half of bits. Each of these steps is predicted by three adaptive counts of what came at this node of the tree: in the
+whole block (order 0), after the id before (order 1) and after the two ids before (order 2).
+The three distributions are mixed into one with weights that stand by how much each of
+orders 1 and 2 has seen here and that learn, at every step, from how well each order
+predicted; the mixture drives a carryless range coder with 64-bit state and 32-bit words.
+Counts and weights begin anew in each block. Arithmetic on weights is element by element in
+IEEE single precision, so that any machine mixes alike.
+
+Blocks are coded in lock-step, one numpy lane a block.
 """
 
 from __future__ import annotations
@@ -35,97 +41,139 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 from .tokens import default_path, encoder
 
-MAGIC = b"TIC1"
-BLOCK = 1024
+MAGIC = b"TIC2"
+BLOCK = 16384
+#: Blocks that are coded at once, times the width of a symbol (each holds 8 KB by width).
+LANES = 16384
 #: Ids of a chunk, whole documents (a longer document is a chunk alone).
-CHUNK_IDS = 3_000_000
+CHUNK_IDS = 8_000_000
+#: Characters of text that a task takes (about, by a sum over all texts).
+TASK_CHARS = 32_000_000
 END_ID = 2
-_TABLE = 256  # slots of each guess table of a lane
-_MIX_BITS, _ZERO_BITS = np.uint64(12), np.uint64(20)
-_NONE = 0xFFFF
-_MOST = 0xFFFE  # so that ranks stay below _NONE
-_RATE, _EVERY = 2, 8  # weights learn at every eighth id
+_HEAD = struct.Struct("<5I")
+_ROWS = 1 << 12  # rows of counts of order 1, and of order 2, of a lane
+_FIRST = 0.25  # counts of order 0 begin so
+_FULL = 250  # a row of the others that has counted so many is halved
+_RATE, _LEAST_WEIGHT = np.float32(0.02), np.float32(0.002)
+_MIX = np.array([[0x27D4EB2F], [0x165667B1]])
 U64 = np.uint64
-_WORD, _LEAST = U64(32), U64(1 << 32)
+_WORD, _LEAST, _UNIT = U64(32), U64(1 << 32), U64(16)
 
 
 class Corrupt(ValueError):
     """A chunk or block that doesn't match its checksum or format."""
 
 
-class _Model:
-    """Guess tables and mixing weights of all lanes. Symbols are ranks below _NONE; a slot
-    that holds _NONE is no guess."""
-
-    def __init__(self, lanes: int):
-        self.two = np.full(lanes * _TABLE, _NONE, np.uint16)
-        self.one = np.full(lanes * _TABLE, _NONE, np.uint16)
-        self.base = np.arange(lanes, dtype=np.int64) * _TABLE
-        # chance of the order-2 and of the order-1 guess where they differ (first half) and agree
-        self.p2 = np.full(lanes * 2, 1400, np.int64)
-        self.p1 = np.full(lanes * 2, 500, np.int64)
-        # what of 4096 these give the first guess, and both
-        self.f2, self.f21 = np.empty_like(self.p2), np.empty_like(self.p2)
-        self.share(slice(None), self.p2, self.p1)
-        self.own = np.arange(lanes, dtype=np.int64)
-        self.lanes = lanes
-        self.last = np.zeros(lanes, np.int64)  # hash of the id before
-        self.before = np.zeros(lanes, np.int64)
-
-    def share(self, state, p2, p1) -> None:
-        self.f2[state] = p2 + 1
-        self.f21[state] = p2 + 2 + ((4093 - p2) * p1 >> 12)
-
-    def guess(self, n: int):
-        """Guesses of order 2 and 1, the share of 4096 of the first, and of both."""
-        last, base = self.last[:n], self.base[:n]
-        self.at1 = (last >> 4 & (_TABLE - 1)) + base
-        self.at2 = (last + (self.before[:n] >> 2) >> 3 & (_TABLE - 1)) + base
-        g2, g1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.state = (g1 == g2) * self.lanes + self.own[:n]
-        return g2, g1, self.f2.take(self.state), self.f21.take(self.state)
-
-    def learn(self, n: int, sym, hit2, hit1, weigh: bool) -> None:
-        if weigh:
-            p2, p1 = self.p2.take(self.state), self.p1.take(self.state)
-            p2 += hit2 * 4000 - p2 >> _RATE
-            p1 += (hit1 * 4000 - p1 >> _RATE) * ~hit2
-            self.p2[self.state], self.p1[self.state] = p2, p1
-            self.share(self.state, p2, p1)
-        self.two[self.at2] = sym
-        self.one[self.at1] = sym
-        self.before[:n] = self.last[:n]
-        np.multiply(sym, 40503, out=self.last[:n], dtype=np.int64, casting="unsafe")
-
-
-def _shares(hit2, hit1, f2, f21):
-    """Where the chosen third of the 4096 begins and how much it is."""
-    cum, size = f21.copy(), 4096 - f21
-    at = np.flatnonzero(hit1)
-    cum[at] = f2[at]
-    size[at] = f21[at] - f2[at]
-    at = np.flatnonzero(hit2)
-    cum[at] = 0
-    size[at] = f2[at]
-    return cum.view(U64), size.view(U64)
+def _first_weights() -> np.ndarray:
+    """Weights of orders 0, 1 and 2 at a block's beginning, by step and by how much orders
+    1 and 2 have seen: what has seen more counts for more."""
+    seen = np.array([0, 1, 2, 3.5, 6, 11, 24, 80])
+    two = np.broadcast_to(0.8 * seen / (seen + 2), (8, 8))
+    one = (1 - two) * (seen / (seen + 6))[:, None]
+    return np.tile(np.stack((1 - one - two, one, two)).astype(np.float32).reshape(3, -1), 2)
 
 
-def _zero_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids that occur, the most frequent first, and their weights, which sum to
-    2 ** _ZERO_BITS."""
-    seen = np.bincount(ids)
-    known = np.flatnonzero(seen)
-    known = known[np.argsort(-seen[known], kind="stable")]
-    total = 1 << int(_ZERO_BITS)
-    weight = np.maximum(1, np.floor(seen[known] * ((total - len(known)) / len(ids))).astype(np.int64))
-    weight[0] += total - weight.sum()
-    return known.astype(np.uint16), weight.astype(np.uint32)
+class _Model:
+    """Counts and weights of all lanes, as they stand after the ids so far.
 
+    Order 0 has a row of counts for each node of the tree; orders 1 and 2 have a hash table
+    of rows each. What a row of theirs has counted in all, and in the upper byte the tag of
+    whose row it is, is its ``seen``; a row that is met with another tag begins anew.
+    """
 
-def _zero_spans(weight: np.ndarray) -> np.ndarray:
-    """Begin (upper half) and size of each rank's share."""
-    weight = weight.astype(np.uint64)
-    return np.append((np.cumsum(weight) - weight) << _WORD | weight, U64(0))
+    def __init__(self, lanes: int, bits: int):
+        self.width, tree = 1 << bits, 1 + (1 << bits)
+        self.zero = np.full((lanes * tree, self.width), _FIRST, np.float32)
+        self.zero_flat = self.zero.reshape(-1)
+        self.zero_total = np.full(lanes * tree, _FIRST * self.width, np.float32)
+        self.rows = np.zeros((lanes * 2 * _ROWS, self.width), np.uint8)
+        self.flat = self.rows.reshape(-1)
+        self.seen = np.zeros(lanes * 2 * _ROWS, np.uint16)
+        every = np.arange(lanes, dtype=np.int64)
+        self.zero_base = every * tree
+        self.base = np.stack((every * 2 * _ROWS, every * 2 * _ROWS + _ROWS))
+        steps = np.array([0, 1, 2, 3, 3, 4, 4, 4, *[5] * 8, *[6] * 16, *[7] * 224])
+        self.seen1, self.seen2 = steps * 8, steps
+        self.weights = np.tile(_first_weights(), lanes)
+        self.own = every * 128
+        self.share = np.zeros(256, np.float32)
+        self.share[1:] = np.float32(1) / np.arange(1, 256, dtype=np.float32)
+        self.below = np.triu(np.ones((self.width, self.width + 1), np.float32), 1)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def begin(self, n: int) -> None:
+        """An id begins in the first n lanes."""
+        one = (self.last[:n] + 1) * 0x9E3779B1
+        self.context = np.stack((one, one + (self.before[:n] + 1) * 0x85EBCA77))
+
+    def cumulative(self, n: int, node: np.ndarray) -> np.ndarray:
+        """Where each symbol's share of 65536 begins, and where the last one ends; ``node``
+        is 0 at the first step, then 1 and the first symbol."""
+        self.zero_at = self.zero_base[:n] + node
+        key = (self.context ^ node * 0x2545F491) * _MIX
+        self.at = (key >> 15 & (_ROWS - 1)) + self.base[:, :n]
+        self.tag = (key >> 32 & 0xFF00).astype(np.uint16)
+        seen = self.seen.take(self.at)
+        others = np.flatnonzero((seen ^ self.tag) > 0xFF)
+        if len(others):
+            self.rows[self.at.reshape(-1).take(others)] = 0
+            seen.reshape(-1)[others] = 0
+        seen &= 0xFF
+        self.now = seen
+        kind = self.seen1.take(seen[0])
+        kind += self.seen2.take(seen[1])
+        kind += self.own[:n]
+        kind += 64 * (node > 0)
+        self.kind, self.weight = kind, self.weights.take(kind, axis=1)
+        self.scale = self.weight.copy()
+        self.scale[0] /= self.zero_total.take(self.zero_at)
+        self.scale[1:] *= self.share.take(seen)
+        mixed = self.zero.take(self.zero_at, axis=0)
+        mixed *= self.scale[0][:, None]
+        for order in (0, 1):
+            part = self.rows.take(self.at[order], axis=0).astype(np.float32)
+            part *= self.scale[order + 1][:, None]
+            mixed += part
+        mixed *= np.float32(65000)
+        np.floor(mixed, out=mixed)
+        mixed += 1
+        return mixed @ self.below  # whole numbers below 2 ** 24, so exact in any order
+
+    def learn(self, n: int, sym: np.ndarray) -> None:
+        """Weights and counts after ``sym`` came."""
+        cell, zero = self.at * self.width + sym, self.zero_at * self.width + sym
+        count, zero_count = self.flat.take(cell), self.zero_flat.take(zero)
+        good = np.empty((3, n), np.float32)
+        good[0] = zero_count
+        good[1:] = count
+        good *= self.scale
+        total = good[0] + good[1]
+        total += good[2]
+        good /= total
+        good -= self.weight
+        good *= _RATE
+        good += self.weight
+        np.maximum(good, _LEAST_WEIGHT, out=good)
+        self.weights[:, self.kind] = good
+        zero_count += 1
+        self.zero_flat[zero] = zero_count
+        self.zero_total[self.zero_at] += 1
+        count += 1
+        self.flat[cell] = count
+        now = self.now
+        now += 1
+        if now.max() >= _FULL:
+            full = np.flatnonzero(now >= _FULL)
+            rows = self.at.reshape(-1).take(full)
+            half = (self.rows[rows] + 1) >> 1
+            self.rows[rows] = half
+            now.reshape(-1)[full] = half.sum(axis=1)
+        now |= self.tag
+        self.seen[self.at] = now
+
+    def end(self, n: int, place: np.ndarray) -> None:
+        self.before[:n] = self.last[:n]
+        self.last[:n] = place
 
 
 def _narrow(low, span) -> np.ndarray:
@@ -138,151 +186,181 @@ def _narrow(low, span) -> np.ndarray:
     return todo
 
 
-def encode_blocks(grid: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> list[bytes]:
-    """Code words of each block; ``grid`` is ranks by (step, lane), ``sizes`` don't grow."""
+def _bits(distinct: int) -> int:
+    """Bits of a symbol, of which two tell so many places."""
+    return max(5, (distinct.bit_length() + 1) // 2)
+
+
+def encode_places(grid: np.ndarray, sizes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Code words of each lane; ``grid`` is places by (step, lane), ``sizes`` don't grow."""
     steps, lanes = grid.shape
-    spans = _zero_spans(weight)
-    model = _Model(lanes)
+    model = _Model(lanes, bits)
     low, span = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
-    out, used = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)
+    # room for the most words; pages that none reach are never touched
+    out, used = np.zeros((lanes, 2 * steps + 2), np.uint32), np.zeros(lanes, np.int64)
+    row = np.arange(lanes) * (model.width + 1)
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
     for step in range(steps):
         n = alive[step]
-        sym, lo, sp = grid[step, :n], low[:n], span[:n]
-        g2, g1, f2, f21 = model.guess(n)
-        hit2 = sym == g2
-        hit1 = (sym == g1) & ~hit2
-        cum, size = _shares(hit2, hit1, f2, f21)
-        unit = sp >> _MIX_BITS
-        lo += unit * cum
-        np.multiply(unit, size, out=sp)
-        miss = ~(hit2 | hit1)
-        zero = spans.take(sym)
-        unit = sp >> _ZERO_BITS
-        lo += unit * (zero >> _WORD) * miss
-        np.copyto(sp, unit * (zero & (_LEAST - U64(1))), where=miss)
-        todo = _narrow(lo, sp)
-        out[todo, used[todo]] = lo[todo] >> _WORD
-        lo[todo] <<= _WORD
-        used[todo] += 1
-        model.learn(n, sym, hit2, hit1, step % _EVERY == 0)
+        place, lo, sp = grid[step, :n].astype(np.int64), low[:n], span[:n]
+        first, second = place >> bits, place & (model.width - 1)
+        model.begin(n)
+        for node, sym in ((np.zeros(n, np.int64), first), (first + 1, second)):
+            ends = model.cumulative(n, node).reshape(-1)
+            at = row[:n] + sym
+            begin, unit = ends.take(at).astype(U64), sp >> _UNIT
+            np.multiply(unit, ends.take(at + 1).astype(U64) - begin, out=sp)
+            unit *= begin
+            lo += unit
+            todo = _narrow(lo, sp)
+            if len(todo):
+                out[todo, used[todo]] = lo[todo] >> _WORD
+                lo[todo] <<= _WORD
+                used[todo] += 1
+            model.learn(n, sym)
+        model.end(n, place)
     every = np.arange(lanes)
     for half in (low >> _WORD, low & (_LEAST - U64(1))):
         out[every, used] = half
         used += 1
-    return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
+    return [out[i, : used[i]].astype("<u4") for i in range(lanes)]
 
 
-def decode_blocks(words: np.ndarray, start: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The grid (step, lane) again; ``words`` is padded, lanes start at ``start``."""
+def decode_places(words: list[np.ndarray], sizes: np.ndarray, bits: int) -> np.ndarray:
+    """The grid (step, lane) again."""
     lanes, steps = len(sizes), int(sizes[0])
-    spans = _zero_spans(weight)
-    slot = np.repeat(np.arange(len(weight), dtype=np.uint16), weight)
-    model = _Model(lanes)
+    pad = np.zeros(2 * steps + 8, np.uint32)  # a damaged block may read on
+    flat = np.concatenate([*words, pad])
+    at = np.cumsum([0, *map(len, words)])[:-1].astype(np.int64)
+    model = _Model(lanes, bits)
     low, span = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
-    at = start.astype(np.int64)
-    code = words[at].astype(U64) << _WORD | words[at + 1]
+    code = flat[at].astype(U64) << _WORD | flat[at + 1]
     at += 2
     grid = np.zeros((steps, lanes), np.uint16)
+    row = np.arange(lanes) * (model.width + 1)
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
     for step in range(steps):
         n = alive[step]
         lo, sp, co = low[:n], span[:n], code[:n]
-        g2, g1, f2, f21 = model.guess(n)
-        unit = sp >> _MIX_BITS
-        above = co - lo
-        hit2 = above < unit * f2.view(U64)
-        hit1 = (above < unit * f21.view(U64)) & ~hit2
-        cum, size = _shares(hit2, hit1, f2, f21)
-        lo += unit * cum
-        np.multiply(unit, size, out=sp)
-        unit = sp >> _ZERO_BITS
-        sym = slot.take(np.minimum((co - lo) // unit, U64((1 << int(_ZERO_BITS)) - 1)).view(np.int64))
-        np.copyto(sym, g1, where=hit1)
-        np.copyto(sym, g2, where=hit2)
-        miss = ~(hit2 | hit1)
-        zero = spans.take(sym, mode="clip")  # a damaged block may hold any guess
-        lo += unit * (zero >> _WORD) * miss
-        np.copyto(sp, unit * (zero & (_LEAST - U64(1))), where=miss)
-        todo = _narrow(lo, sp)
-        lo[todo] <<= _WORD
-        co[todo] = co[todo] << _WORD | words[at[todo]]
-        at[todo] += 1
-        model.learn(n, sym, hit2, hit1, step % _EVERY == 0)
-        grid[step, :n] = sym
+        place = node = np.zeros(n, np.int64)
+        model.begin(n)
+        for _ in range(2):
+            ends = model.cumulative(n, node)
+            unit = sp >> _UNIT
+            value = ((co - lo) // unit).astype(np.float32)  # below 65536, or the block is damaged
+            above = ends[:, 1:] <= value[:, None]
+            sym = np.bitwise_count(above.view(U64)).sum(axis=1, dtype=np.int64)
+            np.minimum(sym, model.width - 1, out=sym)
+            ends = ends.reshape(-1)
+            cell = row[:n] + sym
+            begin = ends.take(cell).astype(U64)
+            np.multiply(unit, ends.take(cell + 1).astype(U64) - begin, out=sp)
+            unit *= begin
+            lo += unit
+            todo = _narrow(lo, sp)
+            if len(todo):
+                lo[todo] <<= _WORD
+                co[todo] = co[todo] << _WORD | flat[at[todo]]
+                at[todo] += 1
+            model.learn(n, sym)
+            place, node = place << bits | sym, sym + 1
+        model.end(n, place)
+        grid[step, :n] = place
     return grid
 
 
+def write_blocks(ids: np.ndarray) -> Iterator[bytes]:
+    """The blocks of ids, in order."""
+    parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    told = [np.unique(p, return_inverse=True) for p in parts]
+    words: list = [None] * len(parts)
+    groups: dict[int, list[int]] = {}
+    for i, (known, _) in enumerate(told):
+        groups.setdefault(_bits(len(known)), []).append(i)
+    for bits, members in groups.items():
+        for k in range(0, len(members), LANES >> bits):
+            lanes = members[k : k + (LANES >> bits)]  # only the last block of all is smaller
+            sizes = np.array([len(parts[i]) for i in lanes])
+            grid = np.zeros((int(sizes[0]), len(lanes)), np.uint16)
+            for lane, i in enumerate(lanes):
+                grid[: len(parts[i]), lane] = told[i][1]
+            for i, coded in zip(lanes, encode_places(grid, sizes, bits)):
+                words[i] = coded
+    for part, (known, _), coded in zip(parts, told, words):
+        gaps = np.diff(known.astype(np.int64), prepend=0).astype("<u4")
+        known_bytes = zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+        yield _HEAD.pack(len(part), zlib.crc32(part.tobytes()), len(known), len(known_bytes), len(coded)) + known_bytes + coded.tobytes()
+
+
+def _parsed(data: bytes, at: int) -> tuple[int, int, np.ndarray, np.ndarray, int]:
+    """Size, checksum, dictionary and code words of the block at a place, and where it ends."""
+    try:
+        size, crc, distinct, packed, words = _HEAD.unpack_from(data, at)
+        at += _HEAD.size
+        end = at + packed + 4 * words
+        if not 0 < distinct <= size <= BLOCK or words < 2 or end > len(data):
+            raise Corrupt("a block's head is damaged")
+        gaps = np.frombuffer(zlib.decompress(data[at : at + packed]), np.uint8)
+        if len(gaps) != 4 * distinct:
+            raise Corrupt("a block's dictionary is damaged")
+    except (zlib.error, struct.error) as e:
+        raise Corrupt("a block's head is damaged") from e
+    known = np.cumsum(np.ascontiguousarray(gaps.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)).astype("<u4")
+    return size, crc, known, np.frombuffer(data[at + packed : end], "<u4"), end
+
+
+def _decoded(blocks: list[tuple]) -> list[bytes]:
+    """Ids of parsed blocks, as bytes; raises Corrupt where a checksum doesn't hold."""
+    out: list = [None] * len(blocks)
+    groups: dict[int, list[int]] = {}
+    for i, (size, _, known, *_) in sorted(enumerate(blocks), key=lambda x: -x[1][0]):
+        groups.setdefault(_bits(len(known)), []).append(i)
+    for bits, members in groups.items():
+        for k in range(0, len(members), LANES >> bits):
+            lanes = members[k : k + (LANES >> bits)]
+            grid = decode_places([blocks[i][3] for i in lanes], np.array([blocks[i][0] for i in lanes]), bits)
+            for lane, i in enumerate(lanes):
+                size, crc, known = blocks[i][:3]
+                out[i] = known.take(grid[:size, lane], mode="clip").tobytes()
+                if zlib.crc32(out[i]) != crc:
+                    raise Corrupt(f"block {i} doesn't match its checksum")
+    return out
+
+
+def read_block(data: bytes, at: int = 0) -> tuple[bytes, int]:
+    """Ids of the one block at a place, with nothing else read, and where it ends."""
+    block = _parsed(data, at)
+    return _decoded([block])[0], block[-1]
+
+
 def write_chunk(docs: list[bytes]) -> bytes:
     """Bytes of a chunk of documents, each its ids as little-endian 32-bit numbers."""
     lengths = np.array([len(x) // 4 for x in docs], "<i8")
     ids = np.frombuffer(b"".join(docs), "<u4")
-    if len(ids) and ids.max() > _MOST:
-        raise ValueError(f"ids over {_MOST} don't fit this format")
-    n = len(ids)
-    streams = [lengths.tobytes(), b"", b""]
-    body = b""
-    if n:
-        known, weight = _zero_table(ids)
-        lanes = -(-n // BLOCK)
-        rank = np.zeros(65536, np.uint16)
-        rank[known] = np.arange(len(known))
-        grid = np.zeros(lanes * BLOCK, np.uint16)
-        grid[:n] = rank.take(ids)
-        sizes = np.full(lanes, BLOCK, np.int64)
-        sizes[-1] = n - BLOCK * (lanes - 1)
-        steps = int(sizes[0])
-        coded = encode_blocks(np.ascontiguousarray(grid.reshape(lanes, BLOCK).T[:steps]), sizes, weight)
-        data = memoryview(ids.tobytes())
-        crc = [zlib.crc32(data[i * BLOCK * 4 : (i + 1) * BLOCK * 4]) for i in range(lanes)]
-        streams[1] = known.astype("<u2").tobytes() + weight.astype("<u4").tobytes()
-        streams[2] = np.array([len(x) // 4 for x in coded], "<u4").tobytes() + np.array(crc, "<u4").tobytes()
-        body = b"".join(coded)
-    head = MAGIC + struct.pack("<II", len(docs), n)
-    for x in streams:
-        z = zlib.compress(x, 6)
-        head += struct.pack("<I", len(z)) + z
-    return head + body
+    packed = zlib.compress(lengths.tobytes(), 6)
+    blocks = list(write_blocks(ids))
+    return b"".join([MAGIC, struct.pack("<4I", len(docs), len(ids), len(blocks), len(packed)), packed, *blocks])
 
 
 def read_chunk(data: bytes) -> list[bytes]:
     """The documents of a chunk; raises Corrupt where a checksum doesn't hold."""
-    if data[:4] != MAGIC:
+    if data[:4] != MAGIC or len(data) < 20:
         raise Corrupt("not a chunk of token ids")
-    docs, n = struct.unpack_from("<II", data, 4)
-    at, streams = 12, []
+    docs, n, count, packed = struct.unpack_from("<4I", data, 4)
+    at = 20 + packed
     try:
-        for _ in range(3):
-            (size,) = struct.unpack_from("<I", data, at)
-            streams.append(zlib.decompress(data[at + 4 : at + 4 + size]))
-            at += 4 + size
-    except (zlib.error, struct.error) as e:
-        raise Corrupt("a chunk's index is damaged") from e
-    lengths = np.frombuffer(streams[0], "<i8")
-    if len(lengths) != docs or lengths.sum() != n:
+        lengths = np.frombuffer(zlib.decompress(data[20:at]), "<i8")
+    except (zlib.error, ValueError) as e:
+        raise Corrupt("document lengths are damaged") from e
+    if len(lengths) != docs or lengths.sum() != n or (lengths < 0).any():
         raise Corrupt("document lengths don't match the ids")
-    if not n:
-        return [b""] * docs
-    m = len(streams[1]) // 6
-    known, weight = np.frombuffer(streams[1][: 2 * m], "<u2"), np.frombuffer(streams[1][2 * m :], "<u4")
-    lanes = -(-n // BLOCK)
-    index = np.frombuffer(streams[2], "<u4")
-    size, crc = index[:lanes].astype(np.int64), index[lanes:]
-    if (len(data) - at) % 4:
-        raise Corrupt("code words are cut off")
-    words = np.frombuffer(data[at:], "<u4")
-    if size.sum() != len(words) or len(crc) != lanes:
-        raise Corrupt("code words are missing")
-    sizes = np.full(lanes, BLOCK, np.int64)
-    sizes[-1] = n - BLOCK * (lanes - 1)
-    pad = np.zeros(2 * BLOCK + 16, np.uint32)  # a damaged block may read on
-    grid = decode_blocks(np.concatenate((words, pad)), np.cumsum(size) - size, sizes, weight)
-    ids = np.zeros((lanes, BLOCK), "<u4")
-    ids[:, : len(grid)] = known.take(grid.T, mode="clip")
-    flat = memoryview(ids.reshape(-1)[:n].tobytes())
-    for i in range(lanes):
-        if zlib.crc32(flat[i * BLOCK * 4 : (i + 1) * BLOCK * 4]) != crc[i]:
-            raise Corrupt(f"block {i} doesn't match its checksum")
+    blocks = []
+    for _ in range(count):
+        blocks.append(_parsed(data, at))
+        at = blocks[-1][-1]
+    if at != len(data) or sum(b[0] for b in blocks) != n:
+        raise Corrupt("blocks are missing")
+    flat = memoryview(b"".join(_decoded(blocks)))
     ends = (np.cumsum(lengths) * 4).tolist()
     return [bytes(flat[a:b]) for a, b in zip([0, *ends], ends)]
 
@@ -328,15 +406,25 @@ def _reader(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": pd.Series(list(names), dtype=object), "part": part, "start": before + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": [zlib.crc32(x) for x in docs]})
 
 
+def _tasks(docs: DataFrame, text_col: str) -> int:
+    """So many that each has some TASK_CHARS characters; of a small table as many as there
+    are cores, while each still fills a hundred blocks or so."""
+    chars = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(-(-chars // TASK_CHARS), min(cores, -(-chars // (TASK_CHARS // 8))), 1)
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Write all documents' ids, each with ``end_id`` after it, in ascending id order.
 
-    Null ids come first; null and empty texts are just ``end_id``; repeated rows are
-    written each. Other columns are ignored.
+    Null ids come first; rows of one id are in the order of their texts, and may go to
+    several tasks; null and empty texts are just ``end_id``; repeated rows are written each.
+    Other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's beginning too, so that an id that very many rows have is split
+    rows = rows.repartitionByRange(_tasks(docs, text_col), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     shape = f"part int, seq int, n_ids long, before long, doc_ids array<{kind}>, data binary"
     rows.mapInPandas(_writer(tokenizer or default_path(), end_id), shape).write.parquet(path)
 
