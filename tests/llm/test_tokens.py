@@ -61,7 +61,7 @@ def test_mixing_beats_order_zero(words):
     import pyarrow.parquet as pq
 
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
-    docs_ = WordEncoder(default_path()).encode([t or "" for t in texts[:400]])
+    docs_ = WordEncoder(default_path()).encode([t or "" for t in texts[:600]])
     ids = np.frombuffer(b"".join(docs_), "<u4")
     share = np.unique(ids, return_counts=True)[1] / len(ids)
     bits = 8 * len(tokenfile.write_chunk(docs_)) / len(ids)
