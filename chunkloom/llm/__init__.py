@@ -1,6 +1,6 @@
 """Operators for preparing training corpora at cluster scale.
 
 Nothing outside this subpackage imports it; its queries are listed in
-``registry`` and its end-to-end run lives in ``corpus_pipeline`` at the
+``queries`` and its end-to-end run lives in ``corpus_pipeline`` at the
 repository top.
 """

@@ -13,35 +13,65 @@ from pyspark.sql import functions as F
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-_fallback_dir: list[str] = []
+_own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: ``spark.checkpoint.dir`` if the session has one.
 
-    Only where it is unset (tests, a laptop) a fresh temporary folder is made
-    and set for the session.
+    Only a local session (tests, a laptop) may leave it unset and gets a temporary folder;
+    on a cluster that would be another folder on each machine, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not _fallback_dir:
-            _fallback_dir.append("file://" + tempfile.mkdtemp(prefix="chunkloom-"))
-        base = _fallback_dir[0]
-    return base.rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if app not in _own_dir:
+        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
+    return _own_dir[app]
+
+
+def _files(spark: SparkSession, path: str):
+    """Spark's file system and path of a folder, whatever store it is in."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for what is cut from lineage; it goes with the application."""
+    root = f"{shared_dir(spark)}/chunkloom-{spark.sparkContext.applicationId}"
+    fs, there = _files(spark, root)
+    if not fs.exists(there):
+        fs.mkdirs(there)
+        fs.deleteOnExit(there)
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/chunkloom-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of ``scratch_path`` that nothing reads any more; without paths all of
+    this application's."""
+    for path in paths or (scratch_root(spark),):
+        fs, there = _files(spark, path)
+        fs.delete(there, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: a cut of lineage
     that survives the loss of any executor."""
+    return kept(df, name)[0]
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, and the path, for those who know when it can be dropped."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Every round hangs neighbours under the smallest node they know (large star, then
 small star); both steps are a min-aggregation with map-side combine and a join, so
 that a node with very many links is split among tasks. Rounds are written to the
-shared folder; the driver sees one checksum a round.
+shared folder, each dropped when the next is there; the driver sees one checksum a round.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_scratch, kept
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -34,14 +34,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     Null ends, self links and repeated links are ignored; no links give no rows.
     """
     links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    now, path = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         digest = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (digest["n"], digest["h"]) == seen or not digest["n"]:
             break
         seen = (digest["n"], digest["h"])
-        now = written(_stars(_stars(now, True), False), "links")
+        before = path
+        now, path = kept(_stars(_stars(now, True), False), "links")
+        drop_scratch(now.sparkSession, before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -32,13 +32,46 @@ def test_exact_odd_rows(spark):
     assert exact_dedup(docs(spark, [])).count() == 0
 
 
-def test_index_remembers_batches(spark):
-    index = DigestIndex(spark, buckets=2)
+def test_index_remembers_batches(spark, tmp_path):
+    """Opened again by its path alone, an index knows what came before, and its buckets."""
+    path = f"file://{tmp_path}/index"
+    index = DigestIndex(spark, path, buckets=2)
     index.dedup(docs(spark, [(5, "old text", "en", "a", 1, "x")]))
-    again = DigestIndex(spark, index.name, buckets=2)
+    spark.sql(f"DROP TABLE {index.name}")  # as a session that never saw it
+    again = DigestIndex(spark, path, expected=10**9)
+    assert again.buckets == 2
     got = {(r["doc_id"], r["keep_id"], r["kept"]) for r in again.dedup(docs(spark, [(1, "old  text", "en", "a", 1, "x"), (2, "new", "en", "a", 1, "x")])).collect()}
     assert got == {(1, 5, False), (2, 2, True)}
     assert again.table().count() == 2
+    assert DigestIndex(spark, f"file://{tmp_path}/large", expected=10_500_000).buckets == 11
+    again.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_a_batch_that_is_tried_again(spark, tmp_path):
+    """The same batch after a failure keeps the same rows and appends nothing."""
+    path, one = f"file://{tmp_path}/index", docs(spark).repartition(3)
+    exact_dedup(docs(spark, ROWS[:1]), index=path, batch_id="first")
+    judged = [sorted(map(repr, exact_dedup(one, row_col="score", index=path, batch_id="second").collect())) for _ in range(2)]
+    assert judged[0] == judged[1]
+    table = DigestIndex(spark, path).table()
+    assert table.count() == table.select("digest").distinct().count() == len({norm(r[1]) for r in ROWS})
+    assert exact_dedup(one, index=path, batch_id="third").where("kept").count() == 0
+
+
+def test_new_rows_meet_the_index_by_sort_merge(spark, tmp_path):
+    """Of an anti-join's two sides only the batch is shuffled, an empty index included."""
+    index = DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    batch = spark.range(9).selectExpr("unhex(sha2(string(id), 256)) AS digest")
+    plan = index.unseen(batch, "now")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [digest" in plan and "LeftAnti" in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = index.unseen(batch, "now")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert index.unseen(batch, "now").count() == 9
 
 
 def test_distinct_documents_keep_columns(spark):
