@@ -97,7 +97,28 @@ def fresh_name(df: DataFrame, stem: str) -> str:
 
 
 #: Bits of a row's number that tell its place in the file; those above tell the file.
-_ROW_BITS = 40
+FILE_BITS = 40
+
+
+def _relation(docs: DataFrame):
+    """The one plain Parquet scan that ``docs`` reads, with columns chosen or rows left out
+    at most; else None. A file that is named twice is read twice, so that is none."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    node = plan
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation" or not plan.deterministic():
+        return None
+    relation = node.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString() != "Parquet":
+        return None
+    files = list(relation.location().inputFiles())
+    return relation if len(set(files)) == len(files) else None
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Whether rows of ``docs`` can be told by their file and their place in it."""
+    return _relation(docs) is not None and not any(c.lower().startswith("_metadata") for c in docs.columns)
 
 
 def numbered(docs: DataFrame, column: str) -> DataFrame:
@@ -106,22 +127,33 @@ def numbered(docs: DataFrame, column: str) -> DataFrame:
     Rows of plain Parquet scans get a number of their file and their place in it, which
     don't depend on how a scan is split; anything else is numbered and written first.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    nodes = set(re.findall(r"^[\s:+-]*(\w+)", text, re.MULTILINE))
-    scan = plan.deterministic() and nodes <= {"Relation", "Project", "Filter"} and re.search(r"Relation \[.*\] parquet$", text, re.MULTILINE)
-    if scan:
-        files = list(plan.collectLeaves().head().relation().location().inputFiles())
-        scan = len(set(files)) == len(files)  # a file that is named twice is read twice
-    if scan and not any(c.lower().startswith("_metadata") for c in docs.columns):
+    if is_scan(docs):
         path = F.col("_metadata.file_path")
         paths = sorted(r[0] for r in docs.select(path.alias("path")).distinct().collect())
         for salt in range(64):
             # a hash instead of a table of all files in the plan; one that tells them apart
-            tag = F.xxhash64(path, F.lit(salt)).bitwiseAND(F.lit((1 << 63 - _ROW_BITS) - 1))
+            tag = F.xxhash64(path, F.lit(salt)).bitwiseAND(F.lit((1 << 63 - FILE_BITS) - 1))
             if len(paths) < 2:
                 tag = F.lit(0).cast("long")
             elif docs.select(path.alias("path"), tag.alias("tag")).distinct().agg(F.count_distinct("tag")).first()[0] < len(paths):
                 continue
-            return docs.withColumn(column, F.shiftleft(tag, _ROW_BITS) + F.col("_metadata.row_index"))
+            return docs.withColumn(column, F.shiftleft(tag, FILE_BITS) + F.col("_metadata.row_index"))
     return written(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
+
+
+def file_order(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with each row's place in the order in which it was written.
+
+    Spark names the files of a write by its tasks, ``part-00000`` on, so that a table that
+    was written in sorted order has it in these numbers and in the rows' places within a
+    file, while a scan deals files out by size. What isn't told by such names, or is no
+    scan, is in the order of its partitions.
+    """
+    if is_scan(docs):
+        name = F.col("_metadata.file_name")
+        task = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+        told = docs.select(name.alias("name"), task.alias("task")).distinct()
+        files, tasks = told.agg(F.count("*"), F.count_distinct("task")).first()
+        if files == tasks or files < 2:
+            return docs.withColumn(column, F.shiftleft(F.coalesce(task, F.lit(0)), FILE_BITS) + F.col("_metadata.row_index"))
+    return docs.withColumn(column, F.monotonically_increasing_id())

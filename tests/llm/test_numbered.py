@@ -1,6 +1,10 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import numbered
+from chunkloom.llm import common
+from chunkloom.llm.common import drop_scratch, file_order, kept, numbered
 
 
 def test_numbers_stay_when_splits_change(spark, tmp_path):
@@ -29,3 +33,33 @@ def test_numbers_of_other_plans(spark, tmp_path):
     for docs in (spark.range(100).union(spark.range(100)), spark.read.parquet(path, path), once.withColumn("_metadata", F.lit(1))):
         rows = numbered(docs, "row").collect()
         assert len({r["row"] for r in rows}) == len(rows)
+
+
+def test_file_order_is_the_order_written(spark, tmp_path):
+    path = str(tmp_path / "sorted")
+    spark.range(5000).selectExpr("id", "repeat('x', int(if(id < 700, 900, 1))) AS pad").repartitionByRange(9, "id").sortWithinPartitions("id").write.parquet(path)
+    rows = file_order(spark.read.parquet(path), "at").select("id", "at").collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["at"])] == list(range(5000))
+    assert len({r["at"] for r in file_order(spark.range(10), "at").collect()}) == 10
+
+
+def test_scratch_is_dropped(spark):
+    df, path = kept(spark.range(3), "some")
+    assert df.count() == 3
+    drop_scratch(spark, path)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master, applicationId, getConf = "spark://far:7077", "app-1", dict
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    monkeypatch.setattr(Session.sparkContext, "master", "local[4]")
+    assert common.shared_dir(Session) == common.shared_dir(Session)
+    monkeypatch.setattr(Session, "conf", {"spark.checkpoint.dir": "far://store/"})
+    assert common.shared_dir(Session) == "far://store"

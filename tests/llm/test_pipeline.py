@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 from chunkloom.llm.common import written
+from chunkloom.llm.mixing import mix
 
 from .odd import ROWS
 
@@ -25,6 +26,28 @@ def test_stages(spark, tmp_path):
     assert set(texts[4]) <= set(texts[3])
     packed = kept[-1].toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
+    assert packed.position.nunique() == len(texts[4])
+
+
+def test_packing_keeps_the_order_of_the_mix(spark):
+    """Positions run as the mix wrote its documents, and sequences hold what stands near."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
+    plan = {(r["doc_id"], p) for r in mix(docs).collect() for p in r["positions"]}
+    mixed = written(corpus_pipeline.mix_sources(spark, docs.repartition(6), ""), "mixed")
+    got = corpus_pipeline.packing(spark, mixed, "").select("doc_id", "position").distinct().orderBy("position").collect()
+    of: dict[int, list[float]] = {}
+    for i, p in sorted(plan, key=lambda x: x[1]):
+        of.setdefault(i, []).append(p)
+    assert len(got) == len(plan)
+    seen = [of[r["doc_id"]].pop(0) for r in got]  # documents of equal positions may stand in either order
+    assert seen == sorted(seen)
+
+
+def test_empty_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, ""), "none")
+        assert docs.count() == 0
 
 
 def test_whole_run(spark):

@@ -136,3 +136,25 @@ def test_combinations_fill_windows():
     times = packing.rounded(combos, x, counts)
     used = np.bincount(combos.ravel(), np.repeat(times, 3), 2048)
     assert (x >= 0).all() and (used[1:] <= counts[1:]).all() and used[1:].sum() > 0.6 * counts.sum()
+
+
+def test_all_combinations_are_found():
+    counts = np.bincount(np.random.default_rng(2).integers(1, 40, 60), minlength=40)
+    have = [k for k in range(1, 40) if counts[k]]
+    want = {(a, b, 0) for a in have for b in have if a <= b and a + b == 40}
+    want |= {(a, b, c) for a in have for b in have for c in have if a <= b <= c and a + b + c == 40}
+    got = list(map(tuple, packing.combinations(counts).tolist()))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_most_ids_lie_in_combinations():
+    """Of blocks of some thousand documents, what combinations fill grows with the block."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (500, 4000):
+        rest = rng.lognormal(6.2, 1, n).astype(int) % 2048
+        counts = np.bincount(rest[rest > 0], minlength=2048)
+        combos = packing.combinations(counts)
+        times = packing.rounded(combos, packing.repeat_counts(combos, counts), counts)
+        shares.append(2048 * times.sum() / rest.sum())
+    assert shares[0] > 0.8 and shares[1] > 0.85
