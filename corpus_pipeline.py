@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import fresh_name, read_table, written
+from chunkloom.llm.common import drop_scratch, file_order, fresh_name, kept, read_table
 from chunkloom.llm.exact_dedup import distinct_documents
 from chunkloom.llm.langid import UNKNOWN, judged
 from chunkloom.llm.mixing import mixed_documents
@@ -44,8 +44,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
-    return pack(docs)
+    """Pieces of documents in training sequences, with each document's place in the order of
+    ``docs`` as ``position``: sequences hold documents that stand near one another there."""
+    place = fresh_name(docs, "place")
+    return pack(file_order(docs, place), order_col=place)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -62,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each but the last written in between."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each but the last written in between; what a stage has
+    read is dropped when it is written itself."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        docs, path = kept(stage(spark, docs, sf_dir), name.split()[0].lower())
+        for old in before:
+            drop_scratch(spark, old)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
