@@ -1,10 +1,12 @@
 import random
+import textwrap
 import zlib
 
 import numpy as np
+import pytest
 
-from chunkloom.llm import langid, quality
-from chunkloom.llm.licenses import NOTICES, compile_rules, normalise, scan_licenses
+from chunkloom.llm import langid, licenses, quality
+from chunkloom.llm.licenses import compile_rules, normalise, scan_licenses
 
 from .odd import ROWS, docs
 
@@ -134,28 +136,76 @@ def test_quality_odd_rows(spark):
     assert quality.classify(docs(spark, []), labels).count() == 0
 
 
+def wrapped(sentences, mark="", width=74):
+    """Paragraphs broken into lines, each behind a comment mark, with empty lines between."""
+    lines = []
+    for s in sentences:
+        lines += [*textwrap.wrap(s, width), ""]
+    return "\n".join(f"{mark} {x}".rstrip() if mark else x for x in lines)
+
+
+NAMED = dict(licenses.NOTICES)
+PUBLISHED = {
+    "MIT": ("MIT License", "Copyright (c) 2024 Jane Doe", *NAMED["MIT"], 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'),
+    "BSD-2-Clause": ("Copyright (c) 2024, Jane Doe", "All rights reserved.", NAMED["BSD-2-Clause"][0], "1. " + NAMED["BSD-2-Clause"][1], "2. " + NAMED["BSD-2-Clause"][2]),
+    "BSD-3-Clause": (NAMED["BSD-3-Clause"][0], *(f"* {s}" for s in NAMED["BSD-3-Clause"][1:])),
+    "Apache-2.0": ("Copyright 2024 Jane Doe", " ".join(NAMED["Apache-2.0"]), "http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software is distributed on an \"AS IS\" BASIS."),
+    "GPL-3.0-or-later": (NAMED["GPL-3.0-or-later"][0], "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."),
+    "GPL-2.0-or-later": NAMED["GPL-2.0-or-later"],
+    "LGPL-2.1-or-later": NAMED["LGPL-2.1-or-later"],
+    "AGPL-3.0-or-later": NAMED["AGPL-3.0-or-later"],
+    "MPL-2.0": (" ".join(licenses.NOTICES[9][1]),),
+    "ISC": ("Copyright (c) 2024, Jane Doe <jane@example.com>", *NAMED["ISC"]),
+    "Zlib": (" ".join(NAMED["Zlib"][:2]), NAMED["Zlib"][2]),
+}
+
+
+@pytest.mark.parametrize("mark", ["", "//", "#", " *", "--", ";;", "%", ">"])
+def test_published_notices(spark, mark):
+    """Notices in their published layout, wrapped and behind comment marks, among code."""
+    rows = [(i, f"int x;\n\n{wrapped(some, mark, 60 + i)}\nint main() {{ return 0; }}", name, "a", 1, "x") for i, (name, some) in enumerate(PUBLISHED.items())]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs(spark, rows)).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_licenses(spark):
-    mit = " ".join(NOTICES["MIT"])
+    mit = " ".join(NAMED["MIT"])
     texts = {
-        1: "Intro.\nReleased under the MIT License.\nMore text.",
-        2: f"/* {mit.replace('Software,', 'software,', 1)} */".replace("copies of the", "copies\n   of the"),
-        3: NOTICES["MIT"][1] + " " + NOTICES["MIT"][0],  # out of order
-        4: None,
-        5: "",
-        6: "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.",
-        7: "The license of a driver.",
+        1: ("Intro without a mark\nReleased under the MIT License.\nMore text.", "MIT (named)"),
+        2: (f"/* {mit} */".replace("copies of the", "copies\n   of the"), "MIT"),
+        3: (NAMED["MIT"][1] + " " + NAMED["MIT"][0], ""),  # out of order
+        4: (None, ""),
+        5: ("", ""),
+        6: ("Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.", "Apache-2.0 (named),CC-BY-NC-4.0 (named)"),
+        7: ("The license of a driver.", ""),
+        8: ("# SPDX-License-Identifier: BSD-3-Clause\nimport os", "BSD-3-Clause (tagged)"),
+        9: ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause (named)"),
+        10: (wrapped(PUBLISHED["BSD-3-Clause"]) + "\n\n" + wrapped(PUBLISHED["BSD-2-Clause"]), "BSD-2-Clause,BSD-3-Clause"),
+        11: ("A title\nThis work is licensed under the GNU General Public License, version 3\nby its author", "GPL-3.0 (named)"),
+        12: (f"x. {mit} y " * 300, "MIT"),
     }
-    rows = [(i, t, "en", "a", 1, "x") for i, t in texts.items()]
+    rows = [(i, t, "en", "a", 1, "x") for i, (t, _) in texts.items()]
     got = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs(spark, rows)).collect()}
-    # a line end is a sentence's end, so the broken text of 2 has no known first sentence
-    assert got == {1: "MIT (named)", 2: "", 3: "", 4: "", 5: "", 6: "Apache-2.0 (named),CC-BY-NC-4.0 (named)", 7: ""}
-    whole = scan_licenses(docs(spark, [(1, f"x. {mit} y", "en", "a", 1, "x")])).collect()[0]
-    assert whole["licenses"] == "MIT"
+    assert got == {i: want for i, (_, want) in texts.items()}
     assert scan_licenses(docs(spark)).count() == len(ROWS)
     assert scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_licenses_equal_sql(spark):
+    """The SQL, which cuts and numbers by itself, on notices of several sentences."""
+    import duckdb
+
+    texts = [wrapped(some, mark) for some in PUBLISHED.values() for mark in ("", "//", ";")]
+    texts += ["\n\n".join(map(wrapped, PUBLISHED.values())), wrapped(PUBLISHED["BSD-3-Clause"] * 2), None, "", "Released under MIT\nx"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = duckdb.connect().execute(licenses.oracle().replace("FROM documents", "FROM (SELECT unnest(?) AS doc_id, unnest(?) AS text)"), [list(range(len(texts))), texts]).fetchall()
+    assert sorted(map(tuple, scan_licenses(documents).collect())) == sorted(want)
+    assert sum(len(r[1]) > 0 for r in want) == len(texts) - 2
+
+
 def test_license_sentences():
-    known, rules = compile_rules(NOTICES)
-    assert len(rules) == len(NOTICES)
-    assert normalise("One (two), three! Four v2.0.\nFive") == ["one two three", "four v2.0", "five"]
+    known, rules = compile_rules(licenses.all_rules())
+    assert len(rules) == len(licenses.all_rules()) and all(any(a in s for a in licenses.ANCHORS) for s in known)
+    assert normalise("One (two), three! Four v2.0.\nFive\nsix\n\nseven") == ["one two three", "four v2.0", "five six", "seven"]
+    with pytest.raises(ValueError):
+        compile_rules([("none", ("Nothing here.",))])
