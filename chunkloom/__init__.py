@@ -20,10 +20,15 @@ __version__ = "0.1.0"
 __all__ = [
     "Chunk", "Element", "Embedder", "ModelEmbedder", "Options", "chunk_documents", "chunk_elements", "chunk_markdown",
     "chunk_request", "decode_documents", "explode_elements", "from_dicts", "make_chunker", "markdown_documents",
-    "parse_markdown", "read_json", "read_markdown", "release",
+    "parse_full_page_output", "parse_markdown", "read_json", "read_markdown", "release",
 ]
 
 
+def parse_full_page_output(text: str, page: int) -> list[Element]:
+    """Elements of a Markdown text on a page; the older name of a parse with a page."""
+    return [Element(k, c, page, m or {}) for k, c, m in parse_markdown(text)]
+
+
 def make_chunker(**options) -> SimpleNamespace:
     """``documents`` and ``markdown``, the two chunking functions with these options bound;
     a call may still set its own."""

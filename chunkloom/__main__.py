@@ -1,4 +1,5 @@
-"""``python -m chunkloom INPUT``: chunk a file, or standard input as ``-``."""
+"""``python -m chunkloom INPUT``: chunk a file, or standard input as ``-``;
+``python -m chunkloom --serve [HOST:]PORT`` answers requests."""
 
 from __future__ import annotations
 
@@ -6,12 +7,14 @@ import argparse
 import json
 import sys
 
+from .plans.server import serve
 from .plans.service import BadRequest, chunk_request
 
 
 def arguments() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="chunkloom", description="Chunk a Markdown or parsed document.")
-    out.add_argument("input", help="a file, or - for standard input")
+    out.add_argument("input", nargs="?", help="a file, or - for standard input")
+    out.add_argument("--serve", metavar="[HOST:]PORT", help="answer requests over HTTP instead")
     out.add_argument("--input-format", choices=("auto", "markdown", "json"), default="auto")
     out.add_argument("--format", choices=("summary", "json", "jsonl"), default="summary")
     out.add_argument("--max-tokens", type=int)
@@ -35,12 +38,18 @@ def rendered(chunks: list[dict], form: str) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     args = arguments().parse_args(argv)
-    text = sys.stdin.read() if args.input == "-" else open(args.input, encoding="utf-8").read()  # noqa: SIM115
-    parsed = args.input_format == "json" or (args.input_format == "auto" and args.input.endswith(".json"))
-    body = {"document": json.loads(text)} if parsed else {"text": text}
+    if args.serve:
+        host, _, port = args.serve.rpartition(":")
+        serve(host or "0.0.0.0", int(port), args.model_dir)
+        return 0
+    if not args.input:
+        arguments().error("an input is needed")
     try:
+        text = sys.stdin.read() if args.input == "-" else open(args.input, encoding="utf-8").read()  # noqa: SIM115
+        parsed = args.input_format == "json" or (args.input_format == "auto" and args.input.endswith(".json"))
+        body = {"document": json.loads(text)} if parsed else {"text": text}
         got = chunk_request(body | {"max_tokens": args.max_tokens, "overlap_tokens": args.overlap}, args.model_dir)
-    except BadRequest as e:
+    except (BadRequest, OSError, ValueError) as e:
         print(f"chunkloom: {e}", file=sys.stderr)
         return 2
     out = rendered(got["chunks"], args.format) + "\n"

@@ -30,8 +30,8 @@ def token_count(c: Column | str) -> Column:
 def heading_level(kind: Column | str, level: Column | str, style: Column | str) -> Column:
     """Depth of a heading type; null for other types. ``level`` may be text."""
     kind = _col(kind)
-    suffix = F.regexp_extract(kind, r"^section_header_level_(\d+)$", 1)
-    styled = F.regexp_extract(F.coalesce(_col(style), F.lit("")), r"(?i)heading\s*(\d)", 1)
+    suffix = F.regexp_extract(kind, V.LEVEL_RE, 1)
+    styled = F.regexp_extract(F.coalesce(_col(style), F.lit("")), V.STYLE_RE, 1)
     return (
         F.when(kind == "title", 1)
         .when(kind == "subtitle", 2)
@@ -45,7 +45,7 @@ def is_heading(text: Column | str) -> Column:
     """Whether a text looks like a heading and not like a sentence's fragment."""
     t = strip(text)
     fits = F.length(t).between(*V.HEADING_CHARS)
-    return fits & (t.rlike(V.NUMBERED_RE) | ~t.rlike(r"[a-z]\.\s*$|\.\s+[a-z]"))
+    return fits & (t.rlike(V.NUMBERED_RE) | ~t.rlike(V.FRAGMENT_RE))
 
 
 def is_backmatter(text: Column | str) -> Column:

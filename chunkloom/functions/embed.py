@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 from . import values as V
+from .models import local_model
 from .text import fallback_tokens
 
 
@@ -71,8 +72,13 @@ def model_file(folder: str) -> str:
 
 @lru_cache(maxsize=2)
 def embedder(folder: str | None = None) -> Embedder:
-    """One to a worker and folder; None gives the stand-in."""
-    return ModelEmbedder(folder) if folder else Embedder()
+    """One to a worker and model: a folder, or the id of one in this machine's model cache;
+    None gives the stand-in."""
+    if not folder:
+        return Embedder()
+    if not os.path.isdir(folder) and not (there := local_model(folder)):
+        raise FileNotFoundError(f"no folder and no complete model of the cache: {folder}")
+    return ModelEmbedder(folder if os.path.isdir(folder) else there)
 
 
 def release() -> None:

@@ -20,13 +20,10 @@ ABBREVIATIONS = (
 )
 
 # Headings of sections that are left out.
-BACKMATTER = (
-    r"References", r"Bibliography", r"Works\s+Cited", r"Literature", r"Cited\s+Works",
-    r"Acknowledge?ments?", r"Author\s+Contributions?", r"Conflicts?\s+of\s+Interest",
-    r"Funding", r"Data\s+Availability", r"Supplementary\s+Materials?",
-    r"Competing\s+Interests?", r"Disclosure",
-)
-BACKMATTER_RE = rf"^(?:{'|'.join(BACKMATTER)})\s*$"
+BACKMATTER_RE = (
+    r"^(?:References|Bibliography|Works\s+Cited|Literature|Cited\s+Works|Acknowledge?ments?|Author\s+Contributions?"
+    r"|Conflicts?\s+of\s+Interest|Funding|Data\s+Availability|Supplementary\s+Materials?|Competing\s+Interests?|Disclosure)\s*$"
+)
 
 # What introduces or captions a block.
 INTRO_RE = r"(?::\s*$|as follows|below|following\s+(?:code|table|figure|chart|listing|example))"
@@ -36,6 +33,27 @@ CONTEXT_TOKENS = 60
 # Headings.
 NUMBERED_RE = r"^\s*(?:\d+(\.\d+)*\.?|[A-Z](\.\d+)*\.?)\s+\S"
 HEADING_CHARS = (3, 120)
+FRAGMENT_RE = r"[a-z]\.\s*$|\.\s+[a-z]"
+LEVEL_RE = r"^section_header_level_(\d+)$"
+STYLE_RE = r"(?i)heading\s*(\d)"
+
+# What a line of Markdown is.
+ATX_RE = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
+FENCE_RE = r"^\s*(`{3,}|~{3,})(.*)$"
+ITEM_RE = r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$"
+IMAGE_RE = r"^\s*!\[([^\]]*)\]\([^)]*\)\s*$"
+BREAK_RE = r"^\s*(?:-(?:\s*-){2,}|\*(?:\s*\*){2,}|_(?:\s*_){2,})\s*$"
+UNDERLINE_RE = r"^\s*(?:=+|-+)\s*$"
+TABLE_RULE_RE = r"^\s*\|?\s*:?-{1,}:?\s*(?:\|\s*:?-{1,}:?\s*)+\|?\s*$"
+PIPE_ROW_RE = r"^\s*\|.*\|\s*$"
+QUOTE_RE = r"^\s*>\s?"
+MATH_MARKS = {"$$": "$$", "\\[": "\\]"}
+
+# Where code, tables and formulas are parted.
+SCRIPT_START_RE = r"(?:export\s+)?(?:async\s+)?(?:function\s+(\w+)|const\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>)"
+SECTION_RE = r"\n\n+|(?=\n(?:def|function|class|fn)\s+\w+)"
+RULE_LINE_RE = r"^\s*\|[\s\-:|]+\|\s*$"
+STEP_RE = r"\\\\(?:\s*\n)?"
 
 # Sizes in tokens.
 MAX_TOKENS = 500

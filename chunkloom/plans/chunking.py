@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,20 +38,7 @@ def _chunker(decode, options: Options, model_dir: str | None):
 
 
 def _from_json(text: str) -> list[Element]:
-    return [Element(e["k"], e.get("c") or "", e.get("p") or 0, _metadata(e.get("m"))) for e in json.loads(text)]
-
-
-def _metadata(text: str | None) -> dict:
-    out = json.loads(text) if text else {}
-    for k in ("start_time", "end_time"):
-        if isinstance(out.get(k), str):
-            try:
-                out[k] = float(out[k])
-            except ValueError:
-                del out[k]
-    if out.get("is_speaker_notes") in ("false", "0", ""):
-        del out["is_speaker_notes"]
-    return out
+    return [Element(e["k"], e.get("c") or "", e.get("p") or 0, json.loads(e["m"]) if e.get("m") else {}) for e in json.loads(text)]
 
 
 def _options(max_tokens: int | None, overlap_tokens: int | None, threshold: float | None) -> Options:
@@ -65,8 +51,10 @@ def spread(docs: DataFrame, id_col: str) -> DataFrame:
     (small files, few row groups). Anything larger, derived or streamed stays as it is."""
     if docs.isStreaming:
         return docs
-    nodes = set(re.findall(r"^[\s:+-]*(\w+)", docs._jdf.queryExecution().optimizedPlan().toString(), re.MULTILINE))
-    if not nodes <= {"Relation", "Project", "Filter"}:
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation":
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs.repartition(cores, id_col) if docs.rdd.getNumPartitions() < cores else docs
@@ -103,8 +91,8 @@ def markdown_elements(text: Column) -> Column:
 
 def markdown_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", page: int = 1) -> DataFrame:
     """Document rows of Markdown texts, with one page each."""
-    box = F.struct(*[F.lit(v).alias(k) for k, v in (("x_min", 0), ("y_min", 0), ("x_max", 1000), ("y_max", 1000))])
+    box = F.struct(*[F.lit(v).alias(k) for k, v in (("x_min", 0.0), ("y_min", 0.0), ("x_max", 1000.0), ("y_max", 1000.0))])
     element = lambda e: F.struct(e["kind"].alias("element_type"), e["content"].alias("content"), box.alias("bbox"), F.lit(page).alias("page"), F.lit(1.0).alias("confidence"), e["metadata"].alias("metadata"))
     parsed = docs.select(F.col(id_col).alias("doc_id"), markdown_elements(F.col(text_col)).alias("es"))
-    only = F.struct(F.lit(page).alias("page_number"), F.lit(1000).alias("width"), F.lit(1000).alias("height"), F.transform("es", element).alias("elements"))
-    return parsed.select("doc_id", F.array(only).alias("pages"), F.create_map(F.lit("source"), F.lit("markdown")).alias("metadata"))
+    only = F.struct(F.lit(page).alias("page_number"), F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), F.transform("es", element).alias("elements"))
+    return parsed.select("doc_id", F.array(only).alias("pages"), F.lit('{"source":"markdown"}').alias("metadata"))

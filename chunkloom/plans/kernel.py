@@ -8,6 +8,7 @@ runs over whole rows in an Arrow UDF.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
@@ -17,6 +18,8 @@ from ..functions import text as T
 from ..functions import values as V
 from ..functions.embed import Embedder, cosine
 
+log = logging.getLogger("chunkloom")
+
 
 @dataclass(frozen=True)
 class Element:
@@ -84,10 +87,7 @@ def without_bleed(elements: list[Element]) -> list[Element]:
     return out[::-1]
 
 
-_LEVEL = re.compile(r"section_header_level_(\d+)$")
-_STYLE = re.compile(r"heading\s*(\d)", re.IGNORECASE)
-_NUMBERED = re.compile(V.NUMBERED_RE)
-_FRAGMENT = re.compile(r"[a-z]\.\s*$|\.\s+[a-z]")
+_LEVEL, _STYLE, _NUMBERED, _FRAGMENT = map(re.compile, (V.LEVEL_RE, V.STYLE_RE, V.NUMBERED_RE, V.FRAGMENT_RE))
 _BACKMATTER = re.compile(V.BACKMATTER_RE, re.IGNORECASE)
 _INTRO = re.compile(V.INTRO_RE, re.IGNORECASE)
 _CAPTION = re.compile(V.CAPTION_RE, re.IGNORECASE)
@@ -412,8 +412,12 @@ def chunk_elements(elements: list[Element], options: Options = Options(), embed:
     embed = embed or Embedder()
     cleaned = without_bleed(without_repeats(elements))
     out = merged(raw_chunks(events(cleaned), embed, options), embed, options.max_tokens)
+    shortened = 0
     for i, c in enumerate(out):
         c.sequence = i
         if c.dominant_type == "prose":
-            c.content = T.collapse_spans(c.content)[0]
+            c.content, removed = T.collapse_spans(c.content)
+            shortened += removed > 0
+    mean = sum(c.token_count for c in out) / len(out) if out else 0
+    log.info("%d chunks of %.0f tokens on average, %d shortened by repeated spans", len(out), mean, shortened)
     return out

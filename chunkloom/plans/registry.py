@@ -108,7 +108,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON (pages with ``regions`` for odd ids), decoded and exploded."""
     got = D.explode_elements(D.decode_documents(_documents(spark, sf_dir)))
-    return got.select("doc_id", "ord", "kind", "content", "page", F.col("bbox.x_max").alias("x_max"))
+    return got.select("doc_id", "ord", "kind", "content", "page", F.col("bbox.x_max").cast("int").alias("x_max"))
 
 
 @query(f"""WITH {LINES}, boxes AS (

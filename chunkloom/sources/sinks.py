@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,9 +13,19 @@ RECORD = (
 )
 
 
+#: All keys stand in a record, those without a value too.
+_WHOLE = {"ignoreNullFields": "false"}
+
+
+def _record() -> list[Column]:
+    """Fields of a record; metadata is an object, empty if there is none."""
+    metadata = F.parse_json(F.coalesce("metadata", F.lit("{}"))).alias("metadata")
+    return [metadata if c == "metadata" else F.col(c) for c in RECORD]
+
+
 def records(chunks: DataFrame) -> DataFrame:
-    """``doc_id, sequence, record``: each chunk as a JSON object, nulls kept out."""
-    return chunks.select("doc_id", "sequence", F.to_json(F.struct(*RECORD)).alias("record"))
+    """``doc_id, sequence, record``: each chunk as a JSON object of all keys."""
+    return chunks.select("doc_id", "sequence", F.to_json(F.struct(*_record()), _WHOLE).alias("record"))
 
 
 def write_jsonl(chunks: DataFrame, path: str) -> None:
@@ -25,8 +35,9 @@ def write_jsonl(chunks: DataFrame, path: str) -> None:
 
 def as_json(chunks: DataFrame) -> DataFrame:
     """``doc_id, json``: an array of all chunks of each document, in order."""
-    rows = F.array_sort(F.collect_list(F.struct("sequence", *[c for c in RECORD if c != "sequence"])))
-    return chunks.groupBy("doc_id").agg(F.to_json(rows).alias("json"))
+    row = F.struct("sequence", F.to_json(F.struct(*_record()), _WHOLE).alias("record"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["record"])
+    return chunks.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("json"))
 
 
 def summary(chunks: DataFrame) -> DataFrame:
