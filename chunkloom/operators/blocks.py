@@ -71,7 +71,7 @@ def code_parts(blocks: DataFrame) -> DataFrame:
 
 def section_parts(blocks: DataFrame) -> DataFrame:
     """``(doc_id, ord, part, content)`` of code cut at blank lines and definitions."""
-    cut = F.split("content", r"\n\n+|(?=\n(?:def|function|class|fn)\s+\w+)")
+    cut = F.split("content", V.SECTION_RE)
     stripped = F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
     return blocks.select("doc_id", "ord", F.posexplode(stripped).alias("part", "content"))
 
@@ -79,29 +79,24 @@ def section_parts(blocks: DataFrame) -> DataFrame:
 def table_parts(blocks: DataFrame, target: int = V.TABLE_CHILD) -> DataFrame:
     """Row groups of tables: ``doc_id, ord, part, content, row_start, row_end, column_headers``.
 
-    The header ends at the first rule line among the first five. Groups are formed by a fold
-    over the rows' token counts; a header's count weighs on every group.
+    The header ends at the first rule line among the first five. Groups are formed by a linear
+    walk over the rows' token counts; a header's count weighs on every group.
     """
     lines = F.split(C.strip("content"), "\n")
-    rule = F.filter(F.sequence(F.lit(0), F.least(F.lit(4), F.size("lines") - 1)), lambda i: F.get(F.col("lines"), i).rlike(r"^\s*\|[\s\-:|]+\|\s*$"))
+    rule = F.filter(F.sequence(F.lit(0), F.least(F.lit(4), F.size("lines") - 1)), lambda i: F.get(F.col("lines"), i).rlike(V.RULE_LINE_RE))
     out = blocks.where(F.col("kind") == "table").select("doc_id", "ord", "content", lines.alias("lines"))
     out = out.withColumn("head", F.coalesce(F.get(rule, F.lit(0)) + 1, F.lit(0)))
     out = out.withColumn("header", F.array_join(F.slice("lines", F.lit(1), F.col("head")), "\n"))
     out = out.withColumn("rows", F.slice("lines", F.col("head") + 1, F.size("lines")))
     fixed = F.when(F.col("header") == "", F.lit(0).cast("long")).otherwise(C.token_count("header"))
     out = out.withColumn("fixed", fixed)
-    start = F.struct(F.col("fixed").alias("size"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"))
-
-    def step(acc, row):
-        cost = C.token_count(row)
-        fresh = (F.size(acc["starts"]) == 0) | (acc["size"] + cost > target)
-        return F.struct(
-            F.when(fresh, F.col("fixed") + cost).otherwise(acc["size"] + cost).alias("size"),
-            F.when(fresh, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
-            (acc["i"] + 1).alias("i"),
-        )
-
-    out = out.withColumn("starts", F.aggregate("rows", start, step)["starts"])
+
+    @F.pandas_udf("array<int>")
+    def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for costs, fixed in parts:
+            yield pd.Series([T.row_groups(c, f, target) for c, f in zip(costs, fixed)], dtype=object)
+
+    out = out.withColumn("starts", walk(F.transform("rows", C.token_count), "fixed"))
     out = out.select("*", F.posexplode_outer("starts").alias("part", "a"))
     end = F.coalesce(F.get("starts", F.col("part") + 1), F.size("rows"))
     some = F.array_join(F.slice("rows", F.col("a") + 1, end - F.col("a")), "\n")
@@ -126,7 +121,7 @@ def formula_parts(blocks: DataFrame) -> DataFrame:
     kind = "array<struct<content:string,environment:string,step:int,split_method:string>>"
     found = F.regexp_extract_all("content", F.lit(pattern), F.lit(0))
     out = blocks.where(F.col("kind") == "formula").select("doc_id", "ord", "content", found.alias("envs"))
-    out = out.withColumn("steps", F.split(F.get("envs", F.lit(0)), r"\\\\(?:\s*\n)?"))
+    out = out.withColumn("steps", F.split(F.get("envs", F.lit(0)), V.STEP_RE))
     none = F.lit(None).cast("string")
     each = F.transform("envs", lambda e: F.struct(e.alias("content"), F.regexp_extract(e, rf"\\begin\{{({names})", 1).alias("environment"), F.lit(None).cast("int").alias("step"), F.lit("environment").alias("split_method")))
     steps = F.transform("steps", lambda s, i: F.struct(F.regexp_replace(s, r"(?U)^\s+|\s+$", "").alias("content"), none.alias("environment"), i.alias("step"), F.lit("step_based").alias("split_method")))

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
-from ..functions.text import bled_heading
+from ..functions.text import bled_heading, far_pages, left_out, trails
+
 
 def by_document():
     return W.partitionBy("doc_id").orderBy("ord")
@@ -25,18 +26,21 @@ def by_document():
 def without_repeats(elements: DataFrame) -> DataFrame:
     """Drop elements whose content and type were kept on this page or a neighbouring one.
 
-    The last kept page is what counts, so of pages 1 to 4 the first and third stay: a fold
-    over the rows of each content. Null content never repeats and stays.
+    The last kept page is what counts, so of pages 1 to 4 the first and third stay; the
+    pages of one content go through a linear walk. Null content never repeats and stays.
     """
     row = F.struct("ord", *[c for c in elements.columns if c not in ("doc_id", "ord")])
     key = F.coalesce(F.lower(C.strip("content")), F.concat(F.lit("\0"), F.col("ord").cast("string")))
     groups = elements.groupBy("doc_id", "kind", key.alias("key")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.slice("rows", 1, 1)
-    kept = F.aggregate(
-        F.expr("slice(rows, 2, size(rows))"),
-        first,
-        lambda kept, r: F.when(F.abs(r["page"] - F.element_at(kept, -1)["page"]) <= 1, kept).otherwise(F.concat(kept, F.array(r))),
-    )
+
+    @F.pandas_udf("array<boolean>")
+    def walk(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for groups in parts:
+            yield pd.Series([None if pages is None else far_pages(pages) for pages in groups], dtype=object)
+
+    stays = walk(F.when(F.size("rows") > 1, F.transform("rows", lambda r: r["page"])))
+    groups = groups.select("doc_id", "rows", stays.alias("ok"))
+    kept = F.when(F.col("ok").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda r, i: F.get(F.col("ok"), i)))
     out = groups.select("doc_id", F.explode(kept).alias("r"))
     return out.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in elements.columns if c != "doc_id"])
 
@@ -72,42 +76,46 @@ def with_headings(elements: DataFrame) -> DataFrame:
     return elements.withColumn("depth", F.when(C.is_heading("content"), level))
 
 
-def with_trail(elements: DataFrame, depths: int = 6) -> DataFrame:
+def _states(elements: DataFrame, walk, what: Column) -> DataFrame:
+    """``elements`` with ``_state``: at a heading what ``walk``, a linear function of a
+    document's headings (arrays of ``depth`` and of ``what``), gives for it; at other rows
+    that of the last heading."""
+    row = F.struct("ord", "depth", what.alias("what"))
+    heads = elements.where(F.col("depth").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("h"))
+    told = walk(F.transform("h", lambda h: h["depth"]), F.transform("h", lambda h: h["what"]))
+    told = heads.select("doc_id", F.explode(F.arrays_zip(F.transform("h", lambda h: h["ord"]).alias("ord"), told.alias("state"))).alias("s"))
+    states = told.select("doc_id", F.col("s.ord").alias("ord"), F.struct(F.col("s.state").alias("state")).alias("_state"))
+    sofar = by_document().rowsBetween(W.unboundedPreceding, 0)
+    return elements.join(states, ["doc_id", "ord"], "left").withColumn("_state", F.last("_state", ignorenulls=True).over(sofar)["state"])
+
+
+def with_trail(elements: DataFrame) -> DataFrame:
     """Add ``trail`` (headings above and at a row, outermost first) and ``nearest``.
 
     A heading of level L is live while no shallower one came after it, and is replaced by
-    the next of its own level: two running aggregates a level, no fold.
+    the next of its own level; levels may be of any depth.
     """
-    sofar = by_document().rowsBetween(W.unboundedPreceding, 0)
-    live = []
-    for k in range(1, depths + 1):
-        last = F.last(F.when(F.col("depth") == k, F.struct("ord", C.strip("content").alias("text"))), ignorenulls=True).over(sofar)
-        ended = F.max(F.when(F.col("depth") < k, F.col("ord"))).over(sofar)
-        live.append(F.when(ended.isNull() | (last["ord"] > ended), last["text"]))
-    out = elements.withColumn("trail", F.array_compact(F.array(*live)))
+
+    @F.pandas_udf("array<array<string>>")
+    def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for depths, texts in parts:
+            yield pd.Series([trails(d, t) for d, t in zip(depths, texts)], dtype=object)
+
+    trail = F.coalesce(F.col("_state"), F.array().cast("array<string>"))
+    out = _states(elements, walk, C.strip("content")).withColumn("trail", trail).drop("_state")
     return out.withColumn("nearest", F.try_element_at("trail", F.lit(-1)))
 
 
 def without_backmatter(elements: DataFrame) -> DataFrame:
-    """Drop backmatter headings and all below them, up to another heading as shallow.
+    """Drop backmatter headings and all below them, up to another heading as shallow."""
 
-    A fold over the headings of each document alone gives the depth that is left out from
-    each heading on (null: nothing is); rows between headings take the last one's.
-    """
-    heads = elements.where(F.col("depth").isNotNull())
-    rows = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "depth", C.is_backmatter("content").alias("back")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("int").alias("out"), F.array().cast("array<struct<ord:bigint,out:int,back:boolean>>").alias("seen"))
-
-    def step(acc, r):
-        out = F.when(r["back"], F.coalesce(acc["out"], r["depth"])).when(r["depth"] > acc["out"], acc["out"])
-        seen = F.struct(r["ord"].cast("long").alias("ord"), out.alias("out"), r["back"].alias("back"))
-        return F.struct(out.alias("out"), F.concat(acc["seen"], F.array(seen)).alias("seen"))
+    @F.pandas_udf("array<boolean>")
+    def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for depths, back in parts:
+            yield pd.Series([left_out(d, b) for d, b in zip(depths, back)], dtype=object)
 
-    states = rows.select("doc_id", F.explode(F.aggregate("rows", start, step)["seen"]).alias("s"))
-    states = states.select("doc_id", F.col("s.ord").alias("ord"), F.struct("s.out", "s.back").alias("_state"))
-    sofar = by_document().rowsBetween(W.unboundedPreceding, 0)
-    out = elements.join(states, ["doc_id", "ord"], "left").withColumn("_at", F.last("_state", ignorenulls=True).over(sofar))
-    return out.where(F.col("_at").isNull() | F.col("_at.out").isNull()).drop("_state", "_at")
+    out = _states(elements, walk, C.is_backmatter("content"))
+    return out.where(~F.coalesce(F.col("_state"), F.lit(False))).drop("_state")
 
 
 def with_runs(elements: DataFrame) -> DataFrame:

@@ -15,49 +15,55 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
+from ..functions.text import fallback_tokens
+from ..functions.text import sentence_spans as spans_of
 from ..functions.text import surviving as stays
 from ..plans.kernel import HARD, SOFT, spans
 
+
 def by_run():
     return W.partitionBy("doc_id", "run").orderBy("pos")
-_MARK = r"[.!?]+\s+$"
-
-
-def _no_end(text):
-    """Whether the stop that a text ends with closes an abbreviation or initials.
-
-    An abbreviation counts if the up to ten characters before the stop, without white
-    space, end with it; initials if the 21 characters up to the first mark end in letters
-    with a full stop each.
-    """
-    ten = F.lower(C.strip(F.right(F.regexp_replace(text, r"(?U)[.!?]+\s+$", ""), F.lit(10))))
-    names = "|".join(a.replace(".", r"\.") for a in V.ABBREVIATIONS)
-    first = F.right(F.regexp_replace(text, r"(?U)(?<=[.!?])[.!?]*\s+$", ""), F.lit(21))
-    return ten.rlike(f"(?:{names})$") | first.rlike(r"(?U)\b(?:[A-Za-z]\.){2,}$")
 
 
 def sentence_spans(texts: DataFrame, keys: list[str], text_col: str = "text", carried: Sequence[str] = ()) -> DataFrame:
     """A row for each sentence: the keys, ``nth`` (0-based), ``begin``, ``end``, ``sentence``.
 
-    Texts are cut after every run of stops with white space behind it; pieces whose stop
-    is no end go on into the next. Spans cover the stripped text. Blank and null texts
-    have no sentence. Further ``carried`` columns come along with each sentence.
-
-    Whole texts are shuffled once, by the first key; pieces, sentences and all that later
-    groups by this key stay where they are.
+    Spans are relative to the stripped text and cover it. Blank and null texts have no
+    sentence. Further ``carried`` columns come along with each sentence. A text is cut
+    within its row, so nothing is shuffled.
     """
-    stripped = texts.select(*keys, *carried, C.strip(text_col).alias("_t")).where("_t <> ''").repartition(keys[0])
-    keys = [*keys, *carried]
-    piece = F.regexp_extract_all("_t", F.lit(r"(?sU).*?[.!?]+\s+|.+$"), F.lit(0))
-    cut = stripped.select("*", F.posexplode(piece).alias("_i", "_p"))
-    by = W.partitionBy(*keys).orderBy("_i")
-    goes_on = _no_end(F.col("_p")) & F.col("_p").rlike(f"(?U){_MARK}")
-    cut = cut.withColumn("_stop", ~goes_on).withColumn("_end", F.sum(F.length("_p")).over(by))
-    nth = F.coalesce(F.sum(F.col("_stop").cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("nth", nth)
-    groups = cut.groupBy(*keys, "nth").agg(F.array_sort(F.collect_list(F.struct("_i", "_p"))).alias("_ps"), F.max("_end").alias("end"))
-    raw = F.array_join(F.transform("_ps", lambda p: p["_p"]), "")
-    return groups.select(*keys, "nth", (F.col("end") - F.length(raw)).alias("begin"), "end", C.strip(raw).alias("sentence"))
+
+    @F.pandas_udf("array<struct<begin:int,end:int,sentence:string>>")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in parts:
+            yield pd.Series([[{"begin": a, "end": b, "sentence": t[a:b].strip()} for a, b in spans_of(t)] for t in some], dtype=object)
+
+    stripped = texts.select(*keys, *carried, C.strip(text_col).alias("_t")).where("_t <> ''")
+    said = stripped.select(*keys, *carried, F.posexplode(cut("_t")).alias("nth", "s"))
+    as_long = [F.col(c).cast("long").alias(c.removeprefix("s.")) for c in ("nth", "s.begin", "s.end")]
+    return said.select(*keys, *carried, *as_long, "s.sentence")
+
+
+def text_chunks(texts: DataFrame, text_col: str = "text", max_tokens: int = V.MAX_TOKENS, overlap_tokens: int = V.OVERLAP_TOKENS, page: int = 1) -> DataFrame:
+    """``chunk_rows`` of whole texts, each one element and one run: ``doc_id, run, nth``,
+    content, pages, spans, count. Sentences and chunks are made within the row, so that
+    nothing is shuffled; nothing parts sentences but the size."""
+
+    @F.pandas_udf("array<struct<content:string,span_start:bigint,span_end:bigint>>")
+    def pack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in parts:
+            out = []
+            for t in some:
+                at = spans_of(t)
+                said = [t[a:b].strip() for a, b in at]
+                ranges = spans([fallback_tokens(s) for s in said], [HARD] + [0] * (len(said) - 1), max_tokens, overlap_tokens) if said else ()
+                out.append([{"content": " ".join(said[a:e]), "span_start": at[a][0], "span_end": at[e - 1][1]} for a, e in ranges])
+            yield pd.Series(out, dtype=object)
+
+    stripped = texts.select("doc_id", C.strip(text_col).alias("_t")).where("_t <> ''")
+    out = stripped.select("doc_id", F.lit(0).alias("run"), F.posexplode(pack("_t")).alias("nth", "c"))
+    out = out.select("doc_id", "run", "nth", "c.content", F.array(F.lit(page)).alias("page_numbers"), "c.span_start", "c.span_end")
+    return out.withColumn("token_count", C.token_count("content"))
 
 
 def with_positions(said: DataFrame) -> DataFrame:

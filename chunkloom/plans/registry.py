@@ -58,22 +58,22 @@ LINES = """lines AS (
 
 _KIND = """CASE WHEN ord % 5 = 0 THEN 'section_header' WHEN ord % 7 = 6 THEN 'page_footer'
     WHEN ord % 11 = 3 THEN 'table' WHEN ord % 11 = 2 THEN 'caption' WHEN ord % 4 = 1 THEN 'list_item' ELSE 'text' END"""
-_CONTENT = """CASE WHEN ord % 25 = 10 THEN 'References' WHEN ord % 10 = 5 THEN '3.2 ' || substr(line, 1, 40)
-    WHEN ord % 5 = 0 THEN replace(substr(line, 1, 40), '.', '') ELSE line END"""
+_CONTENT = """CASE WHEN ord % 25 = 10 THEN 'References' WHEN ord % 10 = 5 THEN '3.2 ' || line
+    WHEN ord % 5 = 0 THEN replace(line, '.', '') ELSE line END"""
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as elements: every fifth a heading (some numbered, some of backmatter), five to
-    a page, with tables, captions, list items and footers by place."""
+    """Lines, whole, as elements: every fifth a heading (some numbered, some of backmatter, the
+    long ones none), five to a page, with tables, captions, list items and footers by place."""
     return lines(spark, sf_dir).selectExpr(
-        "doc_id", "ord", f"{_KIND} AS kind", f"{_CONTENT} AS content", "CAST(1 + ord div 5 AS INT) AS page", "CAST(1 + ord % 3 AS STRING) AS level"
+        "doc_id", "ord", f"{_KIND} AS kind", f"{_CONTENT} AS content", "CAST(1 + ord div 5 AS INT) AS page", "CAST(1 + ord % 9 AS STRING) AS level"
     )
 
 
 ELEMENTS = f"""{LINES},
 elements AS (
   SELECT doc_id, ord, {_KIND} AS kind, {_CONTENT} AS content,
-    CAST(1 + ord // 5 AS INTEGER) AS page, CAST(1 + ord % 3 AS VARCHAR) AS level
+    CAST(1 + ord // 5 AS INTEGER) AS page, CAST(1 + ord % 9 AS VARCHAR) AS level
   FROM lines)"""
 
 _SQL_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -97,18 +97,37 @@ headed AS (
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements(spark, sf_dir)
-    one = F.struct("ord", F.struct(F.when(F.col("ord") % 2 == 0, F.col("kind")).alias("type"), F.col("kind").alias("element_type"), "content", "page"))
+    box = F.struct((F.col("ord") % 7 + 1200.5).alias("x_min"), (F.col("ord") % 1300 - 100.25).alias("x_max"))
+    own = F.struct((1 + F.col("ord") % 9).alias("level"), (F.col("ord") % 3 == 0).alias("flag"), ((F.col("ord") % 8) / 4).alias("part"))
+    one = F.struct("ord", F.struct(F.when(F.col("ord") % 2 == 0, F.col("kind")).alias("type"), F.col("kind").alias("element_type"), "content", "page", box.alias("bbox"), own.alias("metadata")))
     pages = rows.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["col2"]).alias("es"))
     page = F.struct(F.col("page").alias("page_number"), F.when(F.col("doc_id") % 2 == 0, F.col("es")).alias("elements"), F.when(F.col("doc_id") % 2 == 1, F.col("es")).alias("regions"))
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     return docs.select("doc_id", F.to_json(F.struct("pages")).alias("json"))
 
 
-@query(f"WITH {ELEMENTS} SELECT doc_id, ord, kind, content, page, 1000 AS x_max FROM elements")
+_DECODED = f"""WITH {ELEMENTS} SELECT doc_id, ord, kind, content, page, CAST(greatest(0.0, least(ord % 1300 - 100.25, 1000.0)) AS DOUBLE) AS x_min,
+  CAST(1000.0 AS DOUBLE) AS x_max, CAST(1 + ord % 9 AS VARCHAR) AS level, CASE WHEN ord % 3 = 0 THEN 'true' ELSE 'false' END AS flag,
+  CAST((ord % 8) / 4.0 AS DOUBLE) AS part FROM elements"""
+
+
+def _decoded(docs: DataFrame) -> DataFrame:
+    own = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("level", "flag")]
+    part = F.get_json_object("metadata", "$.part").cast("double").alias("part")
+    return D.explode_elements(docs).select("doc_id", "ord", "kind", "content", "page", F.col("bbox.x_min").alias("x_min"), F.col("bbox.x_max").alias("x_max"), *own, part)
+
+
+@query(_DECODED)
 def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as JSON (pages with ``regions`` for odd ids), decoded and exploded."""
-    got = D.explode_elements(D.decode_documents(_documents(spark, sf_dir)))
-    return got.select("doc_id", "ord", "kind", "content", "page", F.col("bbox.x_max").cast("int").alias("x_max"))
+    """Documents written as JSON (pages with ``regions`` for odd ids, boxes with fractions,
+    metadata with numbers and flags), decoded and exploded."""
+    return _decoded(D.decode_documents(_documents(spark, sf_dir)))
+
+
+@query(_DECODED)
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents decoded, written as JSON again, and decoded from that."""
+    return _decoded(D.decode_documents(D.encode_documents(D.decode_documents(_documents(spark, sf_dir)))))
 
 
 @query(f"""WITH {LINES}, boxes AS (
@@ -124,9 +143,9 @@ def bbox_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- Markdown lines ---------------------------------------------------------------------
 
-_MARK = """CASE ord % 12 WHEN 0 THEN '## ' || substr(line, 1, 30) || ' ##' WHEN 1 THEN '- ' || line WHEN 2 THEN '12) ' || line
-  WHEN 3 THEN '> ' || line WHEN 4 THEN '![' || substr(line, 1, 9) || '](x.png)' WHEN 5 THEN '* * *' WHEN 6 THEN '| a | b |'
-  WHEN 7 THEN '|---|:-:|' WHEN 8 THEN '   ' WHEN 9 THEN '$$ x $$' ELSE line END"""
+_MARK = """CASE ord % 12 WHEN 0 THEN '## ' || line || ' ##' WHEN 1 THEN '- ' || line WHEN 2 THEN '12) ' || line
+  WHEN 3 THEN '> ' || line WHEN 4 THEN '![' || line || '](x.png)' WHEN 5 THEN '* * *' WHEN 6 THEN '| a | b |'
+  WHEN 7 THEN '|---|:-:|' WHEN 8 THEN '   ' WHEN 9 THEN '$$ x $$' WHEN 10 THEN CASE WHEN ord % 24 = 10 THEN '```py' ELSE '~~~~' END ELSE line END"""
 _MARKED = f"""{LINES}, marked AS (SELECT doc_id, ord, {_MARK} AS line FROM lines),
 classed AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS below FROM marked),
 kinds AS (SELECT doc_id, ord, line, CASE
@@ -183,11 +202,19 @@ def repeats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.without_repeats(elements(spark, sf_dir)).select("doc_id", "ord", "kind", "content", "page")
 
 
-@query()
+_BLED = """CASE WHEN kind <> 'section_header' THEN content WHEN ord % 3 = 1 THEN content || chr(10) || repeat('q', 20)
+    ELSE concat_ws(chr(10), content, after) END"""
+
+
+@query(f"""WITH {ELEMENTS}, near AS (SELECT *, lead(content) OVER (PARTITION BY doc_id ORDER BY ord) AS after FROM elements),
+bled AS (SELECT doc_id, ord, kind, content AS head, after, {_BLED} AS content FROM near),
+seen AS (SELECT *, {sql_strip('first_value(CASE WHEN ' + sql_strip('content') + " <> '' THEN content END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")} AS following FROM bled)
+SELECT doc_id, ord, kind, CASE WHEN kind = 'section_header' AND ord % 3 <> 1 AND {sql_strip('head')} <> '' AND length({sql_strip('after')}) >= 10 AND length(following) >= 10
+  THEN {sql_strip('head')} ELSE content END AS content FROM seen""")
 def bleed_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings that also hold the beginning of the next line."""
-    bled = F.concat_ws("\n", F.substring("content", 1, 20), F.substring(F.lead("content").over(E.by_document()), 1, 40))
-    rows = elements(spark, sf_dir).withColumn("content", F.when(F.col("kind") == "section_header", bled).otherwise(F.col("content")))
+    """Headings that also hold the next element's text, which goes, or one that none has."""
+    rows = elements(spark, sf_dir).withColumn("after", F.lead("content").over(E.by_document()))
+    rows = rows.withColumn("content", F.expr(_BLED.replace("chr(10)", r"'\n'"))).drop("after")
     return E.without_bleed(rows).select("doc_id", "ord", "kind", "content")
 
 
@@ -201,22 +228,22 @@ _STYLED = """CASE ord % 6 WHEN 0 THEN 'title' WHEN 1 THEN 'subtitle' WHEN 2 THEN
   CASE WHEN ord % 6 = 3 THEN CAST(1 + ord % 5 AS {0}) END AS level, CASE WHEN ord % 12 = 4 THEN 'Heading ' || (1 + ord % 5) END AS style"""
 
 
-@query(f"""WITH {LINES}, styled AS (SELECT doc_id, ord, substr(line, 1, 60) AS content, {_STYLED.format('VARCHAR')} FROM lines)
+@query(f"""WITH {LINES}, styled AS (SELECT doc_id, ord, line AS content, {_STYLED.format('VARCHAR')} FROM lines)
 SELECT doc_id, ord, CASE WHEN kind = 'title' THEN 1 WHEN kind = 'subtitle' THEN 2 WHEN NOT starts_with(kind, 'section_header') THEN 0
   WHEN regexp_matches(kind, 'level_') THEN CAST(regexp_extract(kind, 'level_(\\d+)', 1) AS INTEGER)
   WHEN level IS NOT NULL THEN CAST(level AS INTEGER) WHEN style IS NOT NULL THEN CAST(regexp_extract(style, '(\\d)', 1) AS INTEGER) ELSE 1 END AS depth,
   length({sql_strip('content')}) BETWEEN 3 AND 120 AND (regexp_matches({sql_strip('content')}, '^\\s*(?:\\d+(\\.\\d+)*\\.?|[A-Z](\\.\\d+)*\\.?)\\s+\\S')
     OR NOT regexp_matches({sql_strip('content')}, '[a-z]\\.\\s*$|\\.\\s+[a-z]')) AS valid FROM styled""")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styled = lines(spark, sf_dir).selectExpr("doc_id", "ord", "substr(line, 1, 60) AS content", *_STYLED.format("STRING").split(",\n  ")[0:1], "CASE WHEN ord % 6 = 3 THEN CAST(1 + ord % 5 AS STRING) END AS level", "CASE WHEN ord % 12 = 4 THEN 'Heading ' || (1 + ord % 5) END AS style")
+    styled = lines(spark, sf_dir).selectExpr("doc_id", "ord", "line AS content", *_STYLED.format("STRING").split(",\n  ")[0:1], "CASE WHEN ord % 6 = 3 THEN CAST(1 + ord % 5 AS STRING) END AS level", "CASE WHEN ord % 12 = 4 THEN 'Heading ' || (1 + ord % 5) END AS style")
     return styled.select("doc_id", "ord", F.coalesce(C.heading_level("kind", "level", "style"), F.lit(0)).alias("depth"), C.is_heading("content").alias("valid"))
 
 
 @query(f"""WITH {HEADED}, last AS (SELECT doc_id, ord, {', '.join(f'''
   last_value(CASE WHEN depth = {k} THEN ord END IGNORE NULLS) OVER w AS o{k}, last_value(CASE WHEN depth = {k} THEN t END IGNORE NULLS) OVER w AS t{k},
-  max(CASE WHEN depth < {k} THEN ord END) OVER w AS e{k}''' for k in (1, 2, 3))}
+  max(CASE WHEN depth < {k} THEN ord END) OVER w AS e{k}''' for k in range(1, 10))}
   FROM headed WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
-SELECT doc_id, ord, concat_ws(' > ', {', '.join(f'CASE WHEN e{k} IS NULL OR o{k} > e{k} THEN t{k} END' for k in (1, 2, 3))}) AS trail FROM last""")
+SELECT doc_id, ord, concat_ws(' > ', {', '.join(f'CASE WHEN e{k} IS NULL OR o{k} > e{k} THEN t{k} END' for k in range(1, 10))}) AS trail FROM last""")
 def heading_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.with_trail(E.with_headings(elements(spark, sf_dir))).select("doc_id", "ord", F.array_join("trail", " > ").alias("trail"))
 
@@ -302,7 +329,7 @@ _DOC_SENTENCES = sentence_sql("documents", "doc_id")
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sentence_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    return S.sentence_spans(P.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), ["doc_id"])
 
 
 @query(f'WITH {_DOC_SENTENCES} SELECT doc_id, nth, "begin", "end", sentence FROM sentences')
@@ -406,6 +433,19 @@ def prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "nth", "content", "token_count", F.array_join("page_numbers", ",").alias("pages"), "span_start", "span_end")
 
 
+@query(f"""WITH RECURSIVE {_SURVIVING}, again AS (SELECT * EXCLUDE (pos), CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos FROM kept),
+marked AS (SELECT *, CASE WHEN before IS NULL OR starts_with(kind, 'section_header') THEN 'hard'
+    WHEN kind <> before AND NOT (kind IN ({_TYPES}) AND before IN ({_TYPES})) THEN 'hard'
+    WHEN opens THEN CASE WHEN kind IN ({_TYPES}) AND before IN ({_TYPES}) THEN 'soft' ELSE 'hard' END END AS boundary
+  FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM again)),
+{packing_sql('marked', V.MAX_TOKENS, V.OVERLAP_TOKENS)}
+SELECT p.doc_id, CAST(p.nth AS INTEGER) AS nth, string_agg(CASE WHEN b.pos = p.a THEN '' WHEN b.opens THEN chr(10) || chr(10) ELSE ' ' END || b.sentence, '' ORDER BY b.pos) AS content
+FROM packed p JOIN marked b ON b.doc_id = p.doc_id AND b.pos >= p.a AND b.pos < p.e GROUP BY p.doc_id, p.nth""")
+def surviving_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the sentences that stay: where an element's first one went, so did its mark."""
+    return S.chunk_rows(S.with_boundaries(S.surviving(_placed(spark, sf_dir)))).select("doc_id", "nth", "content")
+
+
 _TIMED = "SELECT user_id, epoch(ts) AS start_time, CASE WHEN event_id % 3 > 0 THEN epoch(ts) + value END AS end_time FROM events"
 
 
@@ -425,14 +465,14 @@ def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- blocks -----------------------------------------------------------------------------
 
-_TABLES = """rows AS (SELECT l_orderkey % 500 AS doc_id, l_orderkey, l_linenumber, '| ' || l_orderkey || ' | ' || l_linenumber || ' | ' || l_returnflag || ' |' AS row FROM lineitem),
+_TABLES = """rows AS (SELECT l_orderkey // 120 AS doc_id, l_orderkey, l_linenumber, '| ' || l_orderkey || ' | ' || l_linenumber || ' | ' || l_returnflag || ' |' AS row FROM lineitem),
 tables AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '| key | line | flag |' || chr(10) || '|---|---|---|' || chr(10) ELSE '' END || string_agg(row, chr(10) ORDER BY l_orderkey, l_linenumber, row) AS content FROM rows GROUP BY doc_id)"""
 
 
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitems as pipe tables, with a header for two of three."""
+    """Lineitems as pipe tables of 120 orders, with a header for two of three."""
     row = F.format_string("| %d | %d | %s |", F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), "l_returnflag")
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("doc_id"), "l_orderkey", "l_linenumber", row.alias("row"))
+    rows = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 120").alias("doc_id"), "l_orderkey", "l_linenumber", row.alias("row"))
     some = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "row")))
     out = rows.groupBy("doc_id").agg(F.array_join(F.transform(some, lambda r: r["row"]), "\n").alias("content"))
     head = F.when(F.col("doc_id") % 3 > 0, F.lit("| key | line | flag |\n|---|---|---|\n")).otherwise("")
@@ -512,8 +552,35 @@ def code_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.section_parts(_code(spark, sf_dir))
 
 
-@query()
+_PARTS = (
+    (0, "python", ("import os\n\ndef f(x):\n    return x", "FunctionDef", "f", 2, 3), ("import os\n\nclass A:\n    y = 1", "ClassDef", "A", 5, 6)),
+    (1, "javascript", ("function a() { return 1 }", "FunctionDeclaration", "a"), ("const b = (x) => { return x }", "FunctionDeclaration", "b")),
+    (2, "typescript", ("export function g() {}", "FunctionDeclaration", "g"), ("function h() {}", "FunctionDeclaration", "h")),
+    (3, "unknown", ("fn main() {\n}", "section"), ("fn other() {\n}", "section")),
+)
+
+
+def _parts_sql() -> str:
+    text = lambda x: "NULL" if x is None else "'" + str(x).replace("\n", "' || chr(10) || '") + "'"
+    number = lambda x: f"CAST({'NULL' if x is None else x} AS INTEGER)"
+    rows = []
+    for n, language, *parts in _PARTS:
+        for i, part in enumerate(parts):
+            content, kind, name, a, b = (*part, None, None, None)[:5]
+            rows.append(f"({n}, {i}, '{language}', {text(content)}, '{kind}', {text(name)}, {number(a)}, {number(b)})")
+    return ", ".join(rows)
+
+
+@query(f"""WITH {LINES}, code AS (SELECT doc_id, ord, {_CODE} FROM lines),
+known(n, part, language, content, type, name, lineno, end_lineno) AS (VALUES {_parts_sql()}),
+told AS (SELECT *, CASE WHEN {_any('content', V.PYTHON_SIGNS)} THEN 'python' WHEN {_any('lower(content)', V.SCRIPT_SIGNS)}
+  THEN CASE WHEN {_any('content', V.TYPED_SIGNS)} THEN 'typescript' ELSE 'javascript' END ELSE 'unknown' END AS said FROM code)
+SELECT doc_id, ord, k.part, k.language, k.content, k.type, k.name, k.lineno, k.end_lineno FROM code JOIN known k ON k.n = ord % 5 AND ord % 15 <> 0
+UNION ALL SELECT doc_id, ord, 0, 'typescript', content, 'module', NULL, NULL, NULL FROM code WHERE ord % 15 = 0
+UNION ALL SELECT doc_id, ord, 0, said, CASE WHEN said IN ('javascript', 'typescript') OR {sql_strip('content')} = '' THEN content ELSE {sql_strip('content')} END,
+  CASE WHEN said IN ('javascript', 'typescript') OR {sql_strip('content')} = '' THEN 'module' ELSE 'section' END, NULL, NULL, NULL FROM told WHERE ord % 5 = 4""")
 def code_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions, classes and sections of code in several languages, and of lines of prose."""
     return B.code_parts(_code(spark, sf_dir))
 
 
@@ -544,13 +611,13 @@ def formula_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- vectors ----------------------------------------------------------------------------
 
 
-@query("""WITH near AS (SELECT vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM embeddings)
+@query("""WITH near AS (SELECT vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) AS u FROM embeddings)
 SELECT vec_id, round(CASE WHEN u IS NULL OR v IS NULL THEN 0.5 ELSE list_cosine_similarity(CAST(u AS DOUBLE[]), CAST(v AS DOUBLE[])) END, 6) AS similarity,
   CASE WHEN u IS NULL OR v IS NULL THEN false ELSE list_cosine_similarity(CAST(u AS DOUBLE[]), CAST(v AS DOUBLE[])) < 0.5 END AS drops FROM near""")
 def similarity_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    before = F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id"))
+    before = F.lag("embedding").over(W.partitionBy(F.expr("vec_id div 100")).orderBy("vec_id"))
     near = table(spark, sf_dir, "embeddings").withColumn("like", C.cosine(before, "embedding"))
     return near.select("vec_id", F.round("like", 6).alias("similarity"), (F.col("like") < V.BOUNDARY_THRESHOLD).alias("drops"))
 
@@ -560,9 +627,8 @@ def similarity_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as one element each, without overlap."""
-    said = _said(spark, sf_dir)
-    said = said.select("doc_id", F.lit(0).alias("run"), F.col("nth").alias("pos"), "sentence", F.col("begin").alias("start_idx"), F.col("end").alias("end_idx"), (F.col("nth") == 0).alias("opens"), F.lit("text").alias("kind"), F.lit(1).alias("page"))
-    return S.chunk_rows(S.with_boundaries(said), overlap_tokens=0)
+    docs = P.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return S.text_chunks(docs, overlap_tokens=0)
 
 
 _DOC_CHUNKS = f"""{_DOC_SENTENCES}, said AS (SELECT doc_id, nth AS pos, sentence, CASE WHEN nth = 0 THEN 'hard' END AS boundary FROM sentences),
@@ -653,19 +719,55 @@ def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.summary(chunks)
 
 
-@query()
+def _whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of whole texts with all fields; the nearest heading is how the text begins."""
+    none, false = F.lit(None), F.lit(False)
+    heading = F.to_json(F.struct(F.regexp_replace(F.substring("content", 1, 45), r"\s", "_").alias("nearest_heading")))
+    return _document_chunks(spark, sf_dir).select(
+        "doc_id", F.col("nth").alias("sequence"), "content", "token_count", "page_numbers", "span_start", "span_end", F.lit("semantic").alias("chunking_method"),
+        none.cast("string").alias("parent_chunk_id"), F.lit("prose").alias("dominant_type"), none.cast("int").alias("block_sequence"),
+        false.alias("has_code"), false.alias("has_math"), false.alias("has_table"), heading.alias("metadata"),
+    )
+
+
+_RECORDS = f"""{_DOC_CHUNKS},
+spanned AS (SELECT p.doc_id, CAST(p.nth AS INTEGER) AS sequence, min(s."begin") AS span_start, max(s."end") AS span_end
+  FROM packed p JOIN sentences s ON s.doc_id = p.doc_id AND s.nth >= p.a AND s.nth < p.e GROUP BY p.doc_id, p.nth),
+recorded AS (SELECT doc_id, sequence, CAST(json_object('sequence', sequence, 'content', content, 'token_count', token_count, 'page_numbers', [1],
+  'span_start', span_start, 'span_end', span_end, 'chunking_method', 'semantic', 'parent_chunk_id', NULL, 'dominant_type', 'prose', 'block_sequence', NULL,
+  'has_code', false, 'has_math', false, 'has_table', false,
+  'metadata', json_object('nearest_heading', regexp_replace(substr(content, 1, 45), '\\s', '_', 'g'))) AS VARCHAR) AS record
+  FROM counted_chunks JOIN spanned USING (doc_id, sequence))"""
+
+
+@query(f"WITH RECURSIVE {_RECORDS} SELECT doc_id, sequence, record FROM recorded")
 def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.records(_parsed_chunks(spark, sf_dir))
+    return K.records(_whole_chunks(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DOC_CHUNKS} SELECT doc_id, sequence, '[' || lpad(CAST(sequence AS VARCHAR), 3, ' ') || '] prose         ' || lpad(CAST(token_count AS VARCHAR), 5, ' ')
+  || ' tok  ' || rpad(regexp_replace(substr(content, 1, 30), '\\s', '_', 'g'), 30, ' ') || ' ' || substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 70) AS line FROM counted_chunks""")
 def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.summary(_parsed_chunks(spark, sf_dir))
+    return K.summary(_whole_chunks(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_RECORDS} SELECT doc_id, '[' || string_agg(record, ',' ORDER BY sequence) || ']' AS json FROM recorded GROUP BY doc_id")
 def chunks_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.as_json(_parsed_chunks(spark, sf_dir))
+    return K.as_json(_whole_chunks(spark, sf_dir))
+
+
+def _code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of blocks: every fourth a divided one, whose parts are the three after it."""
+    n = F.col("ord") % 4
+    return lines(spark, sf_dir).select(
+        "doc_id", F.col("ord").alias("sequence"), F.when(n == 0, '{"has_children": true}').otherwise("{}").alias("metadata"),
+        F.when(n > 0, n - 1).cast("int").alias("block_sequence"),
+    )
+
+
+@query(f"WITH {LINES} SELECT doc_id, ord AS sequence, CASE WHEN ord % 4 > 0 THEN ord - ord % 4 ELSE -1 END AS parent_sequence FROM lines")
+def parents_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.with_parent(_code_blocks(spark, sf_dir)).select("doc_id", "sequence", F.coalesce("parent_sequence", F.lit(-1)).alias("parent_sequence"))
 
 
 @query()
