@@ -91,21 +91,24 @@ def mix(
     the mix takes, repeats counted), ``position`` (0..1, null where nothing is
     taken), ``positions`` (one for each begun pass over the document) and ``row_id``
     (``row_col``, else a number). Null text has size 0 and nothing is taken of it; a null
-    source is a source of its own, the last; a null id is an id like any other;
-    repeated rows count each. An empty table gives no rows.
+    source is a source of its own, the last; rows without an id stand in the order of their
+    numbers' digests; repeated rows count each. An empty table gives no rows.
 
     Words before a document come from three levels of sums (256 x 256 bins of the
     order within a source), so that no task holds a hot source.
     """
-    key = F.md5(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    # rows without an id have one key each, so that they don't all lie in one bin
+    sized = docs.withColumn(number := fresh_name(docs, "number"), row)
+    key = F.md5(F.encode(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.col(number).cast("string"))), "UTF-8"))
     sized = written(
-        docs.select(
+        sized.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).isNull().alias("no_source"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             key.alias("key"),
-            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
+            F.col(number).alias("row_id"),
         ).select(
             "*",
             F.conv(F.substring("key", 1, 2), 16, 10).cast("int").alias("hi"),

@@ -1,16 +1,18 @@
-"""Token ids of whole texts, by a public tokenizer, a word at a time.
+"""Token ids of whole texts, by a public tokenizer, a word at a time where its kind allows it.
 
 ``word_bpe_49k.json`` normalises by NFC, white space to one space and lower case, then
 encodes each run of letters, digit or run of marks on its own and drops white space.
 No run crosses a space, so the ids of a text are those of its space-separated words in
 turn, and a word met before need not be encoded again. Of a word of Latin-1 letters
 with stops or commas after it, the two parts are encoded apart, as the tokenizer cuts there
-itself; the letters go, in lower case, to its model at once.
+itself; the letters go, in lower case, to its model at once. A file of any other kind, of which
+this need not hold, encodes whole texts.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 from array import array
 from collections.abc import Sequence
@@ -60,6 +62,33 @@ class _Words(dict):
         return ids
 
 
+#: What a file must say for its ids to be those of the words in turn.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BY_WORDS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _RUNS}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose texts are encoded word by word."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model = told.get("model") or {}
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("ignore_merges")
+    return plain and all(told.get(k) == v for k, v in _BY_WORDS.items())
+
+
 class WordEncoder:
     """Encodes texts to little-endian 32-bit ids, without special tokens added."""
 
@@ -68,10 +97,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words_held = Tokenizer.from_file(path), words_held
-        self.held = _Words(self.tokenizer, words_held)
+        self.held = _Words(self.tokenizer, words_held) if by_words(path) else None
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out = []
+        if self.held is None:
+            return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
         collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and a collection walks all words held
         try:

@@ -20,6 +20,8 @@ TOKEN_RE = r"[A-Za-z0-9]+"
 #: Rules that travel to the executors with the function; beyond, rules are taken in
 #: batches of this many, one pass each.
 RULES_AT_ONCE = 100_000
+#: Literals that are broadcast (some MB).
+BROADCAST_LITERALS = 100_000
 
 
 @dataclass(frozen=True)
@@ -88,13 +90,17 @@ def rarest_first(rules: Sequence[Rule], counts: dict[str, int]) -> dict[str | No
 
 
 def token_counts(parts: DataFrame, rules: Sequence[Rule]) -> dict[str, int]:
-    """URLs that hold each literal token of the rules; as many numbers as literals."""
+    """URLs that hold each literal token of the rules; as many numbers as literals, which
+    are a table that URLs' tokens are joined to."""
     literals = sorted({t for r in rules for t in r.tokens})
     if not literals:
         return {}
+    table = parts.sparkSession.createDataFrame([(t,) for t in literals], "t string")
     tokens = F.transform(F.regexp_extract_all(F.concat("host", "path"), F.lit(TOKEN_RE), F.lit(0)), lambda t: F.lower(t))
-    held = F.explode(F.array_intersect(tokens, F.array(*map(F.lit, literals))))
-    return {r["t"]: r["n"] for r in parts.select(held.alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    held = parts.select(F.explode(F.array_distinct(tokens)).alias("t"))
+    # the literals of RULES_AT_ONCE rules at most; where they are many they are shuffled
+    counted = held.join(F.broadcast(table) if len(literals) <= BROADCAST_LITERALS else table, "t").groupBy("t")
+    return {r["t"]: r["n"] for r in counted.agg(F.count("*").alias("n")).collect()}
 
 
 def judge_urls(

@@ -150,6 +150,21 @@ def test_near_odd_rows(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_query_equals_brute_force(spark, tmp_path):
+    """The query's rows over whole texts, against fingerprints counted bit by bit and all pairs."""
+    from chunkloom.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(100_000 + i, f"{t} more") for i, t in rows[:20]] + [(200_000 + i, t.upper()) for i, t in rows[:5]] + [(300_000, None), (300_001, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = {i: plain_fingerprint(t) for i, t in rows}
+    ids = sorted(prints)
+    roots = plain_components([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2], ids)
+    got = queries.op3_simhash_near_dedup(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, f"{prints[i]:016x}", roots[i]) for i in ids]
+    assert len(set(roots.values())) < len(ids) - 20
+
+
 def jaccard(a, b, k=5):
     a, b = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
     return len(a & b) / len(a | b)

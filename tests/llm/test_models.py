@@ -1,5 +1,7 @@
 import random
+import re
 import textwrap
+import unicodedata
 import zlib
 
 import numpy as np
@@ -127,6 +129,43 @@ def test_quality_columns_equal_the_model(spark):
     assert np.allclose(sorted(got), sorted(model.score(x)))
 
 
+def plain_statistics(text):
+    """Statistics of a whole text, counted in Python."""
+    t = text or ""
+    words, lines = re.split(r"[ \t\n\x0b\f\r]+", t.strip(" ")), t.split("\n")
+    chars, n = max(1, len(t)), max(1, len(words))
+    count = lambda fits: sum(map(fits, t))
+    kind = [unicodedata.category(c) for c in t]
+    symbols = sum(not (k[0] in "LN" or c in " \t\n\x0b\f\r.,;:'\"()?!|-") for c, k in zip(t, kind))
+    same = sum(a == b for a, b in zip(words, words[1:]))
+    return [
+        np.log1p(n), len(t) / n, len(set(words)) / n, same / n, symbols / chars, sum(k == "Lu" for k in kind) / chars,
+        count(lambda c: c in "0123456789") / chars, count(lambda c: c == "!") / n, count(lambda c: c == "|") / n, count(lambda c: c == ".") / n,
+        len(lines) / n, 1 - len(set(lines)) / len(lines),
+    ]
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Scores of all documents, from statistics counted in Python over whole texts and the
+    rules applied one by one."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = [tuple(r) for r in d.select("doc_id", "text").collect()] + [(-1, None), (-2, "")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(documents, labels)
+    assert model.rules
+    want = model.score(np.array([plain_statistics(t) for _, t in rows]))
+    got = {r["doc_id"]: r for r in quality.classify(documents, labels).collect()}
+    for (i, _), w in zip(rows, want):
+        assert abs(got[i]["score"] - w) < 1e-9 and got[i]["predicted"] == (w >= 0.3) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_held_out_labels_never_train(spark):
+    """Labels of held-out rows turned round change nothing."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.selectExpr("doc_id", "if(crc32(encode(string(doc_id), 'UTF-8')) % 5 = 0, 1 - quality, quality) AS quality")
+    assert quality.train(d, labels) == quality.train(d, turned)
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0), (8, None), (None, 1)], "doc_id long, quality int")
     got = quality.classify(docs(spark), labels).collect()

@@ -27,6 +27,15 @@ def test_words_equal_whole_texts(words):
     assert got == [ids_of(words, t) for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    """A file of another kind isn't cut at spaces."""
+    import public_tokenizers
+
+    other = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["The same  text here,\nwith words.", "", " it's\t12 345", "Größe 中文"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [ids_of(other, t) for t in texts]
+
+
 def as_bytes(ids):
     return np.asarray(ids, "<u4").tobytes()
 
