@@ -16,13 +16,14 @@ Removal of near copies is by similarity (``without_near_duplicates``): texts wit
 Jaccard similarity of their word shingles of at least 0.8. Such pairs differ in some ten
 bits of 64 and in up to about twenty, a radius at which segments of 64 bits select
 nothing. So candidates are the links above and the texts that share a band of MinHash
-values, and all candidates are held against each other by their whole shingle sets.
+values, and all candidates are held against each other by their whole shingle sets, in
+blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -43,6 +44,8 @@ NEAR_SIMILARITY = 0.8
 #: Bands and MinHash values of a band; a pair of similarity 0.8 shares none with a
 #: probability of (1 - 0.8^5)^24 = 0.00007.
 BANDS, BAND_ROWS = 24, 5
+#: Rows and characters of a block of candidates that are held against each other at once.
+BLOCK_ROWS, BLOCK_CHARS = 4000, 32_000_000
 #: A segment value with more fingerprints is linked through balls.
 HOT_BUCKET = 64
 #: Shingles whose bits are counted at once.
@@ -193,13 +196,15 @@ def near_duplicates(
     )
 
 
-def similar_groups(sets: Iterable[np.ndarray], similarity: float) -> list[int]:
+def similar_groups(sets: Iterable[np.ndarray], similarity: float, labels: Sequence[int] | None = None) -> list[int]:
     """For each of the sets (ascending, not empty), the place of the first one of its
-    component; sets with at least this Jaccard similarity are linked.
+    component; sets with at least this Jaccard similarity are linked, and those of one of
+    ``labels`` (a list that may grow along with the sets) are linked from the beginning.
 
     Sets are compared that share a hash among their least, as any two so similar must;
     those already in one component aren't compared again.
     """
+    named: dict[int, int] = {}
     held: list[np.ndarray] = []
     root: list[int] = []
     index: dict[int, dict[int, list[int]]] = {}  # shingle: component: members
@@ -213,6 +218,8 @@ def similar_groups(sets: Iterable[np.ndarray], similarity: float) -> list[int]:
     for x, s in enumerate(sets):
         held.append(s)
         root.append(x)
+        if labels is not None and (y := named.setdefault(labels[x], x)) != x:
+            root[x] = find(y)
         n = len(s)
         prefix = s[: n - math.ceil(similarity * n - 1e-9) + 1].tolist()
         tried: set[int] = set()
@@ -243,6 +250,76 @@ def similar_groups(sets: Iterable[np.ndarray], similarity: float) -> list[int]:
     return [find(i) for i in range(len(held))]
 
 
+def _walk(similarity: float, shingle_words: int):
+    """Components within each part (rows come part by part): a row's ``owner`` is the label
+    of the first row of its component."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in zip(pdf["part"], pdf["row_id"], pdf["label"], pdf["text"]))
+        for _, part in groupby(rows, key=lambda r: r[0]):
+            ids: list[int] = []
+            labels: list[int] = []
+
+            def sets(part=part, ids=ids, labels=labels):
+                for _, row, label, text in part:
+                    ids.append(row)
+                    labels.append(label)
+                    yield shingle_set(text, shingle_words)
+
+            firsts = similar_groups(sets(), similarity, labels)
+            yield pd.DataFrame({"row_id": ids, "label": labels, "owner": [labels[f] for f in firsts]})
+
+    return run
+
+
+def _walked(rows: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """``row_id, label, owner`` of rows ``part, first, label, text``, where ``first`` is the
+    order in which they stay."""
+    rows = rows.repartition("part").sortWithinPartitions("part", "first")
+    return rows.select("part", F.col("first.row_id").alias("row_id"), "label", "text").mapInPandas(_walk(similarity, shingle_words), "row_id long, label long, owner long")
+
+
+def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the label that theirs is linked to."""
+    told = written(connected_components(links, "label", "owner"), "labels").select(F.col("node").alias("label"), F.col("root").alias("_to"))
+    return rows.join(told, "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to")
+
+
+def _blocks(rows: DataFrame, by: list[str], most: int, chars: int) -> DataFrame:
+    """Add ``block``, by a hash of the row, so that those of equal ``by`` have at most about
+    ``most`` rows and ``chars`` characters a block."""
+    size = rows.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("chars") / chars)).alias("_n"))
+    size = size.where("_n > 1")
+    block = F.pmod(F.xxhash64("first.row_id"), F.coalesce(F.col("_n"), F.lit(1)))
+    return rows.join(size, by, "left").withColumn("block", block).withColumn("big", F.col("_n").isNotNull()).drop("_n")
+
+
+def _across(rows: DataFrame, texts: DataFrame, similarity: float, shingle_words: int, most: int, chars: int) -> DataFrame:
+    """Links ``label, owner`` between rows ``root, first, label, chars`` of one root that lie
+    in different blocks: each pair of blocks is one part, but for those of one label.
+
+    Blocks are of one label as far as labels have so many rows; what has fewer shares
+    blocks. So rows that are known to be copies of one another are never compared again.
+    """
+    size = rows.groupBy("root", "label").agg(F.greatest(F.count("*") / most, F.sum("chars") / chars).alias("_fill"))
+    placed = rows.join(size, ["root", "label"])
+    large = placed.where("_fill > 0.5").withColumn("at", F.concat_ws("-", "label", F.pmod(F.xxhash64("first.row_id"), F.ceil("_fill"))))
+    small = _blocks(placed.where("_fill <= 0.5").drop("_fill"), ["root"], most, chars)
+    # rows of one small label stay together
+    count = small.groupBy("root").agg((F.max("block") + 1).alias("_n"))
+    small = small.join(count, "root").withColumn("at", F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.col("_n")).cast("string")))
+    shape = ["root", "first", "label", "at"]
+    placed = written(large.select(*shape).union(small.select(*shape)), "placed")
+    blocks = placed.groupBy("root", "at").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    one, other = blocks.toDF("root", "a", "low_a", "high_a"), blocks.toDF("root", "b", "low_b", "high_b")
+    # blocks, of some thousand rows each; a small block meets itself too
+    pairs = one.join(other, "root").where("a <= b and not (low_a = high_a and low_b = high_b and low_a = low_b)")
+    pairs = pairs.select("root", F.concat_ws("/", F.col("root").cast("string"), "a", "b").alias("part"), F.explode(F.array_distinct(F.array("a", "b"))).alias("at"))
+    rows = placed.join(pairs, ["root", "at"]).join(texts, F.col("first.row_id") == texts["row_id"]).drop("row_id")
+    found = _walked(rows.select("part", "first", "label", "text"), similarity, shingle_words)
+    return found.select("label", "owner").where("label <> owner").distinct()
+
+
 def without_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -250,14 +327,21 @@ def without_near_duplicates(
     shingle_words: int = NEAR_WORDS,
     max_bits: int = MAX_BITS,
     similarity: float = NEAR_SIMILARITY,
+    block_rows: int = BLOCK_ROWS,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row of each component of near copies, with the columns of ``docs`` and no others.
 
     Rows are linked whose sets of ``shingle_words`` words have a Jaccard similarity of
     ``similarity`` or more; texts without words are equal. Candidates share a band of
     MinHash values or have fingerprints of at most ``max_bits`` (0 to 2) differing bits;
-    groups of candidates are held against each other exactly, each group in one task. The
-    row with the smallest id stays (null ids last, of repeated ids the first row).
+    groups of candidates are held against each other exactly. The row with the smallest id
+    stays (null ids last, of repeated ids the first row).
+
+    A task holds at most two blocks of about ``block_rows`` rows and ``block_chars``
+    characters. A group of more is compared within its blocks, then by one row of each
+    component found, then block against block where rows aren't known to be linked; what
+    is found is the same.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits is 0 to {MAX_BITS}: two segments find no more")
@@ -283,20 +367,29 @@ def without_near_duplicates(
     keyed = marks.select("row_id", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("row_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     links = ends.union(same).union(keyed.join(shared, "key").select("row_id", "owner"))
-    groups = written(connected_components(links, "x", "y"), "groups")
-
-    def copies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for pdf in batches for r in zip(pdf["root"], pdf["row_id"], pdf["text"]))
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            ids: list[int] = []
-            firsts = similar_groups((ids.append(r[1]) or shingle_set(r[2], shingle_words) for r in group), similarity)
-            gone = [i for at, (i, first) in enumerate(zip(ids, firsts)) if at != first]
-            if gone:
-                yield pd.DataFrame({"row_id": gone})
-
-    told = marked.select(F.col(row).alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    told = told.join(groups.select(F.col("node").alias("row_id"), "root"), "row_id").repartition("root")
-    told = told.sortWithinPartitions("root", F.col("doc_id").isNull(), "doc_id", "row_id")
-    gone = written(told.select("root", "row_id", "text").mapInPandas(copies, "row_id long"), "gone")
+    groups = written(connected_components(links, "x", "y"), "groups").select(F.col("node").alias("row_id"), "root")
+
+    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.col(row).alias("row_id"))
+    told = marked.select(F.col(row).alias("row_id"), first.alias("first"), F.coalesce(F.length(F.col(text_col)), F.lit(0)).alias("chars"))
+    told = _blocks(told.join(groups, "row_id").drop("row_id"), ["root"], block_rows, block_chars)
+    told = written(told.withColumn("label", F.col("first.row_id")), "told")
+    part = F.concat_ws("/", F.col("root").cast("string"), F.col("block").cast("string"))
+    texts = plain.join(groups.select("row_id"), "row_id", "left_semi")
+    inside = told.select(part.alias("part"), "first", "label", "first.row_id").join(texts, "row_id").drop("row_id")
+    found = written(_walked(inside, similarity, shingle_words), "found")
+    gone = found.select("row_id").where("owner <> row_id")
+    big = told.where("big").select("root", "first", "label", "chars")
+    if not big.isEmpty():
+        # one row of each component of a block, then all rows, block against block
+        known = big.drop("label").join(found.select("row_id", F.col("owner").alias("label")), F.col("first.row_id") == F.col("row_id")).drop("row_id")
+        heads = _blocks(known.where("label = first.row_id"), ["root"], block_rows, block_chars).withColumn("part", part)
+        heads = heads.select("part", "first", "label", "first.row_id").join(texts, "row_id").drop("row_id")
+        near = _walked(heads, similarity, shingle_words).select("label", "owner").where("label <> owner")
+        known = written(_relabelled(known, near), "known")
+        known = _relabelled(known, _across(known, texts, similarity, shingle_words, block_rows, block_chars))
+        best = written(known, "known").groupBy("label").agg(F.min("first").alias("first"))
+        stay = best.select("first.row_id")
+        gone = gone.join(big.select("first.row_id"), "row_id", "left_anti").union(big.select("first.row_id").join(stay, "row_id", "left_anti"))
+    gone = written(gone, "gone")
     left = marked.join(gone.select(F.col("row_id").alias(row)), row, "left_anti")
     return left.select(*[marked[f"`{c}`"] for c in docs.columns])

@@ -8,7 +8,7 @@ import xxhash
 
 from chunkloom.llm.components import connected_components
 from chunkloom.llm.exact_dedup import DigestIndex, distinct_documents, exact_dedup
-from chunkloom.llm.simhash import fingerprint, near_duplicates, near_links, without_near_duplicates
+from chunkloom.llm.simhash import fingerprint, near_duplicates, near_links, similar_groups, without_near_duplicates
 
 from .odd import ROWS, docs
 
@@ -189,3 +189,40 @@ def test_near_copies_of_similarity(spark):
     rows = [(i, t, "en", "a", 1, "x") for i, t in enumerate(texts)]
     got = {r["doc_id"] for r in without_near_duplicates(docs(spark, rows)).collect()}
     assert got == set(want.values())
+
+
+@pytest.mark.parametrize("block_rows", [3, 7, 25])
+def test_large_groups_go_in_blocks(spark, block_rows):
+    """Groups of many blocks give what all pairs give: a large cluster, chains whose ends are
+    far apart, and texts that are candidates but no copies."""
+    rng = random.Random(block_rows)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(30):  # near the first one
+        copy = list(base)
+        copy[rng.randrange(120)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    link = list(base)
+    for _ in range(14):  # each near the one before, the last far from the first
+        link = list(link)
+        for _ in range(2):
+            link[rng.randrange(120)] = rng.choice(words)
+        texts.append(" ".join(link))
+    for _ in range(20):  # about half of the first one
+        texts.append(" ".join(base[:66] + [rng.choice(words) for _ in range(54)]))
+    texts += [" ".join(rng.choice(words) for _ in range(80)) for _ in range(5)] + ["", None, " "]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i] or "", texts[j] or "") >= 0.8]
+    want = plain_components([(order[i], order[j]) for i, j in pairs], order)
+    rows = [(order[i], t, "en", "a", 1, "x") for i, t in enumerate(texts)]
+    got = sorted(r["doc_id"] for r in without_near_duplicates(docs(spark, rows), block_rows=block_rows).collect())
+    assert got == sorted(set(want.values()))
+
+
+def test_labels_link_from_the_beginning():
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [7, 8, 9], [1, 2, 3], [20, 21], [7, 8, 9])]
+    assert similar_groups(sets, 0.8) == [0, 1, 0, 3, 1]
+    assert similar_groups(sets, 0.8, [5, 5, 6, 7, 7]) == [0, 0, 0, 0, 0]
+    assert similar_groups(sets, 0.8, [1, 2, 3, 3, 5]) == [0, 1, 0, 0, 1]
