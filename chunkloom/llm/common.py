@@ -96,6 +96,38 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Bits of the hash table that tells rows apart without a shuffle: 8 MB, whatever the data.
+SIEVE_BITS = 1 << 26
+_BUCKET = 1 << 15  # bits that Spark's bitmap functions hold in one value
+
+
+def sieved(docs: DataFrame, column: str, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``column`` may be among the values of ``some`` (one column of
+    that type, no nulls), and those where it surely isn't.
+
+    ``some`` sets bits by a hash; the bits, of a fixed size, are broadcast. So rows that
+    ``some`` doesn't concern, texts and all, need not be shuffled to be joined to it; where
+    it has so many values that all bits are set, all rows are of the first kind.
+    """
+    where = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    bucket, bits, at = (fresh_name(docs, x) for x in ("bucket", "bits", "at"))
+    hashed = some.select(where(F.col(some.columns[0])).alias("h"))
+    table = hashed.groupBy(F.floor(F.col("h") / _BUCKET).alias(bucket)).agg(F.bitmap_construct_agg(F.col("h") % _BUCKET).alias(bits))
+    table = F.broadcast(written(table, "sieve"))
+    placed = docs.withColumn(at, where(F.col(column))).withColumn(bucket, F.floor(F.col(at) / _BUCKET))
+    place = F.col(at) % _BUCKET
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    told = placed.join(table, bucket, "left")
+    return told.where(hit).drop(bucket, bits, at), told.where(~hit).drop(bucket, bits, at)
+
+
+def without_rows(docs: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``column`` is among the values of ``gone``."""
+    may, stay = sieved(docs, column, gone)
+    return may.join(gone.toDF(column), column, "left_anti").unionByName(stay)
+
+
 #: Bits of a row's number that tell its place in the file; those above tell the file.
 FILE_BITS = 40
 

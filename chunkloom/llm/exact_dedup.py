@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, drop_scratch, fresh_name, kept, numbered, scratch_path
+from .common import SPACE_RE, drop_scratch, fresh_name, kept, numbered, scratch_path, without_rows
 
 #: Digests that a bucket should hold (about 60 MB).
 BUCKET_ROWS = 1_000_000
@@ -161,9 +161,10 @@ def distinct_documents(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and no others.
 
-    Both passes number the rows alike, see ``numbered``.
+    Both passes number the rows alike, see ``numbered``; texts are not shuffled but for
+    those of the rows that go and few others.
     """
     row = fresh_name(docs, "row")
     marked = numbered(docs, row)
-    stay = exact_dedup(marked, id_col, text_col, row, index, batch_id).where("kept").select(F.col("row_id").alias(row))
-    return marked.join(stay, row, "left_semi").select(*[marked[f"`{c}`"] for c in docs.columns])
+    gone, _ = kept(exact_dedup(marked, id_col, text_col, row, index, batch_id).where("not kept").select("row_id"), "gone")
+    return without_rows(marked, row, gone).select(*[f"`{c}`" for c in docs.columns])

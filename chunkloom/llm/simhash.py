@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, numbered, written
+from .common import fresh_name, numbered, sieved, without_rows, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -374,7 +374,7 @@ def without_near_duplicates(
     told = _blocks(told.join(groups, "row_id").drop("row_id"), ["root"], block_rows, block_chars)
     told = written(told.withColumn("label", F.col("first.row_id")), "told")
     part = F.concat_ws("/", F.col("root").cast("string"), F.col("block").cast("string"))
-    texts = plain.join(groups.select("row_id"), "row_id", "left_semi")
+    texts = sieved(plain, "row_id", groups.select("row_id"))[0].join(groups.select("row_id"), "row_id", "left_semi")
     inside = told.select(part.alias("part"), "first", "label", "first.row_id").join(texts, "row_id").drop("row_id")
     found = written(_walked(inside, similarity, shingle_words), "found")
     gone = found.select("row_id").where("owner <> row_id")
@@ -391,5 +391,4 @@ def without_near_duplicates(
         stay = best.select("first.row_id")
         gone = gone.join(big.select("first.row_id"), "row_id", "left_anti").union(big.select("first.row_id").join(stay, "row_id", "left_anti"))
     gone = written(gone, "gone")
-    left = marked.join(gone.select(F.col("row_id").alias(row)), row, "left_anti")
-    return left.select(*[marked[f"`{c}`"] for c in docs.columns])
+    return without_rows(marked, row, gone).select(*[f"`{c}`" for c in docs.columns])

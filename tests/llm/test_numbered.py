@@ -63,3 +63,18 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     assert common.shared_dir(Session) == common.shared_dir(Session)
     monkeypatch.setattr(Session, "conf", {"spark.checkpoint.dir": "far://store/"})
     assert common.shared_dir(Session) == "far://store"
+
+
+@pytest.mark.parametrize("bits", [common.SIEVE_BITS, 64])
+def test_sieve(spark, monkeypatch, bits):
+    """Rows that may be concerned hold all that are; without_rows is an anti-join."""
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    docs = spark.range(5000).selectExpr("id AS row", "string(id) AS bits", "id % 7 AS at")
+    some = spark.range(0, 5000, 97).toDF("x")
+    may, stay = common.sieved(docs, "row", some)
+    held = {r["row"] for r in may.collect()}
+    assert may.columns == docs.columns and set(range(0, 5000, 97)) <= held
+    assert held.isdisjoint(r["row"] for r in stay.collect()) and len(held) + stay.count() == 5000
+    assert len(held) < 60 or bits == 64
+    assert {r["row"] for r in common.without_rows(docs, "row", some).collect()} == set(range(5000)) - set(range(0, 5000, 97))
+    assert common.without_rows(docs, "row", some.limit(0)).count() == 5000
