@@ -74,6 +74,23 @@ def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """``written`` for tables of one operator; ``drop`` deletes them all when none is read
+    any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = kept(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_scratch(self.spark, self.paths.pop())
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

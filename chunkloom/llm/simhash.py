@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, numbered, sieved, without_rows, written
+from .common import Scratch, fresh_name, numbered, sieved, without_rows, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -177,16 +177,17 @@ def near_duplicates(
     their component unless all its ids are null. Other columns are ignored; an empty
     table gives no rows.
     """
-    marks = written(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
+    marks, saved = written(fingerprints(docs, id_col, text_col, row_col), "fingerprints"), Scratch(docs.sparkSession)
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_id"))
-    nodes = written(marks.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
-    roots = written(connected_components(near_links(nodes.select("fp"), hot_bucket)), "components")
+    nodes = saved(marks.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
+    roots = saved(connected_components(near_links(nodes.select("fp"), hot_bucket)), "components")
     owner = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "least")
     best = owner.groupBy("root").agg(F.min("least").alias("best"))
     linked = roots.join(best, "root").select(F.col("node").alias("fp"), "best")
     # written, so that both sides of the last join are shuffled and AQE can split the rows
     # of a fingerprint that very many documents share
     named = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("best", "least").alias("best")), "named")
+    saved.drop()
     return marks.join(named, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -346,7 +347,7 @@ def without_near_duplicates(
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits is 0 to {MAX_BITS}: two segments find no more")
     row = fresh_name(docs, "row")
-    marked = numbered(docs, row)
+    marked, saved = numbered(docs, row), Scratch(docs.sparkSession)
 
     def marks_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -358,25 +359,25 @@ def without_near_duplicates(
             yield pd.DataFrame({"row_id": pdf["row_id"], "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
 
     plain = marked.select(F.col(row).alias("row_id"), F.col(text_col).alias("text"))
-    marks = written(plain.mapInPandas(marks_of, "row_id long, fp long, keys array<long>"), "marks")
-    nodes = written(marks.groupBy("fp").agg(F.min("row_id").alias("owner"), F.count("*").alias("n")), "nodes")
+    marks = saved(plain.mapInPandas(marks_of, "row_id long, fp long, keys array<long>"), "marks")
+    nodes = saved(marks.groupBy("fp").agg(F.min("row_id").alias("owner"), F.count("*").alias("n")), "nodes")
     ends = near_links(nodes.select("fp")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     owners = nodes.select("fp", "owner")
     ends = ends.join(owners.toDF("a", "x"), "a").join(owners.toDF("b", "y"), "b").select("x", "y")
     same = marks.select("row_id", "fp").join(nodes.where("n > 1"), "fp").select("row_id", "owner")
     keyed = marks.select("row_id", F.explode("keys").alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.min("row_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    shared = saved(keyed.groupBy("key").agg(F.min("row_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     links = ends.union(same).union(keyed.join(shared, "key").select("row_id", "owner"))
-    groups = written(connected_components(links, "x", "y"), "groups").select(F.col("node").alias("row_id"), "root")
+    groups = saved(connected_components(links, "x", "y"), "groups").select(F.col("node").alias("row_id"), "root")
 
     first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.col(row).alias("row_id"))
     told = marked.select(F.col(row).alias("row_id"), first.alias("first"), F.coalesce(F.length(F.col(text_col)), F.lit(0)).alias("chars"))
     told = _blocks(told.join(groups, "row_id").drop("row_id"), ["root"], block_rows, block_chars)
-    told = written(told.withColumn("label", F.col("first.row_id")), "told")
+    told = saved(told.withColumn("label", F.col("first.row_id")), "told")
     part = F.concat_ws("/", F.col("root").cast("string"), F.col("block").cast("string"))
     texts = sieved(plain, "row_id", groups.select("row_id"))[0].join(groups.select("row_id"), "row_id", "left_semi")
     inside = told.select(part.alias("part"), "first", "label", "first.row_id").join(texts, "row_id").drop("row_id")
-    found = written(_walked(inside, similarity, shingle_words), "found")
+    found = saved(_walked(inside, similarity, shingle_words), "found")
     gone = found.select("row_id").where("owner <> row_id")
     big = told.where("big").select("root", "first", "label", "chars")
     if not big.isEmpty():
@@ -391,4 +392,5 @@ def without_near_duplicates(
         stay = best.select("first.row_id")
         gone = gone.join(big.select("first.row_id"), "row_id", "left_anti").union(big.select("first.row_id").join(stay, "row_id", "left_anti"))
     gone = written(gone, "gone")
+    saved.drop()
     return without_rows(marked, row, gone).select(*[f"`{c}`" for c in docs.columns])
