@@ -14,13 +14,14 @@ last one of a chunk fewer) and can be decoded by itself, as ``read_block`` does:
 carried from one to another.
 
 An id is coded as its place in the block's dictionary, in two symbols: its upper and its
-lower half of bits. Each of these steps is predicted by three adaptive counts of what came at this node of the tree: in the
-whole block (order 0), after the id before (order 1) and after the two ids before (order 2).
-The three distributions are mixed into one with weights that stand by how much each of
-orders 1 and 2 has seen here and that learn, at every step, from how well each order
-predicted; the mixture drives a carryless range coder with 64-bit state and 32-bit words.
-Counts and weights begin anew in each block. Arithmetic on weights is element by element in
-IEEE single precision, so that any machine mixes alike.
+lower half of bits. Each of these steps is predicted by adaptive counts: of what came at
+this node of the tree in the whole block (order 0) and after the id before (order 1), and
+of how often the id that is told after the two ids before (order 2) came again. The three
+distributions are mixed into one, with weights that stand by how much orders 1 and 2 have
+seen here and that learn, at every step, from how well each order predicted; the mixture
+drives a carryless range coder with 64-bit state and 32-bit words. Counts and weights begin
+anew in each block. Arithmetic on weights is element by element in IEEE single precision, so
+that any machine mixes alike.
 
 Blocks are coded in lock-step, one numpy lane a block.
 """
@@ -43,7 +44,7 @@ from .tokens import default_path, encoder
 
 MAGIC = b"TIC2"
 BLOCK = 16384
-#: Blocks that are coded at once, times the width of a symbol (each holds 8 KB by width).
+#: Blocks that are coded at once, times the width of a symbol (each holds 4 KB by width).
 LANES = 16384
 #: Ids of a chunk, whole documents (a longer document is a chunk alone).
 CHUNK_IDS = 8_000_000
@@ -51,11 +52,10 @@ CHUNK_IDS = 8_000_000
 TASK_CHARS = 32_000_000
 END_ID = 2
 _HEAD = struct.Struct("<5I")
-_ROWS = 1 << 12  # rows of counts of order 1, and of order 2, of a lane
+_ROWS = 1 << 12  # rows of counts of order 1, and ids of order 2, of a lane
 _FIRST = 0.25  # counts of order 0 begin so
 _FULL = 250  # a row of the others that has counted so many is halved
 _RATE, _LEAST_WEIGHT = np.float32(0.02), np.float32(0.002)
-_MIX = np.array([[0x27D4EB2F], [0x165667B1]])
 U64 = np.uint64
 _WORD, _LEAST, _UNIT = U64(32), U64(1 << 32), U64(16)
 
@@ -68,7 +68,7 @@ def _first_weights() -> np.ndarray:
     """Weights of orders 0, 1 and 2 at a block's beginning, by step and by how much orders
     1 and 2 have seen: what has seen more counts for more."""
     seen = np.array([0, 1, 2, 3.5, 6, 11, 24, 80])
-    two = np.broadcast_to(0.8 * seen / (seen + 2), (8, 8))
+    two = np.broadcast_to(np.array([0, 0.35, 0.6, 0.75, 0.85, 0.9, 0.94, 0.97]), (8, 8))
     one = (1 - two) * (seen / (seen + 6))[:, None]
     return np.tile(np.stack((1 - one - two, one, two)).astype(np.float32).reshape(3, -1), 2)
 
@@ -76,26 +76,29 @@ def _first_weights() -> np.ndarray:
 class _Model:
     """Counts and weights of all lanes, as they stand after the ids so far.
 
-    Order 0 has a row of counts for each node of the tree; orders 1 and 2 have a hash table
-    of rows each. What a row of theirs has counted in all, and in the upper byte the tag of
-    whose row it is, is its ``seen``; a row that is met with another tag begins anew.
+    Order 0 has a row of counts for each node of the tree. Order 1 has a hash table of such
+    rows; what a row has counted in all, and in the upper byte the tag of whose row it is, is
+    its ``seen``, and a row that is met with another tag begins anew. Order 2 has a hash table
+    of ids: the one that came after the two ids before, how often it came again (a byte;
+    halved when another comes, which takes its place at the end), and a tag.
     """
 
     def __init__(self, lanes: int, bits: int):
-        self.width, tree = 1 << bits, 1 + (1 << bits)
+        self.bits, self.width, tree = bits, 1 << bits, 1 + (1 << bits)
         self.zero = np.full((lanes * tree, self.width), _FIRST, np.float32)
         self.zero_flat = self.zero.reshape(-1)
         self.zero_total = np.full(lanes * tree, _FIRST * self.width, np.float32)
-        self.rows = np.zeros((lanes * 2 * _ROWS, self.width), np.uint8)
+        self.rows = np.zeros((lanes * _ROWS, self.width), np.uint8)
         self.flat = self.rows.reshape(-1)
-        self.seen = np.zeros(lanes * 2 * _ROWS, np.uint16)
+        self.seen = np.zeros(lanes * _ROWS, np.uint16)
+        self.told = np.zeros(lanes * _ROWS, np.uint32)
         every = np.arange(lanes, dtype=np.int64)
-        self.zero_base = every * tree
-        self.base = np.stack((every * 2 * _ROWS, every * 2 * _ROWS + _ROWS))
+        self.zero_base, self.base = every * tree, every * _ROWS
         steps = np.array([0, 1, 2, 3, 3, 4, 4, 4, *[5] * 8, *[6] * 16, *[7] * 224])
         self.seen1, self.seen2 = steps * 8, steps
         self.weights = np.tile(_first_weights(), lanes)
         self.own = every * 128
+        self.lane = every * self.width
         self.share = np.zeros(256, np.float32)
         self.share[1:] = np.float32(1) / np.arange(1, 256, dtype=np.float32)
         self.below = np.triu(np.ones((self.width, self.width + 1), np.float32), 1)
@@ -103,37 +106,51 @@ class _Model:
 
     def begin(self, n: int) -> None:
         """An id begins in the first n lanes."""
-        one = (self.last[:n] + 1) * 0x9E3779B1
-        self.context = np.stack((one, one + (self.before[:n] + 1) * 0x85EBCA77))
+        self.context = (self.last[:n] + 1) * 0x9E3779B1
+        key = (self.context + (self.before[:n] + 1) * 0x85EBCA77) * 0x165667B1
+        self.slot = (key >> 15 & (_ROWS - 1)) + self.base[:n]
+        told = self.told.take(self.slot)
+        self.slot_tag = (key >> 16 & 0xFF000000).astype(np.uint32)
+        self.sure = (told >> 16 & 0xFF).astype(np.int64)
+        self.sure[(told ^ self.slot_tag) > 0xFFFFFF] = 0
+        self.guess = (told & 0xFFFF).astype(np.int64)
+        self.trust = self.sure
 
     def cumulative(self, n: int, node: np.ndarray) -> np.ndarray:
         """Where each symbol's share of 65536 begins, and where the last one ends; ``node``
         is 0 at the first step, then 1 and the first symbol."""
+        second = int(node[0]) > 0
+        if second:  # the id that order 2 tells is out if it began otherwise
+            self.trust = self.sure * (self.guess >> self.bits == node - 1)
+            self.expected = self.guess & (self.width - 1)
+        else:
+            self.expected = self.guess >> self.bits
         self.zero_at = self.zero_base[:n] + node
-        key = (self.context ^ node * 0x2545F491) * _MIX
-        self.at = (key >> 15 & (_ROWS - 1)) + self.base[:, :n]
+        key = (self.context ^ node * 0x2545F491) * 0x27D4EB2F
+        self.at = (key >> 15 & (_ROWS - 1)) + self.base[:n]
         self.tag = (key >> 32 & 0xFF00).astype(np.uint16)
         seen = self.seen.take(self.at)
         others = np.flatnonzero((seen ^ self.tag) > 0xFF)
         if len(others):
-            self.rows[self.at.reshape(-1).take(others)] = 0
-            seen.reshape(-1)[others] = 0
+            self.rows[self.at.take(others)] = 0
+            seen[others] = 0
         seen &= 0xFF
         self.now = seen
-        kind = self.seen1.take(seen[0])
-        kind += self.seen2.take(seen[1])
+        kind = self.seen1.take(seen)
+        kind += self.seen2.take(self.trust)
         kind += self.own[:n]
-        kind += 64 * (node > 0)
+        kind += 64 * second
         self.kind, self.weight = kind, self.weights.take(kind, axis=1)
         self.scale = self.weight.copy()
         self.scale[0] /= self.zero_total.take(self.zero_at)
-        self.scale[1:] *= self.share.take(seen)
+        self.scale[1] *= self.share.take(seen)
+        self.scale[2] *= self.trust > 0
         mixed = self.zero.take(self.zero_at, axis=0)
         mixed *= self.scale[0][:, None]
-        for order in (0, 1):
-            part = self.rows.take(self.at[order], axis=0).astype(np.float32)
-            part *= self.scale[order + 1][:, None]
-            mixed += part
+        part = self.rows.take(self.at, axis=0).astype(np.float32)
+        part *= self.scale[1][:, None]
+        mixed += part
+        mixed.reshape(-1)[self.lane[:n] + self.expected] += self.scale[2]
         mixed *= np.float32(65000)
         np.floor(mixed, out=mixed)
         mixed += 1
@@ -145,7 +162,8 @@ class _Model:
         count, zero_count = self.flat.take(cell), self.zero_flat.take(zero)
         good = np.empty((3, n), np.float32)
         good[0] = zero_count
-        good[1:] = count
+        good[1] = count
+        good[2] = self.expected == sym
         good *= self.scale
         total = good[0] + good[1]
         total += good[2]
@@ -164,14 +182,20 @@ class _Model:
         now += 1
         if now.max() >= _FULL:
             full = np.flatnonzero(now >= _FULL)
-            rows = self.at.reshape(-1).take(full)
+            rows = self.at.take(full)
             half = (self.rows[rows] + 1) >> 1
             self.rows[rows] = half
-            now.reshape(-1)[full] = half.sum(axis=1)
+            now[full] = half.sum(axis=1)
         now |= self.tag
         self.seen[self.at] = now
 
     def end(self, n: int, place: np.ndarray) -> None:
+        came = self.guess == place
+        sure = np.where(came, np.minimum(self.sure + 1, 255), self.sure >> 1)
+        fresh = sure == 0
+        sure[fresh] = 1
+        told = np.where(fresh, place, self.guess) | sure << 16
+        self.told[self.slot] = told.astype(np.uint32) | self.slot_tag
         self.before[:n] = self.last[:n]
         self.last[:n] = place
 
