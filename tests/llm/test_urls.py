@@ -55,11 +55,11 @@ def test_many_rules(spark, monkeypatch):
     import random
     import re
 
-    monkeypatch.setattr(urls, "RULES_AT_ONCE", 700)
+    monkeypatch.setattr(urls, "RULES_AT_ONCE", 400)
     monkeypatch.setattr(urls, "BROADCAST_LITERALS", 10)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abc") for _ in range(3))
-    rules = [host_rule(rng.choice(["block", "allow"]), f"{word()}.com/{word()}/{word()}") for _ in range(2000)] + [Rule("block", "aaa$", (), 5)]
+    rules = [host_rule(rng.choice(["block", "allow"]), f"{word()}.com/{word()}/{word()}") for _ in range(900)] + [Rule("block", "aaa$", (), 5)]
     tried = [f"https://{word()}.com/{word()}/{word()}{word()}" for _ in range(300)]
     want = []
     for u in tried:
