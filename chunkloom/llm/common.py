@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -91,6 +93,28 @@ class Scratch:
             drop_scratch(self.spark, self.paths.pop())
 
 
+_turn: list = ["", ()]
+
+
+def takes_turn(operator: str, *memories: dict) -> None:
+    """An operator goes on in this Python worker, and what it keeps there is in ``memories``.
+
+    A worker serves all stages, one after another, as long as it lives: what the operator
+    before it kept is emptied, and free memory, which the allocators would keep, goes back
+    to the machine. So an executor never holds the memories of several operators.
+    """
+    if _turn[0] != operator:
+        for memory in _turn[1]:
+            memory.clear()
+        _turn[:] = operator, memories
+        gc.collect()
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

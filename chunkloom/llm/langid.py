@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fresh_name
+from .common import crc_of_id, fresh_name, takes_turn
 
 #: Letters of training text a language, at most.
 TRAIN_CHARS = 40_000
@@ -297,6 +297,7 @@ _parsers: dict[str, CrossParser] = {}
 
 
 def _parser(samples: dict[str, str]) -> CrossParser:
+    takes_turn("langid", _parsers)
     key = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
     if key not in _parsers:
         _parsers.clear()

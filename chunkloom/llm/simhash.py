@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh_name, numbered, sieved, without_rows, written
+from .common import Scratch, fresh_name, numbered, sieved, takes_turn, without_rows, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -108,6 +108,7 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _fingerprints(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    takes_turn("simhash")
     for pdf in batches:
         fp = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "row_id": pdf["row_id"], "fp": fp})
@@ -256,6 +257,7 @@ def _walk(similarity: float, shingle_words: int):
     of the first row of its component."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        takes_turn("simhash")
         rows = (r for pdf in batches for r in zip(pdf["part"], pdf["row_id"], pdf["label"], pdf["text"]))
         for _, part in groupby(rows, key=lambda r: r[0]):
             ids: list[int] = []
@@ -351,6 +353,7 @@ def without_near_duplicates(
 
     def marks_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            takes_turn("simhash")
             fps, keys = [], []
             for t in pdf["text"]:
                 blocks = list(shingle_hashes(t, shingle_words))

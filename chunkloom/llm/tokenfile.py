@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, takes_turn
 from .tokens import default_path, encoder
 
 MAGIC = b"TIC2"
@@ -423,6 +423,7 @@ def _writer(path: str, end_id: int):
 
 
 def _reader(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    takes_turn("token files")
     for pdf in batches:
         for part, before, names, data in zip(pdf["part"], pdf["before"], pdf["doc_ids"], pdf["data"]):
             docs = read_chunk(data)

@@ -17,6 +17,8 @@ import os
 from array import array
 from collections.abc import Sequence
 
+from .common import takes_turn
+
 #: Words held by a worker (about 200 bytes each). Beyond, words not held are encoded each
 #: time; after as many of them the memory starts anew, as the texts have changed.
 WORDS_HELD = 700_000
@@ -121,6 +123,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder, whose memory serves all its tasks."""
+    takes_turn("tokens", _encoders)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

@@ -167,3 +167,20 @@ def test_most_ids_lie_in_combinations():
         times = packing.rounded(combos, packing.repeat_counts(combos, counts), counts)
         shares.append(2048 * times.sum() / rest.sum())
     assert shares[0] > 0.8 and shares[1] > 0.85
+
+
+def test_a_worker_keeps_one_operator_s_memory():
+    """Workers live on through all stages: what the operator before kept is let go."""
+    from chunkloom.llm import langid, simhash, tokens
+
+    tokens.encoder(default_path()).encode(["some words"])
+    assert tokens.encoder(default_path()).held
+    langid.predict({"en": "the words of a text", "de": "die Worte"}, ["the words"])
+    assert langid._parsers and not tokens._encoders
+    langid.predict({"en": "the words of a text", "de": "die Worte"}, ["the words"])
+    assert langid._parsers
+    list(simhash._fingerprints([]))
+    assert not langid._parsers
+    tokens.encoder(default_path())
+    list(tokenfile._reader([]))
+    assert not tokens._encoders
