@@ -44,10 +44,11 @@ from .tokens import default_path, encoder
 
 MAGIC = b"TIC2"
 BLOCK = 16384
-#: Blocks that are coded at once, times the width of a symbol (each holds 4 KB by width).
-LANES = 16384
-#: Ids of a chunk, whole documents (a longer document is a chunk alone).
-CHUNK_IDS = 8_000_000
+#: Blocks that are coded at once, times the width of a symbol (each holds 4 KB by width). A
+#: step costs as much as some 250 of its lanes, so these are to be many.
+LANES = 32768
+#: Ids of a chunk, whole documents (a longer document is a chunk alone). Most tasks' ids fit.
+CHUNK_IDS = 16_000_000
 #: Characters of text that a task takes (about, by a sum over all texts).
 TASK_CHARS = 32_000_000
 END_ID = 2
@@ -296,7 +297,7 @@ def decode_places(words: list[np.ndarray], sizes: np.ndarray, bits: int) -> np.n
 def write_blocks(ids: np.ndarray) -> Iterator[bytes]:
     """The blocks of ids, in order."""
     parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    told = [np.unique(p, return_inverse=True) for p in parts]
+    told = [(known, at.astype(np.uint16)) for known, at in (np.unique(p, return_inverse=True) for p in parts)]
     words: list = [None] * len(parts)
     groups: dict[int, list[int]] = {}
     for i, (known, _) in enumerate(told):

@@ -184,3 +184,16 @@ def test_a_worker_keeps_one_operator_s_memory():
     tokens.encoder(default_path())
     list(tokenfile._reader([]))
     assert not tokens._encoders
+
+
+def test_many_blocks_are_coded_at_once(monkeypatch):
+    """Some hundred blocks of one width, as a task has, take one run; their bytes don't depend on it."""
+    monkeypatch.setattr(tokenfile, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.3, 700 * 64) % 3000).astype("<u4")
+    runs, encode = [], tokenfile.encode_places
+    monkeypatch.setattr(tokenfile, "encode_places", lambda *a: runs.append(1) or encode(*a))
+    once = list(tokenfile.write_blocks(ids))
+    assert len(once) == 700 and len(runs) == 1
+    monkeypatch.setattr(tokenfile, "LANES", 1024)
+    assert list(tokenfile.write_blocks(ids)) == once
