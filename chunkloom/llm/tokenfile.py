@@ -3,7 +3,7 @@
 A file is a folder of Parquet parts in ascending document order; each row is a chunk of
 whole documents, its bytes in the format below. Ids are any 32-bit numbers.
 
-Chunk, little-endian: magic ``TIC2``, uint32 counts of documents, ids and blocks, uint32
+Chunk, little-endian: magic ``TIC3``, uint32 counts of documents, ids and blocks, uint32
 size and zlib stream of int64 document lengths, then the blocks one after another. Document
 ids stand in a column of their own.
 
@@ -20,10 +20,12 @@ of how often the id that is told after the two ids before (order 2) came again.
 distributions are mixed into one, with weights that stand by how much orders 1 and 2 have
 seen here and that learn, at every step, from how well each order predicted; the mixture
 drives a carryless range coder with 64-bit state and 32-bit words. Counts and weights begin
-anew in each block. Arithmetic on weights is element by element in IEEE single precision, so
-that any machine mixes alike.
+anew in each block. A symbol's share begins where its orders' counts of lesser symbols, each
+by its scale, add up to; all this is in whole numbers (weights learn by IEEE doubles, one
+operation at a time), so that any machine mixes alike.
 
-Blocks are coded in lock-step, one numpy lane a block.
+The coder is here twice, with the same bytes: in ``TokenCoder.java``, which Spark's JVM runs
+for whole tables, and in numpy, in lock-step with one lane a block, for use without Spark.
 """
 
 from __future__ import annotations
@@ -40,23 +42,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch_path, takes_turn
+from .jvm import has_compiler, java_function
 from .tokens import default_path, encoder
 
-MAGIC = b"TIC2"
+MAGIC = b"TIC3"
 BLOCK = 16384
-#: Blocks that are coded at once, times the width of a symbol (each holds 4 KB by width). A
-#: step costs as much as some 250 of its lanes, so these are to be many.
+#: Blocks that numpy codes at once, times the width of a symbol. A step costs as much as some
+#: 250 of its lanes, so these are to be many.
 LANES = 32768
-#: Ids of a chunk, whole documents (a longer document is a chunk alone). Most tasks' ids fit.
-CHUNK_IDS = 16_000_000
+#: Ids of a chunk, whole documents (a longer document is a chunk alone): 16 MB on their way to
+#: the JVM.
+CHUNK_IDS = 4_000_000
 #: Characters of text that a task takes (about, by a sum over all texts).
 TASK_CHARS = 32_000_000
 END_ID = 2
 _HEAD = struct.Struct("<5I")
 _ROWS = 1 << 12  # rows of counts of order 1, and ids of order 2, of a lane
-_FIRST = 0.25  # counts of order 0 begin so
 _FULL = 250  # a row of the others that has counted so many is halved
-_RATE, _LEAST_WEIGHT = np.float32(0.02), np.float32(0.002)
+_ONE = 1 << 20  # a weight of 1
+_RATE, _LEAST_WEIGHT = 21, 2097  # of 1024, of _ONE
 U64 = np.uint64
 _WORD, _LEAST, _UNIT = U64(32), U64(1 << 32), U64(16)
 
@@ -70,28 +74,26 @@ def _first_weights() -> np.ndarray:
     1 and 2 have seen: what has seen more counts for more."""
     seen = np.array([0, 1, 2, 3.5, 6, 11, 24, 80])
     two = np.broadcast_to(np.array([0, 0.35, 0.6, 0.75, 0.85, 0.9, 0.94, 0.97]), (8, 8))
-    one = (1 - two) * (seen / (seen + 6))[:, None]
-    return np.tile(np.stack((1 - one - two, one, two)).astype(np.float32).reshape(3, -1), 2)
+    one = ((1 - two) * (seen / (seen + 6))[:, None] * _ONE).astype(np.int64).reshape(-1)
+    two = (two * _ONE).astype(np.int64).reshape(-1)
+    return np.tile(np.stack((_ONE - one - two, one, two)), 2)
 
 
 class _Model:
     """Counts and weights of all lanes, as they stand after the ids so far.
 
     Order 0 has a row of counts for each node of the tree. Order 1 has a hash table of such
-    rows; what a row has counted in all, and in the upper byte the tag of whose row it is, is
-    its ``seen``, and a row that is met with another tag begins anew. Order 2 has a hash table
-    of ids: the one that came after the two ids before, how often it came again (a byte;
-    halved when another comes, which takes its place at the end), and a tag.
+    rows with a tag, of whose row it is; a row that is met with another tag begins anew. Rows
+    are summed up: of each symbol the counts of lesser ones, and last all it counted. Order 2
+    has a hash table of ids: the one that came after the two ids before, how often it came
+    again (a byte; halved when another comes, which takes its place at the end), and a tag.
     """
 
     def __init__(self, lanes: int, bits: int):
         self.bits, self.width, tree = bits, 1 << bits, 1 + (1 << bits)
-        self.zero = np.full((lanes * tree, self.width), _FIRST, np.float32)
-        self.zero_flat = self.zero.reshape(-1)
-        self.zero_total = np.full(lanes * tree, _FIRST * self.width, np.float32)
-        self.rows = np.zeros((lanes * _ROWS, self.width), np.uint8)
-        self.flat = self.rows.reshape(-1)
-        self.seen = np.zeros(lanes * _ROWS, np.uint16)
+        self.zero = np.zeros((lanes * tree, self.width + 1), np.uint16)
+        self.rows = np.zeros((lanes * _ROWS, self.width + 1), np.uint8)
+        self.tags = np.zeros(lanes * _ROWS, np.uint8)
         self.told = np.zeros(lanes * _ROWS, np.uint32)
         every = np.arange(lanes, dtype=np.int64)
         self.zero_base, self.base = every * tree, every * _ROWS
@@ -99,10 +101,12 @@ class _Model:
         self.seen1, self.seen2 = steps * 8, steps
         self.weights = np.tile(_first_weights(), lanes)
         self.own = every * 128
-        self.lane = every * self.width
-        self.share = np.zeros(256, np.float32)
-        self.share[1:] = np.float32(1) / np.arange(1, 256, dtype=np.float32)
-        self.below = np.triu(np.ones((self.width, self.width + 1), np.float32), 1)
+        # a count's share of a row, of 65000 << 20; order 0 counts in quarters, from one on
+        self.share0 = (65000 << 20) // (4 * np.arange(BLOCK + 1, dtype=np.int64) + self.width)
+        self.share1 = np.zeros(256, np.int64)
+        self.share1[1:] = (65000 << 20) // np.arange(1, 256)
+        self.symbols = np.arange(self.width + 1)
+        self.after = np.triu(np.ones((self.width, self.width + 1), np.uint8), 1)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def begin(self, n: int) -> None:
@@ -117,9 +121,8 @@ class _Model:
         self.guess = (told & 0xFFFF).astype(np.int64)
         self.trust = self.sure
 
-    def cumulative(self, n: int, node: np.ndarray) -> np.ndarray:
-        """Where each symbol's share of 65536 begins, and where the last one ends; ``node``
-        is 0 at the first step, then 1 and the first symbol."""
+    def node(self, n: int, node: np.ndarray) -> None:
+        """A symbol begins; ``node`` is 0 at the first step, then 1 and the first symbol."""
         second = int(node[0]) > 0
         if second:  # the id that order 2 tells is out if it began otherwise
             self.trust = self.sure * (self.guess >> self.bits == node - 1)
@@ -129,66 +132,59 @@ class _Model:
         self.zero_at = self.zero_base[:n] + node
         key = (self.context ^ node * 0x2545F491) * 0x27D4EB2F
         self.at = (key >> 15 & (_ROWS - 1)) + self.base[:n]
-        self.tag = (key >> 32 & 0xFF00).astype(np.uint16)
-        seen = self.seen.take(self.at)
-        others = np.flatnonzero((seen ^ self.tag) > 0xFF)
+        tag = (key >> 40 & 0xFF).astype(np.uint8)
+        others = np.flatnonzero(self.tags.take(self.at) != tag)
         if len(others):
             self.rows[self.at.take(others)] = 0
-            seen[others] = 0
-        seen &= 0xFF
-        self.now = seen
-        kind = self.seen1.take(seen)
-        kind += self.seen2.take(self.trust)
-        kind += self.own[:n]
-        kind += 64 * second
-        self.kind, self.weight = kind, self.weights.take(kind, axis=1)
-        self.scale = self.weight.copy()
-        self.scale[0] /= self.zero_total.take(self.zero_at)
-        self.scale[1] *= self.share.take(seen)
-        self.scale[2] *= self.trust > 0
-        mixed = self.zero.take(self.zero_at, axis=0)
+            self.tags[self.at.take(others)] = tag.take(others)
+        seen = self.rows[self.at, self.width]
+        self.kind = self.seen1.take(seen) + self.seen2.take(self.trust) + self.own[:n] + 64 * second
+        self.weight = self.weights.take(self.kind, axis=1)
+        self.scale = np.empty((3, n), np.int64)
+        self.scale[0] = self.weight[0] * self.share0.take(self.zero[self.zero_at, self.width]) >> 12
+        self.scale[1] = self.weight[1] * self.share1.take(seen) >> 12
+        self.scale[2] = self.weight[2] * (65000 << 8) * (self.trust > 0)
+
+    def begins(self, sym: np.ndarray) -> np.ndarray:
+        """Where a symbol's share of 65536 begins in each lane; the width's is the end of all."""
+        self.zeros = self.zero[self.zero_at, sym].astype(np.int64) * 4 + sym
+        self.ones = self.rows[self.at, sym].astype(np.int64)
+        mixed = self.scale[0] * self.zeros + self.scale[1] * self.ones + self.scale[2] * (sym > self.expected)
+        return (mixed >> 28) + sym
+
+    def all_begin(self) -> np.ndarray:
+        """The same for all symbols, by lane and symbol."""
+        mixed = self.zero.take(self.zero_at, axis=0) * np.int64(4) + self.symbols
         mixed *= self.scale[0][:, None]
-        part = self.rows.take(self.at, axis=0).astype(np.float32)
-        part *= self.scale[1][:, None]
-        mixed += part
-        mixed.reshape(-1)[self.lane[:n] + self.expected] += self.scale[2]
-        mixed *= np.float32(65000)
-        np.floor(mixed, out=mixed)
-        mixed += 1
-        return mixed @ self.below  # whole numbers below 2 ** 24, so exact in any order
-
-    def learn(self, n: int, sym: np.ndarray) -> None:
-        """Weights and counts after ``sym`` came."""
-        cell, zero = self.at * self.width + sym, self.zero_at * self.width + sym
-        count, zero_count = self.flat.take(cell), self.zero_flat.take(zero)
-        good = np.empty((3, n), np.float32)
-        good[0] = zero_count
-        good[1] = count
-        good[2] = self.expected == sym
-        good *= self.scale
-        total = good[0] + good[1]
-        total += good[2]
-        good /= total
+        mixed += self.rows.take(self.at, axis=0) * self.scale[1][:, None]
+        mixed += (self.symbols > self.expected[:, None]) * self.scale[2][:, None]
+        mixed >>= 28
+        mixed += self.symbols
+        return mixed
+
+    def taken(self, n: int, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the share of ``sym``, which came; weights and counts learn it."""
+        begin, zeros, ones = self.begins(sym), self.zeros, self.ones
+        end = self.begins(sym + 1)
+        good0 = (self.scale[0] * (self.zeros - zeros)).astype(np.float64)
+        good1 = (self.scale[1] * (self.ones - ones)).astype(np.float64)
+        good2 = (self.scale[2] * (self.expected == sym)).astype(np.float64)
+        share = _ONE / (good0 + good1 + good2)
+        good = np.empty((3, n), np.int64)
+        good[1], good[2] = good1 * share, good2 * share
+        good[0] = _ONE - good[1] - good[2]
         good -= self.weight
         good *= _RATE
+        good >>= 10
         good += self.weight
-        np.maximum(good, _LEAST_WEIGHT, out=good)
-        self.weights[:, self.kind] = good
-        zero_count += 1
-        self.zero_flat[zero] = zero_count
-        self.zero_total[self.zero_at] += 1
-        count += 1
-        self.flat[cell] = count
-        now = self.now
-        now += 1
-        if now.max() >= _FULL:
-            full = np.flatnonzero(now >= _FULL)
-            rows = self.at.take(full)
-            half = (self.rows[rows] + 1) >> 1
-            self.rows[rows] = half
-            now[full] = half.sum(axis=1)
-        now |= self.tag
-        self.seen[self.at] = now
+        self.weights[:, self.kind] = np.maximum(good, _LEAST_WEIGHT)
+        more = self.after.take(sym, axis=0)
+        self.zero[self.zero_at] += more
+        rows = self.rows.take(self.at, axis=0) + more
+        for i in np.flatnonzero(rows[:, -1] >= _FULL):
+            rows[i, 1:] = np.cumsum(np.diff(rows[i]) >> 1)
+        self.rows[self.at] = rows
+        return begin.astype(U64), end.astype(U64)
 
     def end(self, n: int, place: np.ndarray) -> None:
         came = self.guess == place
@@ -223,7 +219,6 @@ def encode_places(grid: np.ndarray, sizes: np.ndarray, bits: int) -> list[np.nda
     low, span = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
     # room for the most words; pages that none reach are never touched
     out, used = np.zeros((lanes, 2 * steps + 2), np.uint32), np.zeros(lanes, np.int64)
-    row = np.arange(lanes) * (model.width + 1)
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
     for step in range(steps):
         n = alive[step]
@@ -231,10 +226,10 @@ def encode_places(grid: np.ndarray, sizes: np.ndarray, bits: int) -> list[np.nda
         first, second = place >> bits, place & (model.width - 1)
         model.begin(n)
         for node, sym in ((np.zeros(n, np.int64), first), (first + 1, second)):
-            ends = model.cumulative(n, node).reshape(-1)
-            at = row[:n] + sym
-            begin, unit = ends.take(at).astype(U64), sp >> _UNIT
-            np.multiply(unit, ends.take(at + 1).astype(U64) - begin, out=sp)
+            model.node(n, node)
+            begin, ends = model.taken(n, sym)
+            unit = sp >> _UNIT
+            np.multiply(unit, ends - begin, out=sp)
             unit *= begin
             lo += unit
             todo = _narrow(lo, sp)
@@ -242,7 +237,6 @@ def encode_places(grid: np.ndarray, sizes: np.ndarray, bits: int) -> list[np.nda
                 out[todo, used[todo]] = lo[todo] >> _WORD
                 lo[todo] <<= _WORD
                 used[todo] += 1
-            model.learn(n, sym)
         model.end(n, place)
     every = np.arange(lanes)
     for half in (low >> _WORD, low & (_LEAST - U64(1))):
@@ -262,7 +256,6 @@ def decode_places(words: list[np.ndarray], sizes: np.ndarray, bits: int) -> np.n
     code = flat[at].astype(U64) << _WORD | flat[at + 1]
     at += 2
     grid = np.zeros((steps, lanes), np.uint16)
-    row = np.arange(lanes) * (model.width + 1)
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")
     for step in range(steps):
         n = alive[step]
@@ -270,16 +263,13 @@ def decode_places(words: list[np.ndarray], sizes: np.ndarray, bits: int) -> np.n
         place = node = np.zeros(n, np.int64)
         model.begin(n)
         for _ in range(2):
-            ends = model.cumulative(n, node)
+            model.node(n, node)
             unit = sp >> _UNIT
-            value = ((co - lo) // unit).astype(np.float32)  # below 65536, or the block is damaged
-            above = ends[:, 1:] <= value[:, None]
-            sym = np.bitwise_count(above.view(U64)).sum(axis=1, dtype=np.int64)
+            value = ((co - lo) // unit).astype(np.int64)  # below 65536, or the block is damaged
+            sym = (model.all_begin()[:, 1:] <= value[:, None]).sum(axis=1, dtype=np.int64)
             np.minimum(sym, model.width - 1, out=sym)
-            ends = ends.reshape(-1)
-            cell = row[:n] + sym
-            begin = ends.take(cell).astype(U64)
-            np.multiply(unit, ends.take(cell + 1).astype(U64) - begin, out=sp)
+            begin, ends = model.taken(n, sym)
+            np.multiply(unit, ends - begin, out=sp)
             unit *= begin
             lo += unit
             todo = _narrow(lo, sp)
@@ -287,7 +277,6 @@ def decode_places(words: list[np.ndarray], sizes: np.ndarray, bits: int) -> np.n
                 lo[todo] <<= _WORD
                 co[todo] = co[todo] << _WORD | flat[at[todo]]
                 at[todo] += 1
-            model.learn(n, sym)
             place, node = place << bits | sym, sym + 1
         model.end(n, place)
         grid[step, :n] = place
@@ -400,7 +389,8 @@ def _writer(path: str, end_id: int):
 
         def flush() -> pd.DataFrame:
             nonlocal ids, names, count, seq, before
-            row = {"part": part, "seq": seq, "n_ids": count, "before": before, "doc_ids": names, "data": write_chunk(ids)}
+            lengths = np.array([len(x) // 4 for x in ids], "<i8").tobytes()
+            row = {"part": part, "seq": seq, "n_ids": count, "before": before, "doc_ids": names, "lengths": lengths, "ids": b"".join(ids)}
             seq, before, ids, names, count = seq + 1, before + count, [], [], 0
             return pd.DataFrame({k: [v] for k, v in row.items()})
 
@@ -423,7 +413,15 @@ def _writer(path: str, end_id: int):
     return run
 
 
+def _write_coded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks of plain ids, coded by numpy."""
+    for pdf in batches:
+        docs = (np.split(np.frombuffer(x, "<u4"), np.cumsum(np.frombuffer(n, "<i8"))[:-1]) for n, x in zip(pdf.pop("lengths"), pdf.pop("ids")))
+        yield pdf.assign(data=[write_chunk([d.tobytes() for d in x]) for x in docs])
+
+
 def _reader(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of coded chunks, by numpy."""
     takes_turn("token files")
     for pdf in batches:
         for part, before, names, data in zip(pdf["part"], pdf["before"], pdf["doc_ids"], pdf["data"]):
@@ -440,37 +438,52 @@ def _tasks(docs: DataFrame, text_col: str) -> int:
     return max(-(-chars // TASK_CHARS), min(cores, -(-chars // (TASK_CHARS // 8))), 1)
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, in_jvm: bool | None = None) -> None:
     """Write all documents' ids, each with ``end_id`` after it, in ascending id order.
 
     Null ids come first; rows of one id are in the order of their texts, and may go to
     several tasks; null and empty texts are just ``end_id``; repeated rows are written each.
-    Other columns are ignored.
+    Other columns are ignored. Spark's JVM codes, or numpy where ``in_jvm`` is false (by
+    default, where the session can't compile Java); files are the same.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # the text's beginning too, so that an id that very many rows have is split
     rows = rows.repartitionByRange(_tasks(docs, text_col), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    shape = f"part int, seq int, n_ids long, before long, doc_ids array<{kind}>, data binary"
-    rows.mapInPandas(_writer(tokenizer or default_path(), end_id), shape).write.parquet(path)
+    shape = f"part int, seq int, n_ids long, before long, doc_ids array<{kind}>"
+    chunks = rows.mapInPandas(_writer(tokenizer or default_path(), end_id), f"{shape}, lengths binary, ids binary")
+    if has_compiler(spark) if in_jvm is None else in_jvm:
+        code = java_function(spark, "TokenCoder", "Write", "binary")
+        chunks = chunks.withColumn("data", code("lengths", "ids", F.lit(BLOCK))).drop("lengths", "ids")
+    else:
+        chunks = chunks.mapInPandas(_write_coded, f"{shape}, data binary")
+    chunks.write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, in_jvm: bool | None = None) -> DataFrame:
     """A row for each document of the files: ``doc_id, start, n_tokens, ids_crc32``.
 
-    Raises Corrupt, and fails the job, where a block doesn't match its checksum.
+    Fails the job, by an exception named Corrupt, where a block doesn't match its checksum.
     """
     chunks = spark.read.parquet(path)
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
     parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # one row a part file
     offsets = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("ahead"))
-    read = chunks.select("part", "before", "doc_ids", "data").mapInPandas(_reader, f"doc_id {kind}, part int, start long, n_tokens long, ids_crc32 long")
+    if has_compiler(spark) if in_jvm is None else in_jvm:
+        decode = java_function(spark, "TokenCoder", "Read", "array<struct<start:long,ids:binary>>")
+        docs = F.arrays_zip("doc_ids", decode("data", F.lit(BLOCK)).alias("held"))
+        read = chunks.select("part", "before", F.explode(docs).alias("doc"))
+        ids = F.col("doc.held.ids")
+        start, size = F.col("before") + F.col("doc.held.start"), (F.octet_length(ids) / 4).cast("long")
+        read = read.select(F.col("doc.doc_ids").alias("doc_id"), "part", start.alias("start"), size.alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
+    else:
+        read = chunks.select("part", "before", "doc_ids", "data").mapInPandas(_reader, f"doc_id {kind}, part int, start long, n_tokens long, ids_crc32 long")
     return read.join(offsets, "part").select("doc_id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, in_jvm: bool | None = None) -> DataFrame:
     """Write ``docs`` to files in the shared folder and read them back."""
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, id_col, text_col, tokenizer)
-    return read_tokens(spark, path)
+    write_tokens(docs, path, id_col, text_col, tokenizer, in_jvm=in_jvm)
+    return read_tokens(spark, path, in_jvm)

@@ -197,3 +197,64 @@ def test_many_blocks_are_coded_at_once(monkeypatch):
     assert len(once) == 700 and len(runs) == 1
     monkeypatch.setattr(tokenfile, "LANES", 1024)
     assert list(tokenfile.write_blocks(ids)) == once
+
+
+def chunk_rows(spark, cases):
+    """One row a case, as the writer gives them to the coder."""
+    rows = [(i, b"".join(np.array([len(x) // 4], "<i8").tobytes() for x in docs_), b"".join(docs_)) for i, docs_ in enumerate(cases)]
+    return spark.createDataFrame(rows, "i int, lengths binary, ids binary")
+
+
+def test_spark_s_jvm_codes_the_same(spark, words, monkeypatch):
+    """The coder that queries run and numpy's write the same code words and read each other's."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(tokenfile, "BLOCK", 4096)
+    rng = np.random.default_rng(8)
+    wide = rng.permutation(2**16)[:6000]
+    cases = [[], [b""], [as_bytes([5])], [b"", as_bytes([1, 2, 2**32 - 1]), b"", as_bytes([2**31, 2**17])], [as_bytes(wide)], [as_bytes(rng.zipf(1.3, 30_000) % 49_000)], [as_bytes(rng.integers(0, 3000, 9000)), as_bytes([7] * 9000)], [as_bytes(np.tile(np.arange(1400), 30))], [as_bytes(rng.zipf(1.1, 20_000) % 2**32)], [as_bytes(np.repeat(rng.permutation(300), 90))]]
+    cases.append([x + as_bytes([2]) for x in words.encode(["The words of a text, and the words after."] * 500)])
+    write = tokenfile.java_function(spark, "TokenCoder", "Write", "binary")
+    read = tokenfile.java_function(spark, "TokenCoder", "Read", "array<struct<start:long,ids:binary>>")
+    coded = chunk_rows(spark, cases).repartition(3).withColumn("data", write("lengths", "ids", F.lit(tokenfile.BLOCK)))
+    for row in coded.collect():
+        docs_, data = cases[row["i"]], bytes(row["data"])
+        assert tokenfile.read_chunk(data) == docs_
+        flat, at = np.frombuffer(b"".join(docs_), "<u4"), 20 + int.from_bytes(data[16:20], "little")
+        for block in tokenfile.write_blocks(flat):
+            want, got = tokenfile._parsed(block, 0), tokenfile._parsed(data, at)
+            at = got[-1]
+            assert got[:2] == want[:2] and got[2].tolist() == want[2].tolist() and got[3].tolist() == want[3].tolist()
+        assert at == len(data)
+    chunks = spark.createDataFrame([(i, tokenfile.write_chunk(x)) for i, x in enumerate(cases)], "i int, data binary")
+    for row in chunks.select("i", read("data", F.lit(tokenfile.BLOCK)).alias("docs")).collect():
+        docs_ = cases[row["i"]]
+        assert [bytes(d["ids"]) for d in row["docs"]] == docs_
+        assert [d["start"] for d in row["docs"]] == [sum(len(y) // 4 for y in docs_[:k]) for k in range(len(docs_))]
+
+
+def test_spark_s_jvm_codes_the_widest_symbols(spark):
+    from pyspark.sql import functions as F
+
+    ids = as_bytes(np.random.default_rng(9).permutation(2**16))  # 2 ** 14 distinct ids a block
+    write = tokenfile.java_function(spark, "TokenCoder", "Write", "binary")
+    read = tokenfile.java_function(spark, "TokenCoder", "Read", "array<struct<start:long,ids:binary>>")
+    coded = chunk_rows(spark, [[ids]]).select(write("lengths", "ids", F.lit(tokenfile.BLOCK)).alias("data"))
+    assert bytes(coded.select(read("data", F.lit(tokenfile.BLOCK)).alias("docs")).first()["docs"][0]["ids"]) == ids
+
+
+def test_spark_s_jvm_finds_damage(spark, small_blocks):
+    from pyspark.sql import functions as F
+
+    data = tokenfile.write_chunk([np.arange(5_000, dtype="<u4").tobytes()])
+    read = tokenfile.java_function(spark, "TokenCoder", "Read", "array<struct<start:long,ids:binary>>")
+    bad = [data[:at] + bytes([data[at] ^ 4]) + data[at + 1 :] for at in (0, 20, 60, len(data) // 2, len(data) - 300)] + [data[:-8], b""]
+    for x in bad:
+        with pytest.raises(Exception, match="Corrupt"):
+            spark.createDataFrame([(x,)], "data binary").select(F.size(read("data", F.lit(tokenfile.BLOCK)))).collect()
+
+
+def test_files_without_the_jvm(spark):
+    """Numpy writes and reads the same files where Java can't be compiled."""
+    told = [sorted(tokenfile.round_trip(docs(spark).repartition(3), in_jvm=x).collect(), key=repr) for x in (True, False)]
+    assert told[0] == told[1] and len(told[0]) == len(ROWS)
