@@ -42,9 +42,12 @@ def _loader(spark: SparkSession, name: str):
         with zipfile.ZipFile(data, "w") as jar:
             for entry in compiler.getBytecodes().entrySet():
                 jar.writestr(entry.getKey().replace(".", "/") + ".class", bytes(entry.getValue()))
-        path = os.path.join(tempfile.mkdtemp(prefix="chunkloom-"), f"{name}.jar")
+        folder = tempfile.mkdtemp(prefix="chunkloom-")
+        path = os.path.join(folder, f"{name}.jar")
         with open(path, "wb") as f:
             f.write(data.getvalue())
+        for x in (folder, path):  # the later one is deleted first
+            jvm.java.io.File(x).deleteOnExit()
         spark.sparkContext._jsc.addJar(path)  # served by the driver
         _loaders[key] = compiler.getClassLoader()
     return _loaders[key]
