@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.embed import embedder
+from ..functions.rows import by_row
 from ..functions.text import collapse_spans
 from ..plans.kernel import Chunk, merged
 
@@ -56,16 +57,11 @@ def without_small(chunks: DataFrame, max_tokens: int, model_dir: str | None = No
     fields = ("ord", "content", "token_count", "page_numbers", "span_start", "span_end", "dominant_type", "divided")
     rows = F.array_sort(F.collect_list(F.struct(*fields)))
 
-    @F.pandas_udf(_MERGED)
-    def walk(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = embedder(model_dir)
-        for docs in parts:
-            out = []
-            for rows in docs:
-                made = [Chunk(r["content"], int(r["token_count"]), [int(p) for p in r["page_numbers"]], r["span_start"], r["span_end"], "", r["dominant_type"], {"has_children": bool(r["divided"]), "ord": r["ord"]}) for r in rows]
-                kept = merged(made, embed, max_tokens)
-                out.append([{"ord": c.metadata["ord"], **{k: getattr(c, k) for k in fields[1:-1]}} for c in kept])
-            yield pd.Series(out, dtype=object)
+    @by_row(_MERGED)
+    def walk(rows: list[dict]) -> list[dict]:
+        made = [Chunk(r["content"], int(r["token_count"]), [int(p) for p in r["page_numbers"]], r["span_start"], r["span_end"], "", r["dominant_type"], {"has_children": bool(r["divided"]), "ord": r["ord"]}) for r in rows]
+        kept = merged(made, embedder(model_dir), max_tokens)
+        return [{"ord": c.metadata["ord"], **{k: getattr(c, k) for k in fields[1:-1]}} for c in kept]
 
     groups = chunks.groupBy("doc_id").agg(rows.alias("rows"))
     return groups.select("doc_id", F.explode(walk("rows")).alias("c")).select("doc_id", "c.*")
@@ -75,10 +71,9 @@ def without_repeated_spans(chunks: DataFrame) -> DataFrame:
     """Collapse word spans that follow one another at once in prose chunks; token counts
     stay as they were."""
 
-    @F.pandas_udf("string")
-    def collapse(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([collapse_spans(t)[0] for t in texts], dtype=object)
+    @by_row("string")
+    def collapse(text: str | None) -> str | None:
+        return collapse_spans(text)[0]
 
     prose = F.col("dominant_type") == "prose"
     return chunks.withColumn("content", F.when(prose, collapse(F.when(prose, F.col("content")))).otherwise(F.col("content")))
