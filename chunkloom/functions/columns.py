@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import values as V
+from .rows import as_matrix, pieces
 
 
 def _col(c: Column | str) -> Column:
@@ -93,11 +98,32 @@ def visual_content(caption: Column | str, alt: Column | str) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """0.5 where a vector is missing, 0 where one has no length."""
-    a, b = _col(a).cast("array<double>"), _col(b).cast("array<double>")
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    dot = total(F.zip_with(a, b, lambda x, y: x * y))
-    size = F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x)))
-    return F.when(a.isNull() | b.isNull(), 0.5).when(size == 0, 0.0).otherwise(dot / size)
+
+    @F.arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for columns in pieces(parts):
+            yield pa.array(_cosines(*columns), pa.float64())
+
+    return run(_col(a), _col(b))
+
+
+def _cosines(a: pa.ListArray, b: pa.ListArray) -> np.ndarray | list[float | None]:
+    x, y = as_matrix(a), as_matrix(b)
+    if x is None or y is None or x.shape != y.shape:
+        return [_cosine(*pair) for pair in zip(a.to_pylist(), b.to_pylist())]
+    size = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+    return np.where(size == 0, 0.0, np.einsum("ij,ij->i", x, y) / np.where(size == 0, 1.0, size))
+
+
+def _cosine(a: list | None, b: list | None) -> float | None:
+    """Of one pair; null for vectors with nulls in them or of different lengths."""
+    if a is None or b is None:
+        return 0.5
+    if None in a or None in b:
+        return None
+    x, y = np.array(a, np.float64), np.array(b, np.float64)
+    size = float(np.sqrt(x @ x) * np.sqrt(y @ y))
+    return 0.0 if size == 0 else None if len(x) != len(y) else float(x @ y) / size
 
 
 def bounded(low: Column | str, high: Column | str) -> tuple[Column, Column]:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.embed import embedder
-from ..functions.rows import by_row
+from ..functions.rows import as_lists, by_row, pieces
 from ..functions.text import collapse_spans
 from ..plans.kernel import Chunk, merged
 
@@ -83,13 +83,14 @@ def embedded(said: DataFrame, text_col: str = "sentence", model_dir: str | None
     """Add ``embedding`` and ``tokens`` of each text, of a local model or its stand-in; a
     model is loaded once a worker."""
 
-    @F.pandas_udf("struct<embedding:array<float>,tokens:bigint>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<embedding:array<float>,tokens:bigint>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = embedder(model_dir)
-        for texts in parts:
-            some = ["" if t is None else t for t in texts]
+        for (texts,) in pieces(parts):
+            some = [t or "" for t in texts.to_pylist()]
             vectors = embed.sentences(some)[: len(some)]
-            yield pd.DataFrame({"embedding": list(vectors), "tokens": [embed.count(t) for t in some]})
+            tokens = pa.array([embed.count(t) for t in some], pa.int64())
+            yield pa.StructArray.from_arrays([as_lists(vectors), tokens], ["embedding", "tokens"])
 
     out = said.withColumn("_e", run(F.col(text_col)))
     return out.withColumn("embedding", F.col("_e.embedding")).withColumn("tokens", F.col("_e.tokens")).drop("_e")

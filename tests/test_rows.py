@@ -75,3 +75,21 @@ def test_pieces_are_small_and_whole():
     got = [c for (c,) in R.pieces([pa.array(texts), pa.array([], pa.string())])]
     assert [t for c in got for t in c.to_pylist()] == texts
     assert all(len(c) <= R.ROWS and (c.nbytes <= R.BYTES or len(c) == 1) for c in got)
+
+
+def test_cosine_of_odd_vectors(spark):
+    """As before, without an expression that Spark interprets for each component."""
+    some = [([3.0, 4.0], [4.0, 3.0], 0.96), (None, [1.0], 0.5), ([1.0], None, 0.5), ([0.0, 0.0], [1.0, 2.0], 0.0), ([1.0, None], [1.0, 2.0], None), ([1.0], [1.0, 2.0], None), ([], [], 0.0), ([], [1.0], 0.0)]
+    alone = [spark.createDataFrame([r[:2]], "a array<float>, b array<float>").select(C.cosine("a", "b").alias("c")) for r in some]
+    told = spark.createDataFrame([r[:2] for r in some], "a array<float>, b array<float>").coalesce(1).select(C.cosine("a", "b").alias("c"))
+    assert "lambda" not in told._jdf.queryExecution().optimizedPlan().toString()
+    for got in ([r["c"] for r in told.collect()], [f.first()["c"] for f in alone]):
+        assert got == [w if w is None else pytest.approx(w) for *_, w in some]
+
+
+def test_cosine_of_many(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(700, 16)), rng.normal(size=(700, 16))
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))], "i long, a array<double>, b array<double>")
+    got = np.array([r["c"] for r in df.select("i", C.cosine("a", "b").alias("c")).orderBy("i").collect()])
+    assert np.allclose(got, (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1))
