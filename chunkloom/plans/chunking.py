@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.embed import embedder
+from ..functions.rows import by_row
 from ..sources.markdown import parse_markdown
 from .kernel import Chunk, Element, Options, chunk_elements
 
@@ -28,11 +27,9 @@ def _row(c: Chunk) -> dict:
 
 
 def _chunker(decode, options: Options, model_dir: str | None):
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = embedder(model_dir)
-        for docs in parts:
-            yield pd.Series([None if d is None else [_row(c) for c in chunk_elements(decode(d), options, embed)] for d in docs], dtype=object)
+    @by_row(f"array<{CHUNK}>")
+    def run(doc: str | None) -> list[dict] | None:
+        return None if doc is None else [_row(c) for c in chunk_elements(decode(doc), options, embedder(model_dir))]
 
     return run
 
@@ -81,10 +78,9 @@ def chunk_markdown(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 def markdown_elements(text: Column) -> Column:
     """Elements of a Markdown text, as an array column."""
 
-    @F.pandas_udf(f"array<{MARKDOWN_ELEMENT}>")
-    def parse(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([[{"kind": k, "content": c, "metadata": json.dumps(m) if m else None} for k, c, m in parse_markdown(t)] for t in texts], dtype=object)
+    @by_row(f"array<{MARKDOWN_ELEMENT}>")
+    def parse(text: str | None) -> list[dict]:
+        return [{"kind": k, "content": c, "metadata": json.dumps(m) if m else None} for k, c, m in parse_markdown(text)]
 
     return parse(text)
 
