@@ -6,15 +6,15 @@ a heading or block inside.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
+from ..functions.rows import by_row
 from ..functions.text import fallback_tokens
 from ..functions.text import sentence_spans as spans_of
 from ..functions.text import surviving as stays
@@ -33,10 +33,9 @@ def sentence_spans(texts: DataFrame, keys: list[str], text_col: str = "text", ca
     within its row, so nothing is shuffled.
     """
 
-    @F.pandas_udf("array<struct<begin:int,end:int,sentence:string>>")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in parts:
-            yield pd.Series([[{"begin": a, "end": b, "sentence": t[a:b].strip()} for a, b in spans_of(t)] for t in some], dtype=object)
+    @by_row("array<struct<begin:int,end:int,sentence:string>>")
+    def cut(t: str) -> list[dict]:
+        return [{"begin": a, "end": b, "sentence": t[a:b].strip()} for a, b in spans_of(t)]
 
     stripped = texts.select(*keys, *carried, C.strip(text_col).alias("_t")).where("_t <> ''")
     said = stripped.select(*keys, *carried, F.posexplode(cut("_t")).alias("nth", "s"))
@@ -49,16 +48,12 @@ def text_chunks(texts: DataFrame, text_col: str = "text", max_tokens: int = V.MA
     content, pages, spans, count. Sentences and chunks are made within the row, so that
     nothing is shuffled; nothing parts sentences but the size."""
 
-    @F.pandas_udf("array<struct<content:string,span_start:bigint,span_end:bigint>>")
-    def pack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in parts:
-            out = []
-            for t in some:
-                at = spans_of(t)
-                said = [t[a:b].strip() for a, b in at]
-                ranges = spans([fallback_tokens(s) for s in said], [HARD] + [0] * (len(said) - 1), max_tokens, overlap_tokens) if said else ()
-                out.append([{"content": " ".join(said[a:e]), "span_start": at[a][0], "span_end": at[e - 1][1]} for a, e in ranges])
-            yield pd.Series(out, dtype=object)
+    @by_row("array<struct<content:string,span_start:bigint,span_end:bigint>>")
+    def pack(t: str) -> list[dict]:
+        at = spans_of(t)
+        said = [t[a:b].strip() for a, b in at]
+        ranges = spans([fallback_tokens(s) for s in said], [HARD] + [0] * (len(said) - 1), max_tokens, overlap_tokens) if said else ()
+        return [{"content": " ".join(said[a:e]), "span_start": at[a][0], "span_end": at[e - 1][1]} for a, e in ranges]
 
     stripped = texts.select("doc_id", C.strip(text_col).alias("_t")).where("_t <> ''")
     out = stripped.select("doc_id", F.lit(0).alias("run"), F.posexplode(pack("_t")).alias("nth", "c"))
@@ -96,10 +91,7 @@ def surviving(said: DataFrame) -> DataFrame:
     fields = [c for c in said.columns if c not in ("doc_id", "run", "pos")]
     rows = F.array_sort(F.collect_list(F.struct("pos", C.squeezed("sentence").alias("_norm"), *fields)))
 
-    @F.pandas_udf("array<boolean>")
-    def walk(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for runs in parts:
-            yield pd.Series([stays(list(norms)) for norms in runs], dtype=object)
+    walk = by_row("array<boolean>")(stays)
 
     runs = said.groupBy("doc_id", "run").agg(rows.alias("rows"))
     runs = runs.select("doc_id", "run", "rows", walk(F.transform("rows", lambda r: r["_norm"])).alias("ok"))
@@ -131,10 +123,9 @@ def _packed(said: DataFrame, max_tokens: int, overlap_tokens: int, fields: Seque
     code = F.when(F.col("boundary") == "hard", HARD).when(F.col("boundary") == "soft", SOFT).otherwise(0)
     rows = F.array_sort(F.collect_list(F.struct("pos", C.token_count("sentence").alias("n"), code.alias("b"), *fields)))
 
-    @F.pandas_udf("array<struct<first:int,last:int>>")
-    def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for tokens, before in parts:
-            yield pd.Series([[{"first": a, "last": e - 1} for a, e in spans(list(n), list(b), max_tokens, overlap_tokens)] for n, b in zip(tokens, before)])
+    @by_row("array<struct<first:int,last:int>>")
+    def walk(tokens: list[int], before: list[int]) -> list[dict]:
+        return [{"first": a, "last": e - 1} for a, e in spans(tokens, before, max_tokens, overlap_tokens)]
 
     runs = said.groupBy("doc_id", "run").agg(rows.alias("rows"))
     found = walk(F.transform("rows", lambda r: r["n"]), F.transform("rows", lambda r: r["b"]))

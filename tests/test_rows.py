@@ -65,7 +65,7 @@ def peaks():
     return json.loads(run.stdout.rpartition("PEAKS")[2])
 
 
-@pytest.mark.parametrize("name", ["without_small", "chunk_markdown"])
+@pytest.mark.parametrize("name", ["without_small", "chunk_markdown", "text_chunks", "sentence_spans"])
 def test_a_worker_holds_few_rows(peaks, name):
     assert 0 < peaks[name] < 120, peaks
 
