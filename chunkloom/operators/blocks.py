@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import text as T
 from ..functions import values as V
+from ..functions.rows import by_row
 
 
 def whole_blocks(blocks: DataFrame) -> DataFrame:
@@ -58,10 +56,9 @@ def code_parts(blocks: DataFrame) -> DataFrame:
     Python is cut by its syntax tree, scripts at functions, the rest at blank lines.
     """
 
-    @F.pandas_udf(_PART)
-    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for codes, languages in parts:
-            yield pd.Series([[{"content": t, "type": c["type"], "name": c.get("name"), "lineno": c.get("lineno"), "end_lineno": c.get("end_lineno")} for t, c in T.split_code(code, lang)] for code, lang in zip(codes, languages)])
+    @by_row(_PART)
+    def cut(code: str, language: str) -> list[dict]:
+        return [{"content": t, "type": c["type"], "name": c.get("name"), "lineno": c.get("lineno"), "end_lineno": c.get("end_lineno")} for t, c in T.split_code(code, language)]
 
     named = F.col("language") if "language" in blocks.columns else F.lit(None).cast("string")
     known = blocks.where((F.col("kind") == "code") & F.col("content").isNotNull()).select("doc_id", "ord", "content", C.code_language("content", named).alias("lang"))
@@ -91,10 +88,9 @@ def table_parts(blocks: DataFrame, target: int = V.TABLE_CHILD) -> DataFrame:
     fixed = F.when(F.col("header") == "", F.lit(0).cast("long")).otherwise(C.token_count("header"))
     out = out.withColumn("fixed", fixed)
 
-    @F.pandas_udf("array<int>")
-    def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for costs, fixed in parts:
-            yield pd.Series([T.row_groups(c, f, target) for c, f in zip(costs, fixed)], dtype=object)
+    @by_row("array<int>")
+    def walk(costs: list[int], fixed: int) -> list[int]:
+        return T.row_groups(costs, fixed, target)
 
     out = out.withColumn("starts", walk(F.transform("rows", C.token_count), "fixed"))
     out = out.select("*", F.posexplode_outer("starts").alias("part", "a"))

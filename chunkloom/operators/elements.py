@@ -7,15 +7,13 @@ document at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
+from ..functions.rows import by_row
 from ..functions.text import bled_heading, far_pages, left_out, trails
 
 
@@ -33,10 +31,9 @@ def without_repeats(elements: DataFrame) -> DataFrame:
     key = F.coalesce(F.lower(C.strip("content")), F.concat(F.lit("\0"), F.col("ord").cast("string")))
     groups = elements.groupBy("doc_id", "kind", key.alias("key")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
-    @F.pandas_udf("array<boolean>")
-    def walk(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for groups in parts:
-            yield pd.Series([None if pages is None else far_pages(pages) for pages in groups], dtype=object)
+    @by_row("array<boolean>")
+    def walk(pages: list[int | None] | None) -> list[bool] | None:
+        return None if pages is None else far_pages(pages)
 
     stays = walk(F.when(F.size("rows") > 1, F.transform("rows", lambda r: r["page"])))
     groups = groups.select("doc_id", "rows", stays.alias("ok"))
@@ -51,10 +48,9 @@ def without_bleed(elements: DataFrame) -> DataFrame:
     Only headings of more than one line go to Python.
     """
 
-    @F.pandas_udf("string")
-    def cut(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for heads, following in parts:
-            yield pd.Series([bled_heading(h, f) if h is not None else None for h, f in zip(heads, following)], dtype=object)
+    @by_row("string")
+    def cut(heading: str | None, following: str | None) -> str | None:
+        return bled_heading(heading, following) if heading is not None else None
 
     after = W.partitionBy("doc_id").orderBy("ord").rowsBetween(1, W.unboundedFollowing)
     text = F.when(C.strip("content") != "", F.col("content"))
@@ -95,12 +91,7 @@ def with_trail(elements: DataFrame) -> DataFrame:
     A heading of level L is live while no shallower one came after it, and is replaced by
     the next of its own level; levels may be of any depth.
     """
-
-    @F.pandas_udf("array<array<string>>")
-    def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for depths, texts in parts:
-            yield pd.Series([trails(d, t) for d, t in zip(depths, texts)], dtype=object)
-
+    walk = by_row("array<array<string>>")(trails)
     trail = F.coalesce(F.col("_state"), F.array().cast("array<string>"))
     out = _states(elements, walk, C.strip("content")).withColumn("trail", trail).drop("_state")
     return out.withColumn("nearest", F.try_element_at("trail", F.lit(-1)))
@@ -108,12 +99,7 @@ def with_trail(elements: DataFrame) -> DataFrame:
 
 def without_backmatter(elements: DataFrame) -> DataFrame:
     """Drop backmatter headings and all below them, up to another heading as shallow."""
-
-    @F.pandas_udf("array<boolean>")
-    def walk(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for depths, back in parts:
-            yield pd.Series([left_out(d, b) for d, b in zip(depths, back)], dtype=object)
-
+    walk = by_row("array<boolean>")(left_out)
     out = _states(elements, walk, C.is_backmatter("content"))
     return out.where(~F.coalesce(F.col("_state"), F.lit(False))).drop("_state")
 

@@ -7,14 +7,12 @@ events as timed segments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import values as V
+from ..functions.rows import by_row
 from ..functions.text import collapse_spans
 from ..operators import blocks as B
 from ..operators import chunks as H
@@ -774,10 +772,9 @@ def parents_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacent repeats of word spans in each line."""
 
-    @F.pandas_udf("struct<text:string,removed:int>")
-    def collapse(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame([collapse_spans(t) for t in texts], columns=["text", "removed"])
+    @by_row("struct<text:string,removed:int>")
+    def collapse(text: str | None) -> dict:
+        return dict(zip(("text", "removed"), collapse_spans(text)))
 
     return lines(spark, sf_dir).select("doc_id", "ord", collapse("line").alias("c")).select("doc_id", "ord", "c.text", "c.removed")
 
